@@ -1,6 +1,13 @@
 """Imports every query module so that the registry is complete."""
 
-from barline.plans import indicator_queries  # noqa: F401
+from barline.plans import (  # noqa: F401
+    aggregate_queries,
+    filter_queries,
+    indicator_queries,
+    join_queries,
+    missing_queries,
+    source_queries,
+)
 from barline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
