@@ -2,6 +2,8 @@
 
 from barline.plans import (  # noqa: F401
     aggregate_queries,
+    evaluation_queries,
+    feature_queries,
     filter_queries,
     indicator_queries,
     join_queries,

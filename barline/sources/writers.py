@@ -82,3 +82,16 @@ def load_lineage(df: DataFrame, query_id: str, group: str, topics: Sequence[str]
         F.current_timestamp().alias("load_timestamp"), "start_date", "end_date",
         F.array(*[F.lit(t) for t in topics]).alias("topics"), "num_rows", "num_articles",
         F.lit(frequency).alias("frequency"))
+
+
+def write_dataset(spark: SparkSession, samples: DataFrame, base: str, kind: str, version: str,
+                  features: Sequence[str], lookback: int, horizons: Sequence[int]) -> DataFrame:
+    """Sequences under ``base/kind/version`` by split, and a manifest counted from the files."""
+    from barline.operators.features import dataset_metadata
+
+    folder = f"{base}/{kind}/{version}"
+    samples.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/sequences")
+    written = spark.read.parquet(f"{folder}/sequences")
+    manifest = dataset_metadata(written, features, lookback, horizons).withColumn("dataset", F.lit(f"{kind}/{version}"))
+    manifest.write.mode("overwrite").json(f"{folder}/manifest")
+    return manifest
