@@ -9,6 +9,7 @@ from barline.plans import (  # noqa: F401
     join_queries,
     missing_queries,
     source_queries,
+    streaming_queries,
 )
 from barline.plans.registry import ORACLES, QUERIES
 

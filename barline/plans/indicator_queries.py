@@ -67,7 +67,7 @@ query("obv", O.with_(O.BARS, _FLOW) + f"SELECT ticker, dt, round(sum(flow) {W},
     lambda spark, sf: _rounded(I.indicator_set(X.bars(spark, sf), ["obv"]), ["ticker", "dt"], ["obv"]))
 
 
-def _ewm_oracle() -> str:
+def ewm_oracle() -> str:
     """One recursion carrying both averages and the signal line of their difference."""
     a12, a26, a9 = "(2.0::DOUBLE/13)", "(2.0::DOUBLE/27)", "(2.0::DOUBLE/10)"
     n12, n26 = f"((1-{a12})*e.e12 + {a12}*s.close)", f"((1-{a26})*e.e26 + {a26}*s.close)"
@@ -80,11 +80,11 @@ def _ewm_oracle() -> str:
 
 
 _E12, _E26 = "CASE WHEN rn >= 12 THEN e12 END", "CASE WHEN rn >= 26 THEN e26 END"
-query("ema", _ewm_oracle() + f"SELECT ticker, dt, round({_E12}, 4) AS ema_12, round({_E26}, 4) AS ema_26 FROM e")(
+query("ema", ewm_oracle() + f"SELECT ticker, dt, round({_E12}, 4) AS ema_12, round({_E26}, 4) AS ema_26 FROM e")(
     lambda spark, sf: _rounded(I.indicator_set(X.bars(spark, sf), ["ema_12", "ema_26"]),
                                ["ticker", "dt"], ["ema_12", "ema_26"], 4))
 _MACD = ["macd", "macd_signal", "macd_hist"]
-query("macd", _ewm_oracle() + f"""SELECT ticker, dt, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 4) AS macd,
+query("macd", ewm_oracle() + f"""SELECT ticker, dt, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 4) AS macd,
   round(CASE WHEN rn >= 34 THEN sig END, 4) AS macd_signal,
   round(CASE WHEN rn >= 34 THEN e12 - e26 - sig END, 4) AS macd_hist FROM e""")(
     lambda spark, sf: _rounded(I.indicator_set(X.bars(spark, sf), _MACD), ["ticker", "dt"], _MACD, 4))
