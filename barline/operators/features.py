@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.operators import describe as D
@@ -281,12 +281,13 @@ def select_mutual_info(df: DataFrame, features: Sequence[str], target: str, k: i
         "feature", _bin(F.col("v"), [F.col(f"q{i}") for i in range(len(probs))]).alias("x"),
         _bin(F.col("__t"), [F.col("__e")[f"q{i}"] for i in range(len(probs))]).alias("y"))
     cells = cut.groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
-    total = cells.groupBy("feature").agg(F.sum("n").alias("n_all"))
-    by_x = cells.groupBy("feature", "x").agg(F.sum("n").alias("n_x"))
-    by_y = cells.groupBy("feature", "y").agg(F.sum("n").alias("n_y"))
+    # At most bins x bins cells per feature: marginal counts are plain windows.
+    by = Window.partitionBy
+    scored = cells.withColumns({
+        "n_all": F.sum("n").over(by("feature")), "n_x": F.sum("n").over(by("feature", "x")),
+        "n_y": F.sum("n").over(by("feature", "y"))})
     p = F.col("n") / F.col("n_all")
     term = p * F.ln(F.col("n") * F.col("n_all") / (F.col("n_x") * F.col("n_y")))
-    scored = cells.join(by_x, ["feature", "x"]).join(by_y, ["feature", "y"]).join(total, "feature")
     return scored.groupBy("feature").agg(F.sum(term).alias("mutual_info")).orderBy(
         F.col("mutual_info").desc(), "feature").limit(k)
 

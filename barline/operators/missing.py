@@ -23,7 +23,7 @@ def ffill(df: DataFrame, series: S.Series, names: Sequence[str]) -> DataFrame:
 
 def bfill(df: DataFrame, series: S.Series, names: Sequence[str]) -> DataFrame:
     """Backward fill. Uses later values, so it leaks the future; never a default."""
-    return S.running(df, series, lasts={n: F.col(n) for n in names}, reverse=True).select(*df.columns)
+    return S.running(df, series, nexts={n: F.col(n) for n in names}).select(*df.columns)
 
 
 def mean_impute(df: DataFrame, train: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -37,23 +37,25 @@ def interpolate(df: DataFrame, series: S.Series, name: str, ts: str = "ts") -> D
     """Linear in time between the neighbouring known values; ends stay missing."""
     at = F.unix_seconds(F.col(ts).cast("timestamp"))
     known = F.when(F.col(name).isNotNull(), F.struct(at.alias("t"), F.col(name).alias("v")))
-    both = S.running(df, series, lasts={"__prev": known})
-    both = S.running(both, series, lasts={"__next": known}, reverse=True)
+    both = S.running(df, series, lasts={"__prev": known}, nexts={"__next": known})
     t0, v0, t1, v1 = (F.col(c) for c in ("__prev.t", "__prev.v", "__next.t", "__next.v"))
     line = v0 + (v1 - v0) * F.try_divide(at - t0, t1 - t0)
     return both.withColumn(name, F.coalesce(F.col(name), line)).select(*df.columns)
 
 
 def max_gap_drop(df: DataFrame, series: S.Series, name: str, max_gap: int = 5) -> DataFrame:
-    """Drop the rows of missing runs longer than ``max_gap``."""
-    seen = F.col(name).isNotNull()
-    rows = S.with_position(df, series, "__pos")
-    rows = S.running(rows, series, lasts={"__prev": F.when(seen, F.col("__pos"))})
-    rows = S.running(rows, series, sums={"__left": F.lit(1).cast("long")},
-                     lasts={"__next": F.when(seen, F.col("__pos"))}, reverse=True)
-    end = F.coalesce("__next", F.col("__pos") + F.col("__left"))
-    length = end - F.coalesce("__prev", F.lit(0)) - 1
-    return rows.where(seen | (length <= max_gap)).select(*df.columns)
+    """Drop the rows of missing runs longer than ``max_gap``.
+
+    A row is in such a run if some stretch of ``max_gap + 1`` missing rows covers it:
+    two windows of bounded reach, with no need to know how long the run is.
+    """
+    missing = F.count_if(F.col(name).isNull())
+    steps = [
+        S.columns(__full=lambda w: missing.over(w.rowsBetween(-max_gap, 0)) == max_gap + 1),
+        S.columns(__long=lambda w: F.bool_or("__full").over(w.rowsBetween(0, max_gap))),
+    ]
+    out = S.over_blocks(df, series, steps, before=max_gap, after=max_gap)
+    return out.where(F.col(name).isNotNull() | ~F.col("__long")).select(*df.columns)
 
 
 def drop_missing(df: DataFrame, names: Sequence[str]) -> DataFrame:

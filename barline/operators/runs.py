@@ -28,12 +28,11 @@ def early_stop(df: DataFrame, patience: int, keys: Sequence[str] = ("run",)) ->
     An improvement is a value strictly below everything before it.
     """
     series = S.stepped(keys, "step")
-    rows = S.running(df, series, mins={"__best": F.col("value")}, before_row=("__best",))
+    rows = S.running(df, series, sums={"__pos": F.lit(1).cast("long")}, mins={"__best": F.col("value")},
+                     before_row=("__best",))
     better = F.col("__best").isNull() | (F.col("value") < F.col("__best"))
-    rows = S.running(rows.withColumn("__better", better), series, sums={"__pos": F.lit(1).cast("long")},
-                     lasts={"__at": F.when(F.col("__better"), F.struct("step", "value"))})
-    rows = S.running(rows, series, lasts={"__at_pos": F.when(F.col("__better"), F.col("__pos"))})
-    waited = F.col("__pos") - F.col("__at_pos")
+    rows = S.running(rows, series, lasts={"__at": F.when(better, F.struct("step", "value", "__pos"))})
+    waited = F.col("__pos") - F.col("__at.__pos")
     stop = F.when(waited >= patience, F.struct("step", "__at"))
     last = F.struct("step", "__at")
     out = rows.groupBy(*keys).agg(F.min_by(stop, F.when(waited >= patience, F.col("step"))).alias("s"),

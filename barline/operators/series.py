@@ -76,67 +76,72 @@ def timed(keys: Sequence[str], order: Sequence[str], seconds: int) -> Series:
                   lambda s: F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / F.lit(seconds)))
 
 
-def _order_columns(order: Sequence[str], reverse: bool) -> list[Column]:
-    return [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-
-
 def running(
     df: DataFrame,
     series: Series,
     sums: Mapping[str, Column] | None = None,
     lasts: Mapping[str, Column] | None = None,
     mins: Mapping[str, Column] | None = None,
-    reverse: bool = False,
+    nexts: Mapping[str, Column] | None = None,
     before_row: Sequence[str] = (),
 ) -> DataFrame:
     """Add running values over each series up to and including the row.
 
     ``sums`` are running totals (0 where nothing was seen), ``lasts`` the latest
-    non-null value and ``mins`` the smallest value so far. Names listed in
-    ``before_row`` leave the row itself out. With ``reverse`` the series is read
-    from its end, so ``lasts`` gives the next known value.
+    non-null value, ``mins`` the smallest value so far and ``nexts`` the nearest
+    non-null value from the row onwards. Names listed in ``before_row`` leave the
+    row itself out.
+
+    The input is evaluated twice, once narrow for the bucket totals. Chains of these
+    on a derived input should start from a written table (``session.settle``).
     """
-    sums, lasts, mins = dict(sums or {}), dict(lasts or {}), dict(mins or {})
+    sums, lasts, mins, nexts = dict(sums or {}), dict(lasts or {}), dict(mins or {}), dict(nexts or {})
     keys = list(series.keys)
-    inputs = {f"__in_{n}": e for n, e in {**sums, **lasts, **mins}.items()}
-    rows = df.withColumns({"__bucket": series.bucket_column(), **inputs})
-
+    every = {**sums, **lasts, **mins, **nexts}
+    rows = df.withColumns({f"__in_{n}": e for n, e in every.items()})
+
+    def values(forward: WindowSpec, backward: WindowSpec, prefix: str) -> dict[str, Column]:
+        """Running values inside one window, over the inputs or the bucket totals."""
+        source = "__in_" if prefix == "__run_" else "__tot_"
+
+        def frame(name: str) -> WindowSpec:
+            skip = prefix == "__carry_" or name in before_row
+            return forward.rowsBetween(Window.unboundedPreceding, -1 if skip else 0)
+
+        back = backward.rowsBetween(Window.unboundedPreceding, -1 if prefix == "__carry_" else 0)
+        return {
+            **{prefix + n: F.sum(source + n).over(frame(n)) for n in sums},
+            **{prefix + n: F.last(source + n, True).over(frame(n)) for n in lasts},
+            **{prefix + n: F.min(source + n).over(frame(n)) for n in mins},
+            **{prefix + n: F.last(source + n, True).over(back) for n in nexts},
+        }
+
+    ascending, descending = [F.col(c).asc() for c in series.order], [F.col(c).desc() for c in series.order]
+    others = [c for c in df.columns if c not in every]
+    rows = rows.withColumn("__bucket", series.bucket_column())
     position = F.struct(*series.order)
-    pick = F.min_by if reverse else F.max_by
-    totals = (
-        [F.sum(f"__in_{n}").alias(f"__tot_{n}") for n in sums]
-        + [pick(f"__in_{n}", F.when(F.col(f"__in_{n}").isNotNull(), position)).alias(f"__tot_{n}") for n in lasts]
-        + [F.min(f"__in_{n}").alias(f"__tot_{n}") for n in mins]
-    )
-    by_bucket = F.col("__bucket").desc() if reverse else F.col("__bucket").asc()
-    earlier = Window.partitionBy(*keys).orderBy(by_bucket).rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        rows.groupBy(*keys, "__bucket").agg(*totals)
-        .select(
-            *keys, "__bucket",
-            *[F.sum(f"__tot_{n}").over(earlier).alias(f"__carry_{n}") for n in sums],
-            *[F.last(f"__tot_{n}", True).over(earlier).alias(f"__carry_{n}") for n in lasts],
-            *[F.min(f"__tot_{n}").over(earlier).alias(f"__carry_{n}") for n in mins],
-        )
-    )
-
-    inside = Window.partitionBy(*keys, "__bucket").orderBy(*_order_columns(series.order, reverse))
-
-    def frame(name: str) -> WindowSpec:
-        return inside.rowsBetween(Window.unboundedPreceding, -1 if name in before_row else 0)
-
-    local = rows.withColumns({
-        **{f"__run_{n}": F.sum(f"__in_{n}").over(frame(n)) for n in sums},
-        **{f"__run_{n}": F.last(f"__in_{n}", True).over(frame(n)) for n in lasts},
-        **{f"__run_{n}": F.min(f"__in_{n}").over(frame(n)) for n in mins},
-    })
-    result = local.join(carry, [*keys, "__bucket"], "left").withColumns({
+
+    def present(name: str) -> Column:
+        return F.when(F.col(f"__in_{name}").isNotNull(), position)
+
+    totals = rows.groupBy(*keys, "__bucket").agg(
+        *[F.sum(f"__in_{n}").alias(f"__tot_{n}") for n in sums],
+        *[F.max_by(f"__in_{n}", present(n)).alias(f"__tot_{n}") for n in lasts],
+        *[F.min(f"__in_{n}").alias(f"__tot_{n}") for n in mins],
+        *[F.min_by(f"__in_{n}", present(n)).alias(f"__tot_{n}") for n in nexts])
+    over = Window.partitionBy(*keys)
+    carry = totals.withColumns(values(over.orderBy(F.col("__bucket").asc()), over.orderBy(F.col("__bucket").desc()), "__carry_"))
+    carry = carry.select(*keys, "__bucket", *[f"__carry_{n}" for n in every])
+
+    inside = Window.partitionBy(*keys, "__bucket")
+    local = rows.withColumns(values(inside.orderBy(*ascending), inside.orderBy(*descending), "__run_"))
+    combine = {
         **{n: F.coalesce(f"__run_{n}", F.lit(0)) + F.coalesce(f"__carry_{n}", F.lit(0)) for n in sums},
-        **{n: F.coalesce(f"__run_{n}", f"__carry_{n}") for n in lasts},
+        **{n: F.coalesce(f"__run_{n}", f"__carry_{n}") for n in [*lasts, *nexts]},
         **{n: F.least(f"__run_{n}", f"__carry_{n}") for n in mins},
-    })
-    names = [*sums, *lasts, *mins]
-    return result.select(*[c for c in df.columns if c not in names], *names)
+    }
+    return local.join(carry, [*keys, "__bucket"], "left").select(
+        *others, *[combine[n].alias(n) for n in every])
 
 
 def with_position(df: DataFrame, series: Series, name: str = "pos", **sums: Column) -> DataFrame:
@@ -152,7 +157,7 @@ class Blocks:
 
     @property
     def window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys, "__block").orderBy("pos")
+        return self.within()
 
     def within(self, *parts: str) -> WindowSpec:
         """A finer window inside the block; needs no further shuffle."""
@@ -182,8 +187,8 @@ def over_blocks(
     available to them and stay in the result. Rolling frames may not reach
     further than declared.
     """
-    size = F.lit(max(series.block_rows, before, after)).cast("long")
     numbered = with_position(df, series, **(sums or {}))
+    size = F.lit(max(series.block_rows, before, after)).cast("long")
     zero = F.col("pos") - 1
     own = F.floor(zero / size)
     offset = zero - own * size

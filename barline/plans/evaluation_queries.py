@@ -14,6 +14,7 @@ from barline.plans import feature_queries as FQ
 from barline.plans import oracle as O
 from barline.plans.filter_queries import log_lines
 from barline.plans.registry import query
+from barline.session import settle
 from barline.sources import fixtures as X
 
 _P = O.with_(O.PREDICTIONS)
@@ -24,6 +25,11 @@ def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
 
 
+def _predicted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predictions as a written table, for evaluations that read them repeatedly."""
+    return settle(X.predictions(spark, sf_dir), "predictions")
+
+
 query("mae_rmse", _P + f"SELECT {_MET} FROM predictions")(
     lambda s, d: _round(E.mae_rmse(X.predictions(s, d)), "mae", "mse", "rmse"))
 query("per_horizon", _P + f"SELECT CAST(horizon AS INTEGER) AS horizon, {_MET}, concat('H', CAST(horizon AS VARCHAR)) AS label FROM predictions GROUP BY horizon")(
@@ -32,11 +38,11 @@ query("dir_acc_sign", _P + "SELECT round(avg(CASE WHEN sign(y) = sign(yhat) THEN
     lambda s, d: _round(E.direction_sign(X.predictions(s, d)), "dir_acc"))
 query("dir_acc_positive", _P + """SELECT round(avg(CASE WHEN (y > 0) = (yhat > 0) THEN 1.0 ELSE 0.0 END), 6) AS dir_acc FROM predictions
  WHERE horizon = (SELECT min(horizon) FROM predictions)""")(
-    lambda s, d: _round(E.direction_positive(X.predictions(s, d)), "dir_acc"))
+    lambda s, d: _round(E.direction_positive(_predicted(s, d)), "dir_acc"))
 query("dir_acc_diff", _P + """, x AS (SELECT ticker, (y - lag(y) OVER w) * (yhat - lag(yhat) OVER w) AS p FROM predictions
    WHERE horizon = (SELECT min(horizon) FROM predictions) WINDOW w AS (PARTITION BY ticker ORDER BY sample_id))
  SELECT ticker, round(count(*) FILTER (p > 0) / (count(*) - 1), 6) AS dir_acc FROM x GROUP BY ticker""")(
-    lambda s, d: _round(E.direction_diff(X.predictions(s, d), S.stepped(["ticker"], "sample_id")), "dir_acc"))
+    lambda s, d: _round(E.direction_diff(_predicted(s, d), S.stepped(["ticker"], "sample_id")), "dir_acc"))
 query("mape", _P + "SELECT CAST(horizon AS INTEGER) AS horizon, round(avg(abs(y - yhat) / nullif(abs(y), 0)) * 100, 4) AS mape FROM predictions GROUP BY horizon")(
     lambda s, d: _round(E.mape(X.predictions(s, d)), "mape", digits=4))
 _QS = [0.1, 0.5, 0.9]
@@ -50,13 +56,13 @@ _DEC = [i / 10 for i in range(1, 10)]
 query("coverage_calibration", _P + f""", q AS (SELECT horizon, quantile_disc(yhat, {_DEC}) AS e FROM predictions GROUP BY horizon)
  SELECT CAST(p.horizon AS INTEGER) AS horizon, CAST(1 + {' + '.join(f'CAST(yhat > e[{i}] AS INTEGER)' for i in range(1, 10))} AS BIGINT) AS bin,
    count(*) AS n, round(avg(yhat), 6) AS mean_forecast, round(avg(y), 6) AS mean_outcome FROM predictions p JOIN q ON q.horizon = p.horizon GROUP BY 1, 2""")(
-    lambda s, d: _round(E.calibration(X.predictions(s, d)), "mean_forecast", "mean_outcome"))
+    lambda s, d: _round(E.calibration(_predicted(s, d)), "mean_forecast", "mean_outcome"))
 query("directional_loss", _P + """SELECT CAST(horizon AS INTEGER) AS horizon, round(avg((y - yhat) ** 2 * CASE WHEN sign(y) <> sign(yhat) THEN 2 ELSE 1 END), 6) AS loss
  FROM predictions GROUP BY horizon""")(lambda s, d: _round(E.directional_loss(X.predictions(s, d)), "loss"))
 query("batch_mean_loss", _P + """, e AS (SELECT horizon, (y - yhat) ** 2 AS sq, (row_number() OVER (PARTITION BY horizon ORDER BY dt, ticker) - 1) // 64 AS b FROM predictions),
  g AS (SELECT horizon, b, avg(sq) AS m, sum(sq) AS s, count(sq) AS n FROM e GROUP BY horizon, b)
  SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS batches, round(avg(m), 6) AS batch_mean, round(sum(s) / sum(n), 6) AS exact_mean FROM g GROUP BY horizon""")(
-    lambda s, d: _round(E.batch_mean_loss(X.predictions(s, d), S.timed(("horizon",), ("dt", "ticker"), 30 * 86_400), 64), "batch_mean", "exact_mean"))
+    lambda s, d: _round(E.batch_mean_loss(_predicted(s, d), S.timed(("horizon",), ("dt", "ticker"), 30 * 86_400), 64), "batch_mean", "exact_mean"))
 query("persistence_forecast", O.with_(O.BARS) + """, h AS (SELECT *, unnest([7, 14]) AS horizon FROM (SELECT ticker, dt, close,
    lead(close, 7) OVER w AS f7, lag(close, 7) OVER w AS l7, lead(close, 14) OVER w AS f14, lag(close, 14) OVER w AS l14 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY dt))),
  y AS (SELECT horizon, CASE horizon WHEN 7 THEN (f7 - close) / close ELSE (f14 - close) / close END AS y,
@@ -83,7 +89,8 @@ query("best_step", _S + """SELECT run, tag, min(value) AS min_value, arg_min(ste
  SELECT s.run, stop IS NOT NULL AS stopped, coalesce(stop, fin) AS stop_step, i.hit AS best_step, b.value AS best_value, n_steps
  FROM s JOIN i ON i.run = s.run AND i.step = coalesce(stop, fin) JOIN v b ON b.run = s.run AND b.step = i.hit""")
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return U.early_stop(X.run_scalars(spark, sf_dir).where("tag = 'Loss/val'").select("run", "step", "value"), 3)
+    losses = X.run_scalars(spark, sf_dir).where("tag = 'Loss/val'").select("run", "step", "value")
+    return U.early_stop(settle(losses, "losses"), 3)
 
 
 def _pick(tag: str, agg: str) -> str:
@@ -145,8 +152,4 @@ def baseline_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("grid_fit")
 def grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _model_rows(spark, sf_dir).persist()
-    try:
-        return B.grid_fit(spark, rows, "target_7", B.log_grid(-3, 0, 3), [0.0, 0.5])
-    finally:
-        rows.unpersist()
+    return B.grid_fit(spark, _model_rows(spark, sf_dir), "target_7", B.log_grid(-3, 0, 3), [0.0, 0.5])

@@ -12,7 +12,7 @@ from barline.plans import oracle as O
 from barline.plans.filter_queries import VERSIONS, two_versions
 from barline.plans.join_queries import SHARED, shared_daily
 from barline.plans.registry import query
-from barline.session import work_dir
+from barline.session import settle, work_dir
 from barline.sources import fixtures as X
 
 W = "OVER (PARTITION BY ticker ORDER BY dt)"
@@ -83,7 +83,7 @@ def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.basket_mean(bars, X.BASKET).select("ts", "basket_close"), "ts", "left").withColumn("dt", F.to_date("ts"))
     fill = {n: (lambda w, n=n: F.coalesce(n, F.last(n, True).over(w.rowsBetween(-5, -1)))) for n in _FILLED}
     lags = {f"sentiment_lag_{k}": (lambda w, k=k: F.lag("weighted_avg_tone", k).over(w)) for k in (1, 7)}
-    filled = S.over_blocks(joined, CALENDAR, [S.columns(**fill, **lags)], before=7).drop("pos")
+    filled = S.over_blocks(settle(joined, "joined"), CALENDAR, [S.columns(**fill, **lags)], before=7).drop("pos")
     timed = timeops.cyclical_encode(timeops.calendar_features(filters.weekend_filter(filled)))
     return timed.select("ts", "dt", *FEATURES, "basket_close")
 
@@ -120,7 +120,7 @@ _MT = O.with_(O.BARS, MATRIX, _TARGETS)
 
 
 def with_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.forward_returns(matrix(spark, sf_dir), CALENDAR, "basket_close", HORIZONS)
+    return Q.forward_returns(settle(matrix(spark, sf_dir), "matrix"), CALENDAR, "basket_close", HORIZONS)
 
 
 query("forward_returns", O.with_(O.BARS) + "SELECT ticker, dt, " + ", ".join(
@@ -167,7 +167,9 @@ _MZ = O.with_(O.BARS, MATRIX, _TARGETS, _NUM)
 
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.number_samples(with_targets(spark, sf_dir), CALENDAR, LOOKBACK, max(HORIZONS))
+    """The matrix with targets, splits and weights, written once: fitting, scaling and
+    windowing all read it again."""
+    return settle(Q.number_samples(settle(with_targets(spark, sf_dir), "targets"), CALENDAR, LOOKBACK, max(HORIZONS)), "samples")
 
 
 _SCALED = [f for f in FEATURES if f not in Q.TIME_FEATURES]
@@ -259,7 +261,7 @@ _FWD = f"fw AS (SELECT *, (lead(close, 7) {W} - close) / close AS target_7 FROM
 
 
 def _selectable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.forward_returns(X.bars(spark, sf_dir), S.bars(), "close", [7])
+    return settle(Q.forward_returns(X.bars(spark, sf_dir), S.bars(), "close", [7]), "selectable")
 
 
 query("select_top_k", O.with_(O.BARS, _FWD) + "SELECT feature, round(r * r / (1 - r * r) * (n - 2), 3) AS f_score FROM (" + " UNION ALL ".join(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every operator relies on. Shuffle partition count is left to
 # the cluster; AQE coalesces small partitions and splits skewed join partitions.
@@ -55,3 +55,15 @@ def work_dir(spark: SparkSession, label: str) -> str:
         base = tempfile.mkdtemp(prefix="barline-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` to the working folder and read it back.
+
+    For results that several later steps read: they are computed once, later scans
+    prune columns, and a lost executor costs a re-read instead of a recomputation.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
