@@ -34,6 +34,7 @@ class Indicator:
     before: int
     expr: Callable[[WindowSpec], Column] | None = None
     step: S.Step | None = None
+    ewm: "Ewm | None" = None
     needs: tuple[str, ...] = ()
 
 
@@ -85,51 +86,77 @@ def ewm_history(alpha: float) -> int:
     return 1 if alpha >= 1 else math.ceil(_FORGET / -math.log1p(-alpha))
 
 
-def ewm(source: str, alpha: float, min_periods: int, name: str, observed: str | None = None) -> S.Step:
-    """Exponential average, recursive form, decaying over NULL positions.
+@dataclass(frozen=True)
+class Ewm:
+    """One exponential average: ``observed`` names a running count of non-null inputs
+    for ``min_periods``; without it the values in the block and its history count."""
+
+    name: str
+    source: str
+    alpha: float
+    min_periods: int
+    observed: str | None = None
+
+    @property
+    def log_keep(self) -> float:
+        return math.log1p(-self.alpha) if self.alpha < 1 else -_STEP_CAP
+
+
+def ewm(*averages: Ewm) -> S.Step:
+    """Exponential averages, recursive form, decaying over NULL positions.
 
     ``y = a * y_prev + b * x`` with ``a`` depending on the gap since the last value.
     The recursion is solved in closed form as a weighted running sum. Weights are
     rescaled in sub-blocks of bounded accumulated decay, and the last value of a
-    sub-block is handed to the next ones until it has decayed away.
-    ``observed`` names a running count of non-null inputs for ``min_periods``;
-    without it the values seen in the block and its history are counted.
+    sub-block is handed to the next ones until it has decayed away. All averages of
+    one step share their windows and sub-blocks.
 
     Across an input gap longer than ``ewm_history(alpha)`` rows that also spans a
     block edge the rows of the gap itself are NULL; values after it are not affected.
     """
-    log_keep = math.log1p(-alpha) if alpha < 1 else -_STEP_CAP
+    fastest, slowest = min(e.log_keep for e in averages), max(e.log_keep for e in averages)
+    passes = max(math.ceil(_FORGET / (_SPAN * slowest / fastest)), 2)
 
     def step(df: DataFrame, blocks: S.Blocks) -> DataFrame:
-        w, t = blocks.window, f"__{name}"
-        x = F.col(source)
+        w = blocks.window
         before, through = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-        helpers = [f"{t}_{c}" for c in ("prev", "keep", "loga", "b", "n", "sub", "decay", "local", "tail")]
-        prev, keep, loga, b, n, sub, decay, local, tail = helpers
+
+        def add(frame: DataFrame, part: str, expr: Callable[[Ewm], Column]) -> DataFrame:
+            return frame.withColumns({f"__{e.name}_{part}": expr(e) for e in averages})
+
+        def part(e: Ewm, name: str) -> Column:
+            return F.col(f"__{e.name}_{name}")
+
+        def present(e: Ewm) -> Column:
+            return F.col(e.source).isNotNull()
+
+        df = df.withColumns({
+            **{f"__{e.name}_prev": F.last(F.when(present(e), F.col("pos")), True).over(before) for e in averages},
+            **{f"__{e.name}_n": F.count(e.source).over(through) for e in averages}})
+        df = add(df, "keep", lambda e: F.when(present(e) & part(e, "prev").isNotNull(), F.exp(F.greatest(
+            (F.col("pos") - part(e, "prev")) * F.lit(e.log_keep), F.lit(-_STEP_CAP)))))
         df = df.withColumns({
-            prev: F.last(F.when(x.isNotNull(), F.col("pos")), True).over(before),
-            n: F.count(x).over(through),
-        })
-        gap_decay = F.exp(F.greatest((F.col("pos") - F.col(prev)) * F.lit(log_keep), F.lit(-_STEP_CAP)))
-        df = df.withColumn(keep, F.when(x.isNotNull() & F.col(prev).isNotNull(), gap_decay))
+            **{f"__{e.name}_loga": F.when(part(e, "keep").isNull(), 0.0).otherwise(
+                F.greatest(F.ln(part(e, "keep") / (part(e, "keep") + e.alpha)), F.lit(-_STEP_CAP))) for e in averages},
+            **{f"__{e.name}_b": F.when(~present(e), 0.0).when(part(e, "keep").isNull(), F.col(e.source)).otherwise(
+                F.col(e.source) * e.alpha / (part(e, "keep") + e.alpha)) for e in averages}})
+        most = [-part(e, "loga") for e in averages]
+        df = df.withColumn("__sub", F.floor(
+            F.sum(F.greatest(*most) if len(most) > 1 else most[0]).over(through) / _SPAN))
+        inner = blocks.within("__sub").rowsBetween(Window.unboundedPreceding, 0)
+        df = add(df, "decay", lambda e: F.sum(-part(e, "loga")).over(inner))
+        df = add(df, "local", lambda e: F.sum(part(e, "b") * F.exp(part(e, "decay"))).over(inner) / F.exp(part(e, "decay")))
+        df = df.withColumn("__end", F.lead("__sub", 1).over(w) != F.col("__sub"))
+        df = add(df, "y", lambda e: part(e, "local"))
+        for _ in range(passes):
+            df = add(df, "tail", lambda e: F.last(F.when(F.col("__end"), part(e, "y")), True).over(before))
+            df = add(df, "y", lambda e: part(e, "local") + F.coalesce(
+                part(e, "tail") * F.exp(-part(e, "decay")), F.lit(0.0)))
         df = df.withColumns({
-            loga: F.when(F.col(keep).isNull(), 0.0).otherwise(
-                F.greatest(F.ln(F.col(keep) / (F.col(keep) + alpha)), F.lit(-_STEP_CAP))),
-            b: F.when(x.isNull(), 0.0).when(F.col(keep).isNull(), x).otherwise(x * alpha / (F.col(keep) + alpha)),
-        })
-        df = df.withColumn(sub, F.floor(F.sum(-F.col(loga)).over(through) / _SPAN))
-        inner = blocks.within(sub).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn(decay, F.sum(-F.col(loga)).over(inner))
-        df = df.withColumn(local, F.sum(F.col(b) * F.exp(decay)).over(inner) / F.exp(decay))
-        is_tail = F.lead(sub, 1).over(w) != F.col(sub)
-        value = F.col(local)
-        for _ in range(_PASSES):
-            df = df.withColumn(tail, F.when(is_tail, value))
-            df = df.withColumn(tail, F.last(tail, True).over(before))
-            value = F.col(local) + F.coalesce(F.col(tail) * F.exp(-F.col(decay)), F.lit(0.0))
-        seen = F.col(observed) if observed else F.col(n)
-        ready = (seen >= min_periods) & (F.col(n) > 0)
-        return df.withColumn(name, F.when(ready, value)).drop(*helpers)
+            e.name: F.when((F.col(e.observed or f"__{e.name}_n") >= e.min_periods) & (part(e, "n") > 0), part(e, "y"))
+            for e in averages})
+        helpers = [f"__{e.name}_{p}" for e in averages for p in ("prev", "n", "keep", "loga", "b", "decay", "local", "y", "tail")]
+        return df.drop("__sub", "__end", *helpers)
 
     return step
 
@@ -145,7 +172,7 @@ def rsi_steps(source: str, n: int, name: str, smoothing: str = "wilder") -> list
     steps = [S.columns(**{up: lambda w: F.greatest(diff(w), F.lit(0.0)) + diff(w) * 0,
                           down: lambda w: F.greatest(-diff(w), F.lit(0.0)) + diff(w) * 0})]
     if smoothing == "wilder":
-        steps += [ewm(up, 1.0 / n, n, f"{up}_s"), ewm(down, 1.0 / n, n, f"{down}_s")]
+        steps.append(ewm(Ewm(f"{up}_s", up, 1.0 / n, n), Ewm(f"{down}_s", down, 1.0 / n, n)))
     else:
         steps.append(S.columns(**{f"{up}_s": mean(up, n), f"{down}_s": mean(down, n)}))
 
@@ -174,7 +201,7 @@ def _plain(name: str, before: int, expr: Callable[[WindowSpec], Column], *needs:
 
 def _ema(n: int) -> Indicator:
     return Indicator(f"ema_{n}", ewm_history(_span(n)),
-                     step=ewm("close", _span(n), n, f"ema_{n}", observed="__n_close"))
+                     ewm=Ewm(f"ema_{n}", "close", _span(n), n, observed="__n_close"))
 
 
 CATALOG: dict[str, Indicator] = {}
@@ -215,19 +242,11 @@ def _defaults() -> Iterable[Indicator]:
     for n in (10, 12, 20, 26, 50, 200):
         yield _ema(n)
     yield _plain("macd", 0, lambda w: F.col("ema_12") - F.col("ema_26"), "ema_12", "ema_26")
-    yield Indicator("macd_signal", ewm_history(_span(9)), step=ewm("macd", _span(9), 9, "macd_signal"),
+    yield Indicator("macd_signal", ewm_history(_span(9)), ewm=Ewm("macd_signal", "macd", _span(9), 9),
                     needs=("macd",))
     yield _plain("macd_hist", 0, lambda w: F.col("macd") - F.col("macd_signal"), "macd", "macd_signal")
     yield Indicator("rsi_14", ewm_history(1 / 14) + 1, step=chain(*rsi_steps("close", 14, "rsi_14")))
     yield Indicator("rsi_14_simple", 15, step=chain(*rsi_steps("close", 14, "rsi_14_simple", "simple")))
-    yield _plain("obv_flow", 1, _obv_flow)
-
-
-def _obv_flow(w: WindowSpec) -> Column:
-    """Signed volume of the row; the first row counts in full."""
-    prev, close, volume = F.lag("close", 1).over(w), F.col("close"), F.coalesce("volume", F.lit(0.0))
-    return (F.when(F.col("pos") == 1, volume).when(close > prev, volume)
-            .when(close < prev, -volume).otherwise(F.lit(0.0)))
 
 
 for _indicator in _defaults():
@@ -249,7 +268,9 @@ STORED = [name for names in GROUPS.values() for name in names]
 
 def lookback(name: str) -> int:
     """Rows of history the indicator and everything it is built from need."""
-    item = CATALOG["obv_flow" if name == "obv" else name]
+    if name == "obv":
+        return 1
+    item = CATALOG[name]
     return item.before + max((lookback(n) for n in item.needs), default=0)
 
 
@@ -271,6 +292,9 @@ def _level_step(items: list[Indicator]) -> S.Step:
         plain = {i.name: i.expr(blocks.window) for i in items if i.expr is not None}
         if plain:
             df = df.withColumns(plain)
+        averages = [i.ewm for i in items if i.ewm is not None]
+        if averages:
+            df = ewm(*averages)(df, blocks)
         for item in items:
             if item.step is not None:
                 df = item.step(df, blocks)
@@ -278,17 +302,38 @@ def _level_step(items: list[Indicator]) -> S.Step:
     return run
 
 
-def indicator_set(df: DataFrame, names: Sequence[str] = tuple(STORED), series: S.Series = S.bars()) -> DataFrame:
-    """Add the requested indicators, with whatever they depend on, to bars."""
-    wanted = ["obv_flow" if n == "obv" else n for n in names]
-    levels = _levels(wanted)
-    averages = any(n.startswith("ema_") for level in levels for n in [i.name for i in level])
-    sums = {"__n_close": F.col("close").isNotNull().cast("long")} if averages else None
-    out = S.over_blocks(df, series, [_level_step(level) for level in levels],
-                        before=max(lookback(n) for n in wanted), sums=sums)
+def _obv_flow() -> Column:
+    """Signed volume of the row; the first row counts in full."""
+    prev, close, volume = F.col("__prev"), F.col("close"), F.coalesce("volume", F.lit(0.0))
+    return (F.when(F.col("pos") == 1, volume).when(F.isnan(prev), 0.0).when(close > prev, volume)
+            .when(close < prev, -volume).otherwise(F.lit(0.0)))
+
+
+def indicator_set(df: DataFrame, names: Sequence[str] = tuple(STORED), series: S.Series | None = None) -> DataFrame:
+    """Add the requested indicators, with whatever they depend on, to bars.
+
+    Row numbers, running counts and on-balance volume come from one shuffle of the
+    rows, everything windowed from a second one.
+    """
+    series = series or S.bars()
+    # The previous close, NaN where that row had none (inputs hold NULL, never NaN).
+    previous = F.coalesce("close", F.lit(float("nan")))
+    windowed = [n for n in names if n != "obv"]
+    levels = _levels(windowed) if windowed else []
+    averages = any(i.ewm is not None for level in levels for i in level)
+    rows = S.bucketed(df, series)
+    rows = S.running(
+        rows, series,
+        sums={"pos": F.lit(1).cast("long"),
+              **({"__n_close": F.col("close").isNotNull().cast("long")} if averages else {})},
+        lasts={"__prev": previous} if "obv" in names else {}, before_row=("__prev",))
     if "obv" in names:
-        out = S.running(out, series, sums={"obv": F.col("obv_flow")})
-    return out.select(*df.columns, *[n for n in names if n not in df.columns])
+        rows = S.running(rows, series, sums={"obv": _obv_flow()})
+    rows = rows.drop(S.BUCKET)
+    if windowed:
+        rows = S.over_blocks(rows, series, [_level_step(level) for level in levels],
+                             before=max(lookback(n) for n in windowed), numbered=True)
+    return rows.select(*df.columns, *[n for n in names if n not in df.columns])
 
 
 def groups_to_columns(groups: Sequence[str]) -> list[str]:

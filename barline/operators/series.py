@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from barline.functions.timeops import step_seconds
 
 BLOCK_ROWS = 65_536
+BUCKET = "__bucket"
 
 
 @dataclass(frozen=True)
@@ -70,8 +71,12 @@ def stepped(keys: Sequence[str], step: str, block_rows: int = BLOCK_ROWS) -> Ser
                   lambda s: F.floor(F.col(step) / F.lit(s.block_rows)))
 
 
-def timed(keys: Sequence[str], order: Sequence[str], seconds: int) -> Series:
-    """Irregular series: buckets of ``seconds``, chosen so that a bucket fits a task."""
+def timed(keys: Sequence[str], order: Sequence[str], seconds: int = 900) -> Series:
+    """Irregular series cut into short, fixed stretches of time.
+
+    However hot a key is, one task gets what arrives for it in ``seconds``; the
+    number of buckets of a key is bounded by the calendar.
+    """
     return Series(tuple(keys), tuple(order), BLOCK_ROWS,
                   lambda s: F.floor(F.unix_seconds(F.col(order[0]).cast("timestamp")) / F.lit(seconds)))
 
@@ -93,7 +98,8 @@ def running(
     row itself out.
 
     The input is evaluated twice, once narrow for the bucket totals. Chains of these
-    on a derived input should start from a written table (``session.settle``).
+    on a derived input should start from a written table (``session.settle``); chains
+    on a frame that went through ``bucketed`` share one shuffle and sort of its rows.
     """
     sums, lasts, mins, nexts = dict(sums or {}), dict(lasts or {}), dict(mins or {}), dict(nexts or {})
     keys = list(series.keys)
@@ -118,32 +124,39 @@ def running(
 
     ascending, descending = [F.col(c).asc() for c in series.order], [F.col(c).desc() for c in series.order]
     others = [c for c in df.columns if c not in every]
-    rows = rows.withColumn("__bucket", series.bucket_column())
-    position = F.struct(*series.order)
+    if BUCKET not in df.columns:
+        rows = rows.withColumn(BUCKET, series.bucket_column())
+    # A bare column keeps the bucket totals in a hash aggregate.
+    position = F.col(series.order[0]) if len(series.order) == 1 else F.struct(*series.order)
 
     def present(name: str) -> Column:
         return F.when(F.col(f"__in_{name}").isNotNull(), position)
 
-    totals = rows.groupBy(*keys, "__bucket").agg(
+    totals = rows.groupBy(*keys, BUCKET).agg(
         *[F.sum(f"__in_{n}").alias(f"__tot_{n}") for n in sums],
         *[F.max_by(f"__in_{n}", present(n)).alias(f"__tot_{n}") for n in lasts],
         *[F.min(f"__in_{n}").alias(f"__tot_{n}") for n in mins],
         *[F.min_by(f"__in_{n}", present(n)).alias(f"__tot_{n}") for n in nexts])
     over = Window.partitionBy(*keys)
-    carry = totals.withColumns(values(over.orderBy(F.col("__bucket").asc()), over.orderBy(F.col("__bucket").desc()), "__carry_"))
-    carry = carry.select(*keys, "__bucket", *[f"__carry_{n}" for n in every])
+    carry = totals.withColumns(values(over.orderBy(F.col(BUCKET).asc()), over.orderBy(F.col(BUCKET).desc()), "__carry_"))
+    carry = carry.select(*keys, BUCKET, *[f"__carry_{n}" for n in every])
 
-    inside = Window.partitionBy(*keys, "__bucket")
+    inside = Window.partitionBy(*keys, BUCKET)
     local = rows.withColumns(values(inside.orderBy(*ascending), inside.orderBy(*descending), "__run_"))
     combine = {
         **{n: F.coalesce(f"__run_{n}", F.lit(0)) + F.coalesce(f"__carry_{n}", F.lit(0)) for n in sums},
         **{n: F.coalesce(f"__run_{n}", f"__carry_{n}") for n in [*lasts, *nexts]},
         **{n: F.least(f"__run_{n}", f"__carry_{n}") for n in mins},
     }
-    return local.join(carry, [*keys, "__bucket"], "left").select(
+    return local.join(carry, [*keys, BUCKET], "left").select(
         *others, *[combine[n].alias(n) for n in every])
 
 
+def bucketed(df: DataFrame, series: Series) -> DataFrame:
+    """Fix the bucket column up front, so that consecutive running passes share it."""
+    return df.withColumn(BUCKET, series.bucket_column())
+
+
 def with_position(df: DataFrame, series: Series, name: str = "pos", **sums: Column) -> DataFrame:
     """Number the rows of every series 1, 2, 3, ... in order; add running ``sums`` too."""
     return running(df, series, sums={name: F.lit(1).cast("long"), **sums})
@@ -178,16 +191,16 @@ def over_blocks(
     steps: Sequence[Step],
     before: int = 0,
     after: int = 0,
-    sums: Mapping[str, Column] | None = None,
+    numbered: bool = False,
 ) -> DataFrame:
     """Run window ``steps`` that see ``before`` rows back and ``after`` rows ahead.
 
     Steps get the rows with their block and the windows over it.
-    ``pos`` (the row number inside the series) and the running ``sums`` are
-    available to them and stay in the result. Rolling frames may not reach
+    ``pos`` (the row number inside the series) is available to them and stays in the
+    result; with ``numbered`` the input has it already. Rolling frames may not reach
     further than declared.
     """
-    numbered = with_position(df, series, **(sums or {}))
+    rows = df if numbered else with_position(df, series)
     size = F.lit(max(series.block_rows, before, after)).cast("long")
     zero = F.col("pos") - 1
     own = F.floor(zero / size)
@@ -197,7 +210,7 @@ def over_blocks(
         homes.append(F.when(offset >= size - before, own + 1))
     if after:
         homes.append(F.when((offset < after) & (own > 0), own - 1))
-    placed = numbered.withColumn("__block", F.explode(F.array_compact(F.array(*homes))))
+    placed = rows.withColumn("__block", F.explode(F.array_compact(F.array(*homes))))
     blocks = Blocks(series.keys)
     for step in steps:
         placed = step(placed, blocks)

@@ -62,7 +62,7 @@ query("directional_loss", _P + """SELECT CAST(horizon AS INTEGER) AS horizon, ro
 query("batch_mean_loss", _P + """, e AS (SELECT horizon, (y - yhat) ** 2 AS sq, (row_number() OVER (PARTITION BY horizon ORDER BY dt, ticker) - 1) // 64 AS b FROM predictions),
  g AS (SELECT horizon, b, avg(sq) AS m, sum(sq) AS s, count(sq) AS n FROM e GROUP BY horizon, b)
  SELECT CAST(horizon AS INTEGER) AS horizon, count(*) AS batches, round(avg(m), 6) AS batch_mean, round(sum(s) / sum(n), 6) AS exact_mean FROM g GROUP BY horizon""")(
-    lambda s, d: _round(E.batch_mean_loss(_predicted(s, d), S.timed(("horizon",), ("dt", "ticker"), 30 * 86_400), 64), "batch_mean", "exact_mean"))
+    lambda s, d: _round(E.batch_mean_loss(_predicted(s, d), S.timed(("horizon",), ("dt", "ticker"), 86_400), 64), "batch_mean", "exact_mean"))
 query("persistence_forecast", O.with_(O.BARS) + """, h AS (SELECT *, unnest([7, 14]) AS horizon FROM (SELECT ticker, dt, close,
    lead(close, 7) OVER w AS f7, lag(close, 7) OVER w AS l7, lead(close, 14) OVER w AS f14, lag(close, 14) OVER w AS l14 FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY dt))),
  y AS (SELECT horizon, CASE horizon WHEN 7 THEN (f7 - close) / close ELSE (f14 - close) / close END AS y,

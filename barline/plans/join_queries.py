@@ -138,7 +138,7 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = X.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     left = events.where("event_type = 'click'").select("event_id", "user_id", "ts")
     right = events.where("event_type = 'purchase'").select("user_id", "ts", "value")
-    return J.asof_backward(left, right, ["user_id"], ["value"], S.timed(("user_id",), ("ts",), 30 * 86_400))
+    return J.asof_backward(left, right, ["user_id"], ["value"], S.timed(("user_id",), ("ts",)))
 
 
 @query("hp_grid", O.with_(O.SCALARS) + """SELECT run, d_model, n_layers, d_ff FROM (

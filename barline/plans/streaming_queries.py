@@ -6,6 +6,8 @@ delay) has passed its end; the oracle text keeps exactly those windows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,12 +64,13 @@ def stream_ohlc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _collect(spark, stream, "ohlc").drop("vwap")
 
 
-def _land(df: DataFrame, path: str, bounds: list[str | None]) -> None:
-    """Files of consecutive time ranges, written one after the other."""
+def _arrivals(df: DataFrame, path: str, bounds: list[str | None]) -> Iterator[None]:
+    """Land consecutive time ranges as files, pausing after each."""
     for low, high in zip(bounds, bounds[1:]):
         part = df if low is None else df.where(F.col("ts") >= F.lit(low).cast("timestamp"))
         part = part if high is None else part.where(F.col("ts") < F.lit(high).cast("timestamp"))
-        part.repartition(1).write.mode("append").parquet(path)
+        part.write.mode("append").parquet(path)
+        yield
 
 
 _WEEKS = [None, "2024-01-08", "2024-01-15", "2024-01-22", None]
@@ -78,28 +81,27 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _feed(spark: SparkSession, df: DataFrame, path: str) -> DataFrame:
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return spark.readStream.schema(df.schema).parquet(path)
 
 
 @query("stream_upsert", """SELECT user_id, CAST(ts AS DATE) AS dt, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id,
    arg_max(value, (ts, event_id)) AS value FROM events GROUP BY user_id, CAST(ts AS DATE)""")
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     base, events = work_dir(spark, "upsert"), _events(spark, sf_dir)
-    _land(events, f"{base}/landed", _WEEKS)
-    daily = lambda df: df.select("user_id", F.to_date("ts").alias("dt"), "ts", "event_id", "value")
-    feeds.run_batches(_feed(spark, events, f"{base}/landed"),
-                      feeds.upsert_into(f"{base}/table", "dt", ["user_id", "dt"], ["ts", "event_id"], daily),
-                      f"{base}/checkpoint")
+    each = feeds.upsert_into(
+        f"{base}/table", "dt", ["user_id", "dt"], ["ts", "event_id"],
+        lambda df: df.select("user_id", F.to_date("ts").alias("dt"), "ts", "event_id", "value"))
+    for _ in _arrivals(events, f"{base}/landed", _WEEKS):
+        feeds.run_batches(_feed(spark, events, f"{base}/landed"), each, f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/table")
 
 
 @query("stream_topup", "SELECT event_id, ts, value FROM events")
 def stream_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two runs with one checkpoint: the second reads only the files landed since."""
+    """Several runs with one checkpoint: each reads only the files landed since."""
     base, events = work_dir(spark, "topup"), _events(spark, sf_dir)
     rows = events.select("event_id", "ts", "value")
-    for bounds in (_WEEKS[:3], _WEEKS[2:]):
-        _land(rows, f"{base}/landed", bounds)
+    for _ in _arrivals(rows, f"{base}/landed", _WEEKS):
         feeds.run_to_table(_feed(spark, rows, f"{base}/landed"), f"{base}/rows", f"{base}/checkpoint")
     return spark.read.parquet(f"{base}/rows")
 
@@ -117,15 +119,15 @@ def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_indicators_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = work_dir(spark, "indicators")
     bars = X.bars(spark, sf_dir).select("ticker", "ts", "close", "volume")
-    _land(bars, f"{base}/landed", [None, "1997-01-01", "2000-01-01", None])
     before = spark.conf.get(_STORE, None)
     spark.conf.set(_STORE, _ROCKS)
     try:
-        stream = stream_indicators(_feed(spark, bars, f"{base}/landed"))
-        feeds.run_to_table(stream, f"{base}/rows", f"{base}/checkpoint")
+        for _ in _arrivals(bars, f"{base}/landed", [None, "1997-01-01", "2000-01-01", None]):
+            stream = stream_indicators(_feed(spark, bars, f"{base}/landed"))
+            feeds.run_to_table(stream, f"{base}/rows", f"{base}/checkpoint")
     finally:
         spark.conf.set(_STORE, before) if before else spark.conf.unset(_STORE)
-    return spark.read.schema(stream.schema).parquet(f"{base}/rows").withColumns(
+    return spark.read.parquet(f"{base}/rows").withColumns(
         {n: F.round(n, 4) for n in ("sma_10", "ema_12")})
 
 

@@ -136,7 +136,7 @@ def run_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
     for kind, name in TAGS.items():
         tag = F.when(F.col("event_type") == kind, name).otherwise(tag)
     events = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value")
-    stepped = S.with_position(events, S.timed(("user_id", "event_type"), ("ts", "event_id"), 30 * 86_400))
+    stepped = S.with_position(events, S.timed(("user_id", "event_type"), ("ts", "event_id")))
     user = F.col("user_id")
     return stepped.select(
         F.concat(F.lit("reg_md0."), (user % 3).cast("string"), F.lit("_wd0.0"), (user % 5).cast("string"),
