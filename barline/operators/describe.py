@@ -44,24 +44,26 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[f
         one = brackets.select(F.struct("__n", "__low", "__high")).scalar()
         joined = rows.withColumn("__b", one).select("__v", "__b.*")
     # Equal values are counted before the shuffle; everything below a bracket is one group.
-    counted = (joined.select(*keys, "__n", F.explode(F.array_compact(F.array(*marks))).alias("m"))
-               .groupBy(*keys, "__n", F.col("m.i").alias("i"), F.col("m.v").alias("v")).agg(F.count("*").alias("k")))
-    up_to = F.sum("k").over(Window.partitionBy(*keys, "i").orderBy(F.col("v").asc_nulls_first())
+    counted = (joined.select(*keys, "__n", F.explode(F.array_compact(F.array(*marks))).alias("__m"))
+               .groupBy(*keys, "__n", F.col("__m.i").alias("__i"), F.col("__m.v").alias("__x"))
+               .agg(F.count("*").alias("__k")))
+    up_to = F.sum("__k").over(Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first())
                             .rowsBetween(Window.unboundedPreceding, 0))
-    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("i") + 1)
+    p = F.element_at(F.array(*[F.lit(float(x)) for x in probs]), F.col("__i") + 1)
     at = p * (F.col("__n") - 1)
     first = F.floor(at) + 1 if method == "cont" else F.greatest(F.ceil(F.round(p * F.col("__n"), 9)), F.lit(1))
     second = F.ceil(at) + 1 if method == "cont" else first
     ranked = counted.withColumns({"__to": up_to, "__first": first, "__second": second, "__frac": at - F.floor(at)})
 
     def value_at(rank: str):
-        return F.max(F.when((F.col(rank) <= F.col("__to")) & (F.col(rank) > F.col("__to") - F.col("k")), F.col("v")))
+        return F.max(F.when((F.col(rank) <= F.col("__to")) & (F.col(rank) > F.col("__to") - F.col("__k")), F.col("__x")))
 
-    picked = ranked.groupBy(*keys, "i").agg(
-        value_at("__first").alias("a"), value_at("__second").alias("b"), F.max("__frac").alias("f"))
-    value = F.col("a") + (F.col("b") - F.col("a")) * F.col("f") if method == "cont" else F.col("a")
+    picked = ranked.groupBy(*keys, "__i").agg(
+        value_at("__first").alias("__a"), value_at("__second").alias("__b"), F.max("__frac").alias("__f"))
+    a, b = F.col("__a"), F.col("__b")
+    value = a + (b - a) * F.col("__f") if method == "cont" else a
     return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+        F.max(F.when(F.col("__i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
 
 
 def describe(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

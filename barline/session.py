@@ -23,6 +23,10 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings to a session the caller owns."""
     for key, value in RUNTIME_CONF.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # The default is far too many for one machine, above all for streaming state.
+        spark.conf.set("spark.sql.shuffle.partitions", str(context.defaultParallelism))
     return spark
 
 
@@ -42,6 +46,9 @@ def build_session(master: str = "local[*]", app: str = "barline", **conf: str) -
     return builder.getOrCreate()
 
 
+_LOCAL_BASE: dict[str, str] = {}
+
+
 def work_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
@@ -50,10 +57,12 @@ def work_dir(spark: SparkSession, label: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        context = spark.sparkContext
+        if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        base = tempfile.mkdtemp(prefix="barline-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if context.applicationId not in _LOCAL_BASE:
+            _LOCAL_BASE[context.applicationId] = tempfile.mkdtemp(prefix="barline-")
+        base = _LOCAL_BASE[context.applicationId]
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
