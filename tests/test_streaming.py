@@ -26,11 +26,12 @@ def base(spark):
 
 
 def test_late_rows_are_dropped_and_windows_close_once(spark, base):
-    stream = spark.readStream.schema(SCHEMA).parquet(f"{base}/in").select(
-        F.col("user").alias("ticker"), "ts", F.col("id").alias("event_id"), F.col("v").alias("price"), F.lit(1.0).alias("volume"))
-    bars = feeds.closed_window(feeds.ohlc(stream, "10 minutes", delay="5 minutes"), "bar_ts")
     for data in (rows((1, "a", 1), (2, "a", 9), (3, "a", 30)), rows((4, "a", 2), (5, "a", 60))):
         land(spark, f"{base}/in", data)
+        stream = spark.readStream.schema(SCHEMA).parquet(f"{base}/in").select(
+            F.col("user").alias("ticker"), "ts", F.col("id").alias("event_id"), F.col("v").alias("price"),
+            F.lit(1.0).alias("volume"))
+        bars = feeds.closed_window(feeds.ohlc(stream, "10 minutes", delay="5 minutes"), "bar_ts")
         feeds.run_to_table(bars, f"{base}/out", f"{base}/ck")
     got = {r.bar_ts: (r.open, r.close, r.transactions) for r in spark.read.parquet(f"{base}/out").collect()}
     assert got == {START: (1.0, 2.0, 2), START + dt.timedelta(minutes=30): (3.0, 3.0, 1)}
@@ -45,8 +46,8 @@ def test_upsert_replay_and_disorder_change_nothing(spark, base):
 
 
 def test_duplicates_across_arrivals(spark, base):
-    stream = feeds.deduplicated(spark.readStream.schema(SCHEMA).parquet(f"{base}/in"), ["id"])
     for data in (rows((1, "a", 1), (1, "a", 1)), rows((1, "a", 1), (2, "a", 3))):
         land(spark, f"{base}/in", data)
+        stream = feeds.deduplicated(spark.readStream.schema(SCHEMA).parquet(f"{base}/in"), ["id"])
         feeds.run_to_table(stream, f"{base}/out", f"{base}/ck")
     assert sorted(r.id for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2]
