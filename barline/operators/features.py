@@ -129,23 +129,27 @@ def window_weight(row: Column, lookback: int, n_train: Column) -> Column:
 def fit_standard(df: DataFrame, features: Sequence[str], weight: Column | None = None) -> DataFrame:
     """Weighted mean and population deviation per feature, as one row of structs.
 
-    Time features are left out; a constant feature gets deviation 1.
+    Time features are left out; a constant feature gets deviation 1. The deviation
+    is taken around the mean in a second pass, which stays accurate for features
+    whose mean is large against their spread.
     """
+    names = [f for f in features if f not in TIME_FEATURES]
     w = (F.lit(1) if weight is None else weight).cast("double")
-    used = df.withColumn("__w", w).where(F.col("__w") > 0)
+    used = df.select(*names, w.alias("__w")).where(F.col("__w") > 0)
+
+    def total(f: str) -> Column:
+        return F.sum(F.when(F.col(f).isNotNull(), F.col("__w")))
+
+    centres = used.agg(F.struct(*[
+        F.when(F.min(f) == F.max(f), F.min(f)).otherwise(F.try_divide(F.sum(F.col(f) * F.col("__w")), total(f))).alias(f)
+        for f in names])).scalar()
     aggs = []
-    for f in features:
-        if f in TIME_FEATURES:
-            continue
-        c = F.col(f)
-        total = F.sum(F.when(c.isNotNull(), F.col("__w")))
-        mean = F.try_divide(F.sum(c * F.col("__w")), total)
-        square = F.try_divide(F.sum(c * c * F.col("__w")), total)
-        std = F.sqrt(F.greatest(square - mean * mean, F.lit(0.0)))
-        constant = F.coalesce(F.min(c) == F.max(c), F.lit(True))
-        aggs.append(F.struct(F.when(constant, F.min(c)).otherwise(mean).alias("mean"),
-                             F.when(constant | (std == 0), 1.0).otherwise(std).alias("std")).alias(f))
-    return used.agg(*aggs)
+    for f in names:
+        off = F.col(f) - F.col("__c")[f]
+        std = F.sqrt(F.try_divide(F.sum(off * off * F.col("__w")), total(f)))
+        aggs.append(F.struct(F.first(F.col("__c")[f], True).alias("mean"),
+                             F.when(F.coalesce(std, F.lit(0.0)) == 0, 1.0).otherwise(std).alias("std")).alias(f))
+    return used.withColumn("__c", centres).agg(*aggs)
 
 
 def scaler_table(fitted: DataFrame) -> DataFrame:

@@ -217,6 +217,8 @@ def _defaults() -> Iterable[Indicator]:
     yield _plain("returns_5", 5, change("close", 5))
     yield _plain("returns_21", 21, change("close", 21))
     yield _plain("log_returns", 1, log_change("close"))
+    for k in (5, 21):
+        yield _plain(f"log_returns_{k}", k, log_change("close", k))
     for n in (5, 10, 20, 21):
         yield _plain(f"volatility_{n}", n - 1, spread("returns", n), "returns")
     for k in (5, 10, 21):
@@ -239,7 +241,7 @@ def _defaults() -> Iterable[Indicator]:
                  "bb_upper_20", "bb_lower_20", "bb_middle_20")
     for n in (5, 10, 20, 21, 50, 200):
         yield _plain(f"sma_{n}", n - 1, mean("close", n))
-    for n in (10, 12, 20, 26, 50, 200):
+    for n in (5, 10, 12, 20, 21, 26, 50, 200):
         yield _ema(n)
     yield _plain("macd", 0, lambda w: F.col("ema_12") - F.col("ema_26"), "ema_12", "ema_26")
     yield Indicator("macd_signal", ewm_history(_span(9)), ewm=Ewm("macd_signal", "macd", _span(9), 9),

@@ -177,6 +177,11 @@ query("time_split", _MZ + "SELECT dt, split FROM z WHERE split IS NOT NULL")(
     lambda s, d: samples(s, d).where("split IS NOT NULL").select("dt", "split"))
 
 
+query("date_split", O.with_(O.BARS) + """SELECT ticker, dt, CASE WHEN dt < DATE '1999-01-01' THEN 'train' WHEN dt < DATE '2000-06-01' THEN 'val'
+  ELSE 'test' END AS split FROM bars""")(
+    lambda s, d: Q.date_split(X.bars(s, d), "1999-01-01", "2000-06-01").select("ticker", "dt", "split"))
+
+
 def _wmean(c: str) -> str:
     return f"sum({c} * weight) / sum(CASE WHEN {c} IS NOT NULL THEN weight END)"
 

@@ -35,7 +35,9 @@ _R_CTE = f"r AS (SELECT *, {_RET} AS returns FROM bars)"
 
 _bar_query("returns", ["returns", "returns_5", "returns_21"], {
     "returns": _RET, "returns_5": f"close / lag(close, 5) {W} - 1", "returns_21": f"close / lag(close, 21) {W} - 1"})
-_bar_query("log_returns", ["log_returns"], {"log_returns": f"ln(close / lag(close, 1) {W})"})
+_bar_query("log_returns", ["log_returns", "log_returns_5", "log_returns_21"], {
+    "log_returns": f"ln(close / lag(close, 1) {W})", "log_returns_5": f"ln(close / lag(close, 5) {W})",
+    "log_returns_21": f"ln(close / lag(close, 21) {W})"})
 _vol = {f"volatility_{n}": O.guard("stddev_samp", "returns", n) for n in (5, 10, 20, 21)}
 query("volatility", O.with_(O.BARS, _R_CTE) + "SELECT ticker, dt, "
       + ", ".join(f"round({e}, 6) AS {n}" for n, e in _vol.items()) + " FROM r")(

@@ -51,3 +51,15 @@ def test_duplicates_across_arrivals(spark, base):
         stream = feeds.deduplicated(spark.readStream.schema(SCHEMA).parquet(f"{base}/in"), ["id"])
         feeds.run_to_table(stream, f"{base}/out", f"{base}/ck")
     assert sorted(r.id for r in spark.read.parquet(f"{base}/out").collect()) == [1, 2]
+
+
+def test_sliding_windows_equal_batch(spark, base):
+    land(spark, f"{base}/in", rows(*[(i, "a", i * 7) for i in range(30)]))
+    def shaped(df):
+        return df.select(F.col("user").alias("ticker"), "ts", F.col("id").alias("event_id"), F.col("v").alias("price"),
+                         F.lit(1.0).alias("volume"))
+    stream = feeds.ohlc(shaped(spark.readStream.schema(SCHEMA).parquet(f"{base}/in")), "1 hour", "15 minutes", "5 minutes")
+    feeds.run_to_table(stream, f"{base}/out", f"{base}/ck")
+    batch = feeds.ohlc(shaped(spark.read.schema(SCHEMA).parquet(f"{base}/in")), "1 hour", "15 minutes", "5 minutes")
+    closed = batch.where(F.col("window.end") <= F.lit(START + dt.timedelta(minutes=29 * 7 - 5)))
+    assert sorted(spark.read.parquet(f"{base}/out").collect()) == sorted(closed.collect())
