@@ -6,7 +6,6 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from barline.functions import timeops
 from barline.operators import series as S
@@ -210,6 +209,3 @@ def missing_profile(df: DataFrame, names: Sequence[str], order: Sequence[str], h
     return (a.join(b, "column_name").withColumn("family", family)
             .orderBy(F.col("nulls").desc(), "column_name").limit(worst))
 
-
-def numeric_columns(df: DataFrame) -> list[str]:
-    return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]

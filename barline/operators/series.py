@@ -12,13 +12,15 @@ blocks instead:
   ahead. It numbers the rows of each series with ``running``, cuts the numbering
   into blocks, and copies only the rows a neighbouring block has to see.
 
-Both give exactly the rows a per-series window would give.
+Both give exactly the rows a per-series window would give. Rows must be unique in
+their order columns; tables with repeated keys go through ``merge.dedupe`` first,
+which is an aggregate and combines copies before any shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -50,9 +52,6 @@ class Series:
         width = step_seconds(F.col("frequency")) * F.lit(self.block_rows)
         return F.floor(seconds / width)
 
-    def sized(self, block_rows: int) -> "Series":
-        return replace(self, block_rows=block_rows)
-
 
 def bars(block_rows: int = BLOCK_ROWS) -> Series:
     """Series of (ticker, frequency) ordered by ``ts``, one row per period."""
@@ -71,7 +70,7 @@ def stepped(keys: Sequence[str], step: str, block_rows: int = BLOCK_ROWS) -> Ser
                   lambda s: F.floor(F.col(step) / F.lit(s.block_rows)))
 
 
-def timed(keys: Sequence[str], order: Sequence[str], seconds: int = 900) -> Series:
+def timed(keys: Sequence[str], order: Sequence[str], seconds: int = 60) -> Series:
     """Irregular series cut into short, fixed stretches of time.
 
     However hot a key is, one task gets what arrives for it in ``seconds``; the

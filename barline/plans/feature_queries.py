@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barline.functions import numeric, timeops
 from barline.operators import features as Q
-from barline.operators import filters, indicators as I, missing, quality, reshape as R, series as S
+from barline.operators import filters, indicators as I, quality, reshape as R, series as S
 from barline.plans import oracle as O
 from barline.plans.filter_queries import VERSIONS, two_versions
 from barline.plans.join_queries import SHARED, shared_daily

@@ -17,6 +17,7 @@ from barline.operators import quality
 from barline.operators import runs
 from barline.operators import sentiment as N
 from barline.operators import series as S
+from barline.operators import warmup
 from barline.session import work_dir
 from barline.sources import writers
 
@@ -216,3 +217,22 @@ def test_registered_indicator_joins_the_set(spark):
         assert values(I.indicator_set(bars(spark, [4.0]), ["half_close"]), "half_close") == [2.0]
     finally:
         del I.CATALOG["half_close"]
+
+
+def test_warmup_needs_follow_the_longest_indicator(spark):
+    assert warmup.periods_needed(["sma_200", "returns"]) == 200
+    assert warmup.periods_needed(["volatility_20"]) == 21
+    assert (warmup.scan_days("daily", 200), warmup.scan_days("15m", 96)) == (245, 6)
+
+
+def test_deletes_keep_rows_the_condition_does_not_decide(spark):
+    df = spark.createDataFrame([("shop", "1d"), ("other", "1d"), (None, "1d")], "topic_group_id string, frequency string")
+    assert M.delete_topic_group(df, "shop", "1d").count() == 2
+    kept = M.delete_key_range(bars(spark, [1.0, 2.0, 3.0]), ["A"], "2020-01-02", "2020-01-02", "1d")
+    assert values(kept, "close") == [1.0, 3.0]
+    assert M.any_row(kept, F.col("close") == 3.0) and not M.any_row(kept, F.col("close") == 2.0)
+
+
+def test_correlated_features_are_dropped_later_one_first(spark):
+    df = spark.createDataFrame([(float(i), float(2 * i), float(i % 3)) for i in range(30)], "a double, b double, c double")
+    assert Q.drop_correlated(df, ["a", "b", "c"]).columns == ["a", "c"]
