@@ -23,10 +23,13 @@ def _ahead(price: str, h: int):
     return lambda w: F.try_divide(F.lead(price, h).over(w) - F.col(price), F.col(price))
 
 
-def forward_returns(df: DataFrame, series: S.Series, price: str, horizons: Sequence[int]) -> DataFrame:
-    """Relative change to the price ``h`` rows ahead, as ``target_{h}``."""
+def forward_returns(df: DataFrame, series: S.Series, price: str, horizons: Sequence[int],
+                    keep_position: bool = False) -> DataFrame:
+    """Relative change to the price ``h`` rows ahead, as ``target_{h}``; optionally with
+    the row number as ``pos``."""
     cols = {f"target_{h}": _ahead(price, h) for h in horizons}
-    return S.over_blocks(df, series, [S.columns(**cols)], after=max(horizons)).drop("pos")
+    out = S.over_blocks(df, series, [S.columns(**cols)], after=max(horizons))
+    return out if keep_position else out.drop("pos")
 
 
 def weighted_target(df: DataFrame, weights: Mapping[int, float], log: bool = False, name: str = "target") -> DataFrame:
@@ -77,14 +80,18 @@ def time_split(df: DataFrame, series: S.Series, train: float = 0.7, val: float =
 
 
 def number_samples(df: DataFrame, series: S.Series, lookback: int, far: int, train: float = 0.7,
-                   val: float = 0.15) -> DataFrame:
+                   val: float = 0.15, total: Column | None = None) -> DataFrame:
     """Row number, split of the sample predicted at the row, and its scaler weight.
 
     Samples are the rows with a full lookback before and ``far`` rows after them;
     other rows have no split but may still weigh in as history of training samples.
+    An input that has its ``pos`` already is not numbered again, and ``total`` saves
+    counting it.
     """
-    rows = S.with_position(df, series, "row_no").withColumn("row_no", F.col("row_no") - 1)
-    samples = df.agg(F.greatest(F.count("*") - (lookback + far), F.lit(0).cast("long"))).scalar()
+    rows = df if "pos" in df.columns else S.with_position(df, series)
+    n = df.agg(F.count("*")).scalar() if total is None else total
+    samples = F.greatest(n - (lookback + far), F.lit(0).cast("long"))
+    rows = rows.withColumn("row_no", F.col("pos") - 1).drop("pos")
     index = F.col("row_no") - lookback
     is_sample = (index >= 0) & (index < samples)
     return rows.withColumns({

@@ -169,7 +169,10 @@ _MZ = O.with_(O.BARS, MATRIX, _TARGETS, _NUM)
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The matrix with targets, splits and weights, written once: fitting, scaling and
     windowing all read it again."""
-    return settle(Q.number_samples(settle(with_targets(spark, sf_dir), "targets"), CALENDAR, LOOKBACK, max(HORIZONS)), "samples")
+    rows = settle(matrix(spark, sf_dir), "matrix")
+    targets = Q.forward_returns(rows, CALENDAR, "basket_close", HORIZONS, keep_position=True)
+    total = rows.agg(F.count("*")).scalar()
+    return settle(Q.number_samples(targets, CALENDAR, LOOKBACK, max(HORIZONS), total=total), "samples")
 
 
 _SCALED = [f for f in FEATURES if f not in Q.TIME_FEATURES]
