@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm import common as C
@@ -56,8 +56,12 @@ def likeness(a: np.ndarray, some_a: np.ndarray, b: np.ndarray, some_b: np.ndarra
     return np.where(some_a & some_b, estimate, (~some_a & ~some_b).astype(float))
 
 
-def _hex(marks: np.ndarray, some: np.ndarray) -> list[str]:
-    return [m.tobytes().hex() if s else "" for m, s in zip(marks, some)]
+def _packed(marks: np.ndarray, some: np.ndarray) -> list[bytes]:
+    return [m.tobytes() if s else b"" for m, s in zip(marks, some)]
+
+
+def _as_packed(*columns: str) -> dict[str, Column]:
+    return {c: F.lower(F.hex(c)) for c in columns}
 
 
 def fingerprint(docs: DataFrame) -> DataFrame:
@@ -68,13 +72,13 @@ def fingerprint(docs: DataFrame) -> DataFrame:
             ids = batch.column(0)
             for first, end, data, offsets in C.text_blocks(batch):
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, end - first), pa.array(_hex(*fingerprints(data, offsets)), pa.string())],
+                    [ids.slice(first, end - first), pa.array(_packed(*fingerprints(data, offsets)), pa.binary())],
                     ["doc_id", "fingerprint"])
 
-    return C.texts(docs).mapInArrow(run, "doc_id long, fingerprint string")
+    return C.texts(docs).mapInArrow(run, "doc_id long, fingerprint binary").withColumns(_as_hex("fingerprint"))
 
 
-_RESULT = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+_RESULT = ("doc_id long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, "
            "near_edited double, near_next double, ")
 _SCHEMA = _RESULT + "edge int, text string, part int"
 
@@ -93,9 +97,9 @@ def _compare(ids: list, own: list[str], following: list[str]) -> dict[str, list]
         of_edited = fingerprints(*C.as_block(edited))
         of_next = fingerprints(*C.as_block([t.encode() for t in b]))
         out["n_chars"] += [len(t) for t in a]
-        out["edited_sha256"] += [hashlib.sha256(t).hexdigest() for t in edited]
-        out["fingerprint"] += _hex(*of_own)
-        out["edited_fingerprint"] += _hex(*of_edited)
+        out["edited_sha256"] += [hashlib.sha256(t).digest() for t in edited]
+        out["fingerprint"] += _packed(*of_own)
+        out["edited_fingerprint"] += _packed(*of_edited)
         out["near_edited"] += likeness(*of_own, *of_edited).tolist()
         out["near_next"] += likeness(*of_own, *of_next).tolist()
         first = end
@@ -104,8 +108,8 @@ def _compare(ids: list, own: list[str], following: list[str]) -> dict[str, list]
 
 def _sorted_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Compare every row with the next of its partition; the first and the last row go on as edges."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
-                        ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()),
+    schema = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.binary()),
+                        ("fingerprint", pa.binary()), ("edited_fingerprint", pa.binary()), ("near_edited", pa.float64()),
                         ("near_next", pa.float64()), ("edge", pa.int32()), ("text", pa.string()), ("part", pa.int32())])
     part_id = TaskContext.get().partitionId()
 
@@ -158,7 +162,8 @@ def compare_edited(docs: DataFrame) -> DataFrame:
         for frame in frames:
             yield pd.DataFrame(_compare(frame["doc_id"].tolist(), frame["text"].tolist(), frame["next_text"].tolist()))
 
-    return inner.unionByName(pairs.mapInPandas(stitched, _RESULT.strip(", ")))
+    return (inner.unionByName(pairs.mapInPandas(stitched, _RESULT.strip(", ")))
+            .withColumns(_as_hex("edited_sha256", "fingerprint", "edited_fingerprint")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
