@@ -60,7 +60,7 @@ def _packed(marks: np.ndarray, some: np.ndarray) -> list[bytes]:
     return [m.tobytes() if s else b"" for m, s in zip(marks, some)]
 
 
-def _as_packed(*columns: str) -> dict[str, Column]:
+def _as_hex(*columns: str) -> dict[str, Column]:
     return {c: F.lower(F.hex(c)) for c in columns}
 
 
