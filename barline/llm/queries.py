@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import byte_bpe, fingerprints
+from barline.llm import byte_bpe, fingerprints, language
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_document_fingerprints": fingerprints.query,
+    "op6_language": language.query,
     "op9_byte_bpe": byte_bpe.query,
 }
 ORACLES: dict[str, str] = {}
