@@ -6,11 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import byte_bpe, fingerprints, language
+from barline.llm import byte_bpe, decontaminate, fingerprints, language, line_dedup, token_files
+from barline.session import prepare
+
+
+def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: fn(prepare(spark), sf_dir)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_document_fingerprints": fingerprints.query,
-    "op6_language": language.query,
-    "op9_byte_bpe": byte_bpe.query,
-}
-ORACLES: dict[str, str] = {}
+    name: _prepared(fn) for name, fn in {
+        "op1_token_counts": token_files.query,
+        "op3_benchmark_decontamination": decontaminate.query,
+        "op4_document_fingerprints": fingerprints.query,
+        "op5_line_dedup": line_dedup.query,
+        "op6_language": language.query,
+        "op9_byte_bpe": byte_bpe.query,
+    }.items()}
+ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
