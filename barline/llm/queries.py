@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import byte_bpe, decontaminate, fingerprints, language, line_dedup, token_files
+from barline.llm import byte_bpe, decontaminate, fingerprints, language, line_dedup, near_dedup, token_files
 from barline.session import prepare
 
 
@@ -22,5 +22,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op5_line_dedup": line_dedup.query,
         "op6_language": language.query,
         "op9_byte_bpe": byte_bpe.query,
+        "op10_near_dedup": near_dedup.query,
     }.items()}
 ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
