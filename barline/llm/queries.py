@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import byte_bpe, decontaminate, fingerprints, language, line_dedup, near_dedup, token_files, warc
+from barline.llm import byte_bpe, decontaminate, fingerprints, language, language_model, line_dedup, near_dedup, token_files, warc
 from barline.session import prepare
 
 
@@ -22,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op5_line_dedup": line_dedup.query,
         "op6_language": language.query,
         "op7_warc": warc.query,
+        "op8_language_model": language_model.query,
         "op9_byte_bpe": byte_bpe.query,
         "op10_near_dedup": near_dedup.query,
     }.items()}
