@@ -18,6 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -113,28 +114,55 @@ def matches(docs: DataFrame, benchmark: DataFrame, *more: str, rate: float = RAT
     The benchmark is a query set: it is streamed to the driver item by item and dealt into blocks of bounded size.
     """
     source = C.texts(docs, *more)
-    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), "text").toLocalIterator()
     held = [f for f in source.schema if f.name != "text"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", item_id long, distance long"
     out = None
-    for block in _blocks(((r[0], normalise(r[1])) for r in rows), rate, least):
+    for block in _blocks(_items(benchmark), rate, least):
         part = source.mapInPandas(_searcher(block, [f.name for f in held]), schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else source.sparkSession.createDataFrame([], schema)
 
 
+def _items(benchmark: DataFrame) -> Iterator[tuple[object, str]]:
+    rows = benchmark.where("text is not null").select(F.col("item_id").cast("long"), F.col("text").cast("string"))
+    return ((r[0], normalise(r[1])) for r in rows.toLocalIterator())
+
+
+def _built(block: list[tuple[object, str, int]]) -> tuple[object, list[tuple[int, int, dict[str, int]]]]:
+    """The automaton over a block's pieces, and length, budget and letters of its items."""
+    import ahocorasick
+
+    automaton, owners, items = ahocorasick.Automaton(), {}, []
+    for number, (_, item, edits) in enumerate(block):
+        items.append((len(item), edits, alphabet(item)))
+        for at, piece in pieces(item, edits):
+            owners.setdefault(piece, []).append((number, at + len(piece)))
+    for piece, where in owners.items():
+        automaton.add_word(piece, where)
+    automaton.make_automaton()
+    return automaton, items
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
+    """The rows of ``docs``, unchanged, that no item matches; nothing is shuffled."""
+
+    def keeper(block: list[tuple[object, str, int]]):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton, items = _built(block)
+            for batch in batches:
+                texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
+                yield batch.filter(pa.array([t is None or next(search(normalise(t), automaton, items), None) is None for t in texts], pa.bool_()))
+
+        return run
+
+    for block in _blocks(_items(benchmark), rate, least):
+        docs = docs.mapInArrow(keeper(block), docs.schema)
+    return docs
+
+
 def _searcher(block: list[tuple[object, str, int]], held: list[str]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        automaton, owners, items = ahocorasick.Automaton(), {}, []
-        for number, (_, item, edits) in enumerate(block):
-            items.append((len(item), edits, alphabet(item)))
-            for at, piece in pieces(item, edits):
-                owners.setdefault(piece, []).append((number, at + len(piece)))
-        for piece, where in owners.items():
-            automaton.add_word(piece, where)
-        automaton.make_automaton()
+        automaton, items = _built(block)
         for frame in frames:
             found = [(k, number, distance) for k, text in enumerate(frame["text"])
                      for number, distance in search(normalise(text), automaton, items)]

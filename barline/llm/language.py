@@ -184,10 +184,11 @@ def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, np.nda
     return train(windows, labels, len(names)), names
 
 
-def predict(docs: DataFrame, weights: dict[str, np.ndarray], names: list[str], *more: str) -> DataFrame:
-    """``doc_id``, the further columns asked for, ``lang_pred`` and ``score`` of every row."""
-    source = C.texts(docs, *more).withColumn("letters", F.col("text").rlike(LETTER))
-    held = source.select("doc_id", *more).schema
+def predict(docs: DataFrame, weights: dict[str, np.ndarray], names: list[str], *more: str, keep_text: bool = False
+            ) -> DataFrame:
+    """``doc_id``, on request ``text``, the further columns asked for, ``lang_pred`` and ``score`` of every row."""
+    source = C.texts(docs, *more).withColumn("__letters", F.col("text").rlike(LETTER))
+    held = source.select("doc_id", *(["text"] if keep_text else []), *more).schema
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", lang_pred string, score double"
 
     def run(batches):
@@ -195,7 +196,7 @@ def predict(docs: DataFrame, weights: dict[str, np.ndarray], names: list[str], *
 
         for batch in batches:
             keep = [batch.schema.get_field_index(f.name) for f in held]
-            letters = np.asarray(batch.column(batch.schema.get_field_index("letters")))
+            letters = np.asarray(batch.column(batch.schema.get_field_index("__letters")))
             for first, end, data, offsets in C.text_blocks(batch):
                 known = letters[first:end] & bool(names)
                 pooling = pooled(weights, data, offsets, len(names)) if known.any() else np.zeros((end - first, 1))

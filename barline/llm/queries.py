@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import byte_bpe, decontaminate, fingerprints, language, language_model, line_dedup, near_dedup, token_files, warc
+from barline.llm import byte_bpe, decontaminate, fingerprints, language, language_model, line_dedup, near_dedup, suffix_dedup, token_files, warc
 from barline.session import prepare
 
 
@@ -17,6 +17,7 @@ def _prepared(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSe
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: _prepared(fn) for name, fn in {
         "op1_token_counts": token_files.query,
+        "op2_suffix_dedup": suffix_dedup.query,
         "op3_benchmark_decontamination": decontaminate.query,
         "op4_document_fingerprints": fingerprints.query,
         "op5_line_dedup": line_dedup.query,
