@@ -32,7 +32,7 @@ from barline.llm import common as C
 from barline.session import settle
 
 FOLDS, HELD_FOLD, ADD = 10, 1, 0.1
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 12 << 20
 CLASSES, BINS, BIN_STEP = 48, 512, 0.25  # histogram bins are quarter powers of two
 _END, _PAIR = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xD6E8FEB86659FD93)
 _SMALL = np.arange(256, dtype=np.uint8)
@@ -62,18 +62,29 @@ def _unpack(packed: bytes) -> list[np.ndarray]:
 
 
 def _keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram and bigram keys of every token, and the first token of each text. Bigram keys are odd, others even."""
-    start, end, row = C.words(data, offsets)
-    hashes = C.mix(C.span_hashes(C.prefix_hashes(_SMALL[data]), start, end) + (end - start).astype(np.uint64))
-    texts = len(offsets) - 1
+    """Unigram and bigram keys of every token, and the first token of each text.
+
+    Unigram keys are even and have 63 bits; bigram keys have 56 bits and end in a one.
+    """
+    hashes, rows = [], []
+    low, texts = 0, len(offsets) - 1
+    while low < texts:  # in blocks, for the working arrays of single bytes
+        high = max(low + 1, int(np.searchsorted(offsets, offsets[low] + C.BLOCK_BYTES, "right")) - 1)
+        part = _SMALL[data[offsets[low]:offsets[high]]]
+        h, r = C.word_hashes(part, offsets[low:high + 1] - offsets[low])
+        hashes.append(h)
+        rows.append(r + low)
+        low = high
+    word, row = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (hashes, rows))
+    row = row.astype(np.int64)
     first = np.searchsorted(row, np.arange(texts + 1)) + np.arange(texts + 1)
-    tokens = np.full(len(hashes) + texts, _END)
-    tokens[np.arange(len(hashes)) + row] = hashes
+    tokens = np.full(len(word) + texts, _END)
+    tokens[np.arange(len(word)) + row] = word
     tokens &= ~np.uint64(1)
     before = np.empty_like(tokens)
     before[1:] = tokens[:-1]
-    before[first[:-1]] = _END
-    return tokens, C.mix(before * _PAIR + tokens) | np.uint64(1), first
+    before[first[:-1]] = _END & ~np.uint64(1)
+    return tokens, C.mix(before * _PAIR + tokens) & ~np.uint64(0xFF) | np.uint64(1), first
 
 
 def _distinct(keys: np.ndarray, training: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -103,7 +114,7 @@ def _ask(buckets: int):
                 cuts = np.searchsorted(keys >> np.uint64(32), np.array([(k << 32) // buckets for k in range(buckets + 1)], np.uint64))
                 known = np.asarray(ids.slice(a, b - a).is_valid())
                 number = np.asarray(ids.slice(a, b - a).fill_null(0))
-                text = zstandard.ZstdCompressor(level=3).compress(data.tobytes())
+                text = zstandard.ZstdCompressor(level=6).compress(data.tobytes())
                 own = _pack(number, known.astype(np.uint8), folds[a:b].astype(np.uint8), offsets, np.frombuffer(text, np.uint8))
                 rows = [(-1 - chunk, chunk, 0, 0, own)]
                 for k in range(buckets):
@@ -137,7 +148,7 @@ def _answer(frame: pd.DataFrame) -> pd.DataFrame:
                                          "payload": [_pack(total)]})])[["dest", "chunk", "kind", "bucket", "payload"]]
 
 
-_DOC = "kind int, doc_id long, fold int, n_tokens long, n_known long, payload binary"
+_COUNTED = "kind int, total long, kinds long, payload binary"
 
 
 def _classes(context: np.ndarray) -> np.ndarray:
@@ -148,8 +159,7 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
     """Counts for every token of a chunk's documents, and its histogram for the weights."""
     if frame["chunk"].iloc[0] == -1:
         total = sum(_unpack(p)[0] for p in frame["payload"])
-        return pd.DataFrame({"kind": [1], "doc_id": pd.array([None], "Int64"), "fold": [0], "n_tokens": [int(total[0])],
-                             "n_known": [int(total[1])], "payload": [b""]})
+        return pd.DataFrame({"kind": [1], "total": [int(total[0])], "kinds": [int(total[1])], "payload": [b""]})
     number, known, folds, offsets, text = _unpack(frame.loc[frame["kind"] == 0, "payload"].iloc[0])
     data = np.frombuffer(zstandard.ZstdDecompressor().decompress(text.tobytes(), int(offsets[-1]) or 1), np.uint8)
     replies = frame[frame["kind"] == 2].sort_values("bucket")["payload"]
@@ -161,7 +171,7 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
     context = np.empty_like(place)
     context[1:] = place[:-1]
     context[first[:-1]] = end
-    word, both, before = train[place], train[pair], train[context]
+    word, both = train[place], train[pair]
     # Held-out tokens under the counts of the other training folds.
     out = np.repeat(folds, np.diff(first)) == HELD_FOLD
     w, vw, v = ((train - held)[k[out]].astype(np.float64) for k in (place, pair, context))
@@ -170,13 +180,10 @@ def _gather(frame: pd.DataFrame) -> pd.DataFrame:
     cell = np.zeros(len(w), np.int64)  # bin 0: the pair was never seen
     cell[seen] = np.clip(np.rint(ratio).astype(np.int64) + 32, 1, BINS - 1)
     histogram = np.bincount(_classes(v) * BINS + cell, minlength=CLASSES * BINS).astype(np.uint64)
-    rows = [_pack(word[a:b], both[a:b], before[a:b]) for a, b in zip(first, first[1:])]
-    n_known = np.add.reduceat(word > 0, first[:-1]) if len(rows) else []
-    docs = pd.DataFrame({"kind": 0, "doc_id": pd.array(number, "Int64"), "fold": folds.astype(np.int32),
-                         "n_tokens": np.diff(first), "n_known": n_known, "payload": rows})
-    docs.loc[known == 0, "doc_id"] = None
-    return pd.concat([docs, pd.DataFrame({"kind": [2], "doc_id": pd.array([None], "Int64"), "fold": [0], "n_tokens": [0],
-                                          "n_known": [0], "payload": [_pack(histogram)]})])
+    n_known = np.add.reduceat((word > 0).astype(np.int64), first[:-1])
+    packed = _pack(number, known, folds, first, n_known, word.astype(np.uint32 if word.max() < 1 << 32 else np.uint64),
+                   both.astype(np.uint32 if both.max() < 1 << 32 else np.uint64))
+    return pd.DataFrame({"kind": [0, 2], "total": [0, 0], "kinds": [0, 0], "payload": [packed, _pack(histogram)]})
 
 
 def learn_weights(histogram: np.ndarray, total: int, kinds: int, rounds: int = 100) -> np.ndarray:
@@ -204,8 +211,8 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     source = C.texts(docs).withColumn("fold", C.fold("doc_id", FOLDS))
     asked = source.mapInArrow(_ask(buckets), _ROW)
     answered = asked.groupBy("dest").applyInPandas(_answer, _ROW)
-    counted = settle(answered.groupBy("chunk").applyInPandas(_gather, _DOC), "token-counts")
-    sums = counted.where("kind = 1").agg(F.sum("n_tokens"), F.sum("n_known")).first()
+    counted = settle(answered.groupBy("chunk").applyInPandas(_gather, _COUNTED), "token-counts")
+    sums = counted.where("kind = 1").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = int(sums[0] or 0), int(sums[1] or 0)
     histogram = np.zeros(CLASSES * BINS, np.uint64)
 
@@ -225,15 +232,19 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            base, full = [], []
             for packed in frame["payload"]:
-                word, both, before = (a.astype(np.float64) for a in _unpack(packed))
+                number, known, folds, first, n_known, word, both = _unpack(packed)
+                word, both = word.astype(np.float64), both.astype(np.float64)
+                before = np.empty_like(word)  # the count of the word before; of the end, for the first
+                before[1:] = word[:-1]
+                before[first[:-1]] = word[first[1:] - 1]
                 low = (word + ADD) / floor
                 weight = weights[_classes(before)]
-                base.append(float(np.log10(low).sum()))
-                full.append(float(np.log10(weight * both / np.maximum(before, 1) + (1 - weight) * low).sum()))
-            yield pd.DataFrame({"doc_id": frame["doc_id"].astype("Int64"), "held_out": frame["fold"] == 0, "n_tokens": frame["n_tokens"],
-                                "n_known": frame["n_known"], "train_tokens": total, "base_score": base, "score": full})
+                full = np.log10(weight * both / np.maximum(before, 1) + (1 - weight) * low)
+                yield pd.DataFrame({
+                    "doc_id": pd.Series(number, dtype="Int64").mask(known == 0), "held_out": folds == 0, "n_tokens": np.diff(first),
+                    "n_known": n_known, "train_tokens": total, "base_score": np.add.reduceat(np.log10(low), first[:-1]),
+                    "score": np.add.reduceat(full, first[:-1])})
 
     return counted.where("kind = 0").mapInPandas(
         run, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
