@@ -32,7 +32,7 @@ from barline.llm import common as C
 from barline.session import settle
 
 FOLDS, HELD_FOLD, ADD = 10, 1, 0.1
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 CLASSES, BINS, BIN_STEP = 48, 512, 0.25  # histogram bins are quarter powers of two
 _END, _PAIR = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xD6E8FEB86659FD93)
 _SMALL = np.arange(256, dtype=np.uint8)
