@@ -34,8 +34,10 @@ def vendor_symbol(symbol: Column) -> Column:
 
 
 def number_text(value: Column) -> Column:
-    """Shortest decimal text of a parameter value."""
-    return F.regexp_replace(value.cast("decimal(20,6)").cast("string"), "\\.?0+$", "")
+    """Shortest decimal text that reads back as the same value; with an exponent where decimals do not reach."""
+    exact = value.cast("double")
+    plain = F.regexp_replace(exact.try_cast("decimal(38,18)").cast("string"), "\\.?0+$", "")
+    return F.when(plain.try_cast("double") == exact, plain).otherwise(F.lower(exact.cast("string")))
 
 
 def run_name(prefix: str, params: Mapping[str, Column]) -> Column:
@@ -45,7 +47,7 @@ def run_name(prefix: str, params: Mapping[str, Column]) -> Column:
 
 def run_params(name: Column, tokens: Sequence[str]) -> dict[str, Column]:
     """Named doubles read from a run name's tokens; NULL when a token is absent."""
-    return {t: F.regexp_extract(name, f"_{t}([0-9]+(?:\\.[0-9]+)?)", 1).try_cast("double") for t in tokens}
+    return {t: F.regexp_extract(name, f"_{t}([+-]?[0-9]+(?:\\.[0-9]+)?(?:[eE][+-]?[0-9]+)?)(?=_|$)", 1).try_cast("double") for t in tokens}
 
 
 def parse_tag(tag: Column) -> dict[str, Column]:

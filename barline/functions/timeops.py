@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 # Accepted frequency spellings and their canonical name.
 FREQUENCY_ALIASES = {
+    "1m": "1m", "1min": "1m",
     "5m": "5m", "5min": "5m",
     "15m": "15m", "15min": "15m",
+    "30m": "30m", "30min": "30m",
     "1h": "1h", "hourly": "1h", "h": "1h",
     "4h": "4h",
     "1d": "1d", "daily": "1d", "d": "1d",
@@ -16,10 +18,10 @@ FREQUENCY_ALIASES = {
 }
 
 # Seconds in one period.
-STEP_SECONDS = {"5m": 300, "15m": 900, "1h": 3_600, "4h": 14_400, "1d": 86_400, "1w": 604_800}
+STEP_SECONDS = {"1m": 60, "5m": 300, "15m": 900, "30m": 1_800, "1h": 3_600, "4h": 14_400, "1d": 86_400, "1w": 604_800}
 
 # Bars expected in one day (24-hour market).
-BARS_PER_DAY = {"5m": 288, "15m": 96, "1h": 24, "4h": 6, "1d": 1}
+BARS_PER_DAY = {"1m": 1440, "5m": 288, "15m": 96, "30m": 48, "1h": 24, "4h": 6, "1d": 1}
 
 
 def canonical(frequency: str) -> str:
@@ -39,9 +41,10 @@ def canonical_frequency(column: Column) -> Column:
 
 
 def step_seconds(column: Column) -> Column:
-    """Length of one period in seconds; a day for unknown names."""
+    """Length of one period in seconds; a day for a missing name, an error for an unknown one."""
     table = {alias: STEP_SECONDS[name] for alias, name in FREQUENCY_ALIASES.items()}
-    return _case(column, table, F.lit(86_400)).cast("long")
+    unknown = F.raise_error(F.concat(F.lit("unknown frequency "), column)).cast("int")
+    return _case(column, table, F.when(column.isNull(), 86_400).otherwise(unknown)).cast("long")
 
 
 def bars_per_day(column: Column) -> Column:

@@ -61,7 +61,7 @@ def grid_fit(spark: SparkSession, df: DataFrame, target: str, regs: Sequence[flo
             scored = model.transform(val).select(F.col(target).alias("y"), "yhat")
             return reg, mix, True, scored.agg(F.avg(F.abs(F.col("y") - F.col("yhat")))).first()[0], None
         except Exception as error:  # noqa: BLE001 - a failed setting is a result row
-            return reg, mix, False, None, str(error)[:200]
+            return reg, mix, False, None, str(error)
 
     with ThreadPoolExecutor(parallelism) as pool:
         results = list(pool.map(one, [(r, m) for r in regs for m in mixes]))

@@ -112,11 +112,14 @@ def date_split(df: DataFrame, val_start: str, test_start: str, dt: str = "dt") -
 
 
 def min_samples_check(df: DataFrame, minimum: Mapping[str, int] | None = None) -> DataFrame:
+    """Samples of every required split, also of one without any, and of any other split."""
     minimum = dict(minimum or MIN_SAMPLES)
     need = F.lit(0)
     for name, n in minimum.items():
         need = F.when(F.col("split") == name, n).otherwise(need)
-    return df.groupBy("split").agg(F.count("*").alias("n")).withColumn("required", need.cast("long")).withColumn(
+    none = df.sparkSession.createDataFrame([(name, 0) for name in minimum], "split string, n long")
+    counts = df.groupBy("split").agg(F.count("*").alias("n")).unionByName(none)
+    return counts.groupBy("split").agg(F.sum("n").alias("n")).withColumn("required", need.cast("long")).withColumn(
         "enough", F.col("n") >= F.col("required"))
 
 
@@ -201,14 +204,10 @@ def scale_robust(df: DataFrame, train: DataFrame, feature: str, keys: Sequence[s
 
 def fit_target(train: DataFrame, targets: Sequence[str]) -> DataFrame:
     """One mean and population deviation over all horizons together."""
-    n = sum((F.count(t) for t in targets[1:]), F.count(targets[0]))
-    total = sum((F.coalesce(F.sum(t), F.lit(0.0)) for t in targets[1:]), F.coalesce(F.sum(targets[0]), F.lit(0.0)))
-    squares = sum((F.coalesce(F.sum(F.col(t) * F.col(t)), F.lit(0.0)) for t in targets[1:]),
-                  F.coalesce(F.sum(F.col(targets[0]) * F.col(targets[0])), F.lit(0.0)))
-    mean = F.try_divide(total, n)
-    std = F.sqrt(F.greatest(F.try_divide(squares, n) - mean * mean, F.lit(0.0)))
+    # Deviations are merged around running means, so large values do not cancel.
+    mean, std = F.avg("v"), F.stddev_pop("v")
     one = F.struct(mean.alias("mean"), F.when(std == 0, 1.0).otherwise(std).alias("std"))
-    return train.agg(one.alias("target"))
+    return train.select(F.explode(F.array(*targets)).alias("v")).agg(one.alias("target"))
 
 
 def apply_target(df: DataFrame, fitted: DataFrame, targets: Sequence[str]) -> DataFrame:
@@ -233,7 +232,7 @@ def nan_inf_guard(df: DataFrame, features: Sequence[str], split: str = "split")
 def assert_clean(report: DataFrame) -> None:
     """Raise when the training split holds NaN, infinite or missing values."""
     bad = report.where((F.col("split") == "train") & (F.col("n_nan") + F.col("n_inf") + F.col("n_null") > 0))
-    found = [r["feature"] for r in bad.select("feature").limit(10).collect()]
+    found = [r["feature"] for r in bad.select("feature").collect()]
     if found:
         raise ValueError(f"training features with missing or non-finite values: {', '.join(found)}")
 
@@ -254,9 +253,13 @@ def correlated_features(df: DataFrame, features: Sequence[str], threshold: float
 
 
 def drop_correlated(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> DataFrame:
-    """Drop the later feature of each highly correlated pair."""
-    names = [r["feature"] for r in correlated_features(df, features, threshold).select("feature").collect()]
-    return df.drop(*names)
+    """Go through the features in order; drop one that correlates highly with an earlier one that is kept."""
+    close = {(r["a"], r["b"]) for r in correlations(df, features).where(F.abs("corr") > threshold).collect()}
+    kept: list[str] = []
+    for name in features:
+        if not any((other, name) in close for other in kept):
+            kept.append(name)
+    return df.drop(*[f for f in features if f not in kept])
 
 
 def select_f_regression(df: DataFrame, features: Sequence[str], target: str, k: int = 50) -> DataFrame:
@@ -304,12 +307,13 @@ def select_mutual_info(df: DataFrame, features: Sequence[str], target: str, k: i
 
 
 def split_overlap(df: DataFrame, ts: str = "dt") -> DataFrame:
-    """Time range of each split and whether it starts after the previous one ended."""
+    """Time range of each split and whether it starts after all earlier ones ended."""
     ranges = df.groupBy("split").agg(F.min(ts).alias("first"), F.max(ts).alias("last"))
     ends = ranges.agg(F.struct(
         F.max(F.when(F.col("split") == "train", F.col("last"))).alias("train"),
         F.max(F.when(F.col("split") == "val", F.col("last"))).alias("val"))).scalar()
-    before = F.when(F.col("split") == "val", F.col("__e.train")).when(F.col("split") == "test", F.col("__e.val"))
+    before = F.when(F.col("split") == "val", F.col("__e.train")).when(
+        F.col("split") == "test", F.greatest("__e.train", "__e.val"))
     return ranges.withColumn("__e", ends).withColumn(
         "ordered", F.coalesce(F.col("first") > before, F.lit(True))).drop("__e")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -9,23 +10,15 @@ from pyspark.sql import functions as F
 
 from barline.functions.text import upper_snake
 
-# Above this many topics an OR of substring tests costs more than a key lookup.
-LONG_TOPIC_LIST = 32
-
 
 def topic_filter(df: DataFrame, topics: Sequence[str], themes: str = "v2themes") -> DataFrame:
     """Articles mentioning any topic, matched literally (no wildcard meaning of ``_``).
 
-    A short list is a row filter. A longer one matches whole themes against the
-    list with a hash lookup per theme; both read each article once.
+    A topic matches anywhere in the themes, however long the list is: one alternation
+    of escaped names, so an article is read once.
     """
-    wanted = [t.upper().replace(" ", "_") for t in topics]
-    if len(wanted) <= LONG_TOPIC_LIST:
-        test = F.lit(False)
-        for topic in wanted:
-            test = test | F.contains(F.col(themes), F.lit(topic))
-        return df.where(test)
-    return df.where(F.exists(F.split(F.col(themes), ";"), lambda t: F.split(t, ",")[0].isin(wanted)))
+    wanted = [re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", t.upper().replace(" ", "_")) for t in topics]
+    return df.where(F.col(themes).rlike("|".join(wanted)) if wanted else F.lit(False))
 
 
 def topic_groups(df: DataFrame, groups: dict[str, Sequence[str]], themes: str = "v2themes") -> DataFrame:
@@ -54,11 +47,12 @@ def weekend_filter(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.where(F.weekday(ts) < 5)
 
 
-def range_violations(df: DataFrame, order: Sequence[str], top: int = 20) -> DataFrame:
+def range_violations(df: DataFrame, order: Sequence[str], top: int | None = 20) -> DataFrame:
     """Rows with tone outside +-10 or negative polarity, strongest first."""
     tone, polarity = F.col("weighted_avg_tone"), F.col("weighted_avg_polarity")
-    return (df.where((F.abs(tone) > 10) | (polarity < 0))
-            .orderBy(F.abs(tone).desc(), *order).limit(top))
+    found = (df.where((F.abs(tone) > 10) | (polarity < 0))
+            .orderBy(F.abs(tone).desc(), *order))
+    return found if top is None else found.limit(top)
 
 
 def any_non_null(df: DataFrame, names: Sequence[str]) -> DataFrame:

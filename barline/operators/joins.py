@@ -101,6 +101,8 @@ def asof_backward(left: DataFrame, right: DataFrame, keys: Sequence[str], values
     forward, so a hot key costs no more than a scan of its rows.
     """
     payload = F.struct(*[F.col(v).alias(v) for v in values], F.col(ts).alias("__at"))
+    # Of several right rows at one time the largest values count, in any run.
+    right = right.groupBy(*keys, ts).agg(F.max(F.struct(*values)).alias("__v")).select(*keys, ts, "__v.*")
     a = left.withColumns({"__side": F.lit(1), "__row": F.struct(*left.columns)}).select(*keys, ts, "__side", "__row")
     b = right.select(*keys, ts, F.lit(0).alias("__side"), payload.alias("__hit"))
     stacked = a.unionByName(b, allowMissingColumns=True)

@@ -28,14 +28,23 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep: str =
             .select(*[F.col(c) if c in keys else F.col(f"__row.{c}").alias(c) for c in df.columns]))
 
 
+def _staged(source: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One staged row per key: the last taken in, else the largest by the other columns."""
+    rest = [c for c in source.columns if c not in keys]
+    order = ["ingested_at", *rest] if "ingested_at" in rest else rest
+    return dedupe(source, keys, order) if rest else source.distinct()
+
+
 def merge_upsert(target: DataFrame, source: DataFrame, keys: Sequence[str] = tuple(KEY)) -> DataFrame:
-    """Matched keys take the source row, new keys are added."""
+    """Matched keys take the source row, new keys are added; repeated staged keys count once."""
+    source = _staged(source, keys)
     kept = target.join(source.select(*keys), list(keys), "left_anti")
     return kept.unionByName(source.select(*target.columns))
 
 
 def merge_coalesce(target: DataFrame, source: DataFrame, keys: Sequence[str] = tuple(KEY)) -> DataFrame:
-    """Matched keys take source values where present and keep the old ones elsewhere."""
+    """Matched keys take source values where present and keep the old ones elsewhere; repeated staged keys count once."""
+    source = _staged(source, keys)
     rest = [c for c in target.columns if c not in keys]
     t, s = target.alias("t"), source.alias("s")
     joined = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in keys], "full_outer")
@@ -50,12 +59,17 @@ def merge_insert_only(target: DataFrame, source: DataFrame, keys: Sequence[str]
     return target.unionByName(fresh.select(*target.columns))
 
 
+def _same_frequency(name: str) -> Column:
+    """Whether the stored spelling means the same period."""
+    return timeops.canonical_frequency(F.col("frequency")) == timeops.FREQUENCY_ALIASES.get(name, name)
+
+
 def in_range(tickers: Sequence[str], start: str | None, end: str | None, frequency: str | None) -> Column:
     test = F.col("ticker").isin(list(tickers))
     if start is not None and end is not None:
         test = test & F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date"))
     if frequency is not None:
-        test = test & (F.col("frequency") == frequency)
+        test = test & _same_frequency(frequency)
     return test
 
 
@@ -69,7 +83,7 @@ def delete_key_range(df: DataFrame, tickers: Sequence[str], start: str, end: str
 
 
 def delete_topic_group(df: DataFrame, group: str, frequency: str) -> DataFrame:
-    return delete_where(df, (F.col("topic_group_id") == group) & (F.col("frequency") == frequency))
+    return delete_where(df, (F.col("topic_group_id") == group) & _same_frequency(frequency))
 
 
 def purge(df: DataFrame, tickers: Sequence[str]) -> DataFrame:
@@ -90,9 +104,17 @@ def high_water_mark(df: DataFrame, keys: Sequence[str] = ("ticker", "frequency")
 
 def exists_check(work: DataFrame, df: DataFrame, keys: Sequence[str] = ("ticker", "frequency")) -> DataFrame:
     """The work list with a flag telling whether any row exists for the key."""
-    known = df.select(*keys).distinct().withColumn("__known", F.lit(True))
-    return work.join(known, list(keys), "left").withColumn(
-        "has_data", F.coalesce("__known", F.lit(False))).drop("__known")
+    known = _named(df.select(*keys)).distinct().withColumn("__known", F.lit(True))
+    joined = _named(work.withColumn("__asked", F.struct(*work.columns))).join(known, list(keys), "left")
+    return joined.select(*[F.col(f"__asked.{c}").alias(c) for c in work.columns],
+                         F.coalesce("__known", F.lit(False)).alias("has_data"))
+
+
+def _named(df: DataFrame) -> DataFrame:
+    """Frequencies under their canonical names."""
+    if "frequency" not in df.columns:
+        return df
+    return df.withColumn("frequency", timeops.canonical_frequency(F.col("frequency")))
 
 
 def any_row(df: DataFrame, test: Column) -> bool:
@@ -105,7 +127,8 @@ def topup_plan(work: DataFrame, df: DataFrame, start: str, end: str, top_up: boo
     Top-up is looked at before skipping: a ticker with data continues after its
     last row unless that is past the end of the requested range.
     """
-    planned = work.join(high_water_mark(df), ["ticker", "frequency"], "left")
+    asked = _named(work.withColumn("__asked", F.col("frequency")))
+    planned = asked.join(high_water_mark(_named(df)), ["ticker", "frequency"], "left").withColumn("frequency", F.col("__asked"))
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     past = F.col("next_start") > last
     new = F.col("last_ts").isNull()

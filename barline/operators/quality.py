@@ -157,10 +157,11 @@ def date_gaps(df: DataFrame, series: S.Series, min_hours: int) -> DataFrame:
             .withColumn("weekend", weekend))
 
 
-def largest_gaps(gaps: DataFrame, keys: Sequence[str], top: int = 20, weekends: bool = False) -> DataFrame:
+def largest_gaps(gaps: DataFrame, keys: Sequence[str], top: int | None = 20, weekends: bool = False) -> DataFrame:
     """Largest gaps; closures are removed before the limit is applied."""
     kept = gaps if weekends else gaps.where(~F.col("weekend"))
-    return kept.orderBy(F.col("gap_hours").desc(), *keys, "gap_start").limit(top)
+    ranked = kept.orderBy(F.col("gap_hours").desc(), *keys, "gap_start")
+    return ranked if top is None else ranked.limit(top)
 
 
 def null_islands(df: DataFrame, series: S.Series, column: str, min_length: int = 2) -> DataFrame:
@@ -199,13 +200,14 @@ def sample_ends(df: DataFrame, series: S.Series, n: int) -> DataFrame:
         "side", F.when(head & tail, "both").when(head, "first").otherwise("last")).drop("__n")
 
 
-def missing_profile(df: DataFrame, names: Sequence[str], order: Sequence[str], head: int = 50, worst: int = 20) -> DataFrame:
+def missing_profile(df: DataFrame, names: Sequence[str], order: Sequence[str], head: int = 50, worst: int | None = 20) -> DataFrame:
     """Nulls per column over the table and in its first rows, with the column's family."""
     first = df.orderBy(*order).limit(head).agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names])
     every = df.agg(*[F.count_if(F.col(n).isNull()).alias(n) for n in names])
     a = every.unpivot([], list(names), "column_name", "nulls")
     b = first.unpivot([], list(names), "column_name", "head_nulls")
     family = F.regexp_extract("column_name", "^([a-z]+)", 1)
-    return (a.join(b, "column_name").withColumn("family", family)
-            .orderBy(F.col("nulls").desc(), "column_name").limit(worst))
+    ranked = (a.join(b, "column_name").withColumn("family", family)
+              .orderBy(F.col("nulls").desc(), "column_name"))
+    return ranked if worst is None else ranked.limit(worst)
 

@@ -116,11 +116,12 @@ def daily_summary(df: DataFrame) -> DataFrame:
         F.min("min_tone").alias("min_tone"), F.max("max_tone").alias("max_tone"))
 
 
-def extreme_days(df: DataFrame, top: int = 10) -> DataFrame:
-    """The days with the lowest and the highest mean tone."""
+def extreme_days(df: DataFrame, top: int | None = 10) -> DataFrame:
+    """The days with the lowest and the highest mean tone; without ``top`` all days on either side."""
     days = df.groupBy(F.to_date("ts").alias("dt")).agg(
         F.avg("weighted_avg_tone").alias("avg_tone"), F.sum("num_articles").alias("articles"))
     ranked = F.round("avg_tone", 9)
-    low = days.orderBy(ranked.asc(), "dt").limit(top).withColumn("side", F.lit("lowest"))
-    high = days.orderBy(ranked.desc(), "dt").limit(top).withColumn("side", F.lit("highest"))
+    first = lambda ordered: ordered if top is None else ordered.limit(top)
+    low = first(days.orderBy(ranked.asc(), "dt")).withColumn("side", F.lit("lowest"))
+    high = first(days.orderBy(ranked.desc(), "dt")).withColumn("side", F.lit("highest"))
     return low.unionByName(high)

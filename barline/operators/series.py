@@ -147,7 +147,11 @@ def running(
         **{n: F.coalesce(f"__run_{n}", f"__carry_{n}") for n in [*lasts, *nexts]},
         **{n: F.least(f"__run_{n}", f"__carry_{n}") for n in mins},
     }
-    return local.join(carry, [*keys, BUCKET], "left").select(
+    # Missing keys and missing times are values of their own, so the join is null-safe.
+    shared = [*keys, BUCKET]
+    carry = carry.withColumnsRenamed({k: f"__of_{k}" for k in shared})
+    met = [F.col(k).eqNullSafe(F.col(f"__of_{k}")) for k in shared]
+    return local.join(carry, met, "left").select(
         *others, *[combine[n].alias(n) for n in every])
 
 

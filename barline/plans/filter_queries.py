@@ -25,6 +25,10 @@ def _art(df: DataFrame) -> DataFrame:
 
 query("topic_filter", O.with_(O.ARTICLES) + _ART + " WHERE contains(v2themes, 'PURCHASE') OR contains(v2themes, 'SIGNUP')")(
     lambda s, d: _art(filters.topic_filter(_articles(s, d), ["purchase", "signup"])))
+# More than 32 topics, most of which no article has; "URCH" and "RRO" are parts of themes.
+_LONG = [f"no topic {k}" for k in range(40)] + ["urch", "rro"]
+query("topic_filter_long", O.with_(O.ARTICLES) + _ART + " WHERE contains(v2themes, 'URCH') OR contains(v2themes, 'RRO')")(
+    lambda s, d: _art(filters.topic_filter(_articles(s, d), _LONG)))
 query("location_filter", O.with_(O.ARTICLES) + _ART + " WHERE v2locations LIKE '%#US#%'")(
     lambda s, d: _art(filters.location_filter(_articles(s, d))))
 query("valid_tone", O.with_(O.PARSED) + """SELECT article_id, tone, word_count FROM parsed
@@ -175,7 +179,7 @@ query("theme_match", """SELECT event_id, upper(replace(concat(event_type, ' topi
    '_wd', CASE mod(user_id, 2) WHEN 0 THEN '0.07' ELSE '0.5' END, '_gc', CAST(mod(user_id, 30) AS VARCHAR)) AS name FROM events""")
 def run_name_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
-    params = {"md": (u % 4) * 0.1, "wd": F.when(u % 2 == 0, 0.07).otherwise(0.5), "gc": u % 30}
+    params = {"md": (u % 4) / 10, "wd": F.when(u % 2 == 0, 0.07).otherwise(0.5), "gc": u % 30}
     return X.table(spark, sf_dir, "events").select("event_id", text.run_name("reg", params).alias("name"))
 
 

@@ -236,3 +236,66 @@ def test_deletes_keep_rows_the_condition_does_not_decide(spark):
 def test_correlated_features_are_dropped_later_one_first(spark):
     df = spark.createDataFrame([(float(i), float(2 * i), float(i % 3)) for i in range(30)], "a double, b double, c double")
     assert Q.drop_correlated(df, ["a", "b", "c"]).columns == ["a", "c"]
+
+
+def test_long_topic_lists_match_inside_themes(spark):
+    from barline.operators import filters
+
+    df = spark.createDataFrame([("ENV_OIL_PRICE;X",), ("ENV_GAS;Y",), (None,)], "v2themes string")
+    many = ["oil", *[f"other {k}" for k in range(50)]]
+    assert [r[0] for r in filters.topic_filter(df, many).collect()] == ["ENV_OIL_PRICE;X"]
+    assert filters.topic_filter(df, []).count() == 0
+
+
+def test_run_names_keep_small_values_apart(spark):
+    from pyspark.sql import functions as F
+
+    from barline.functions import text
+
+    rows = spark.createDataFrame([(1e-7,), (2e-7,), (1.234567e-5,), (0.1,), (10.0,), (1e-30,), (0.0,)], "v double")
+    named = rows.select("v", text.run_name("lr", {"lr": F.col("v")}).alias("name"))
+    back = named.select("v", text.run_params(F.col("name"), ["lr"])["lr"].alias("read")).collect()
+    assert all(r.v == r.read for r in back)
+    assert len({r.name for r in named.collect()}) == 7
+    assert text.run_params(F.lit("a_lr1e-05"), ["lr"]) is not None
+    assert spark.range(1).select(text.run_params(F.lit("a_lr1e-05_wd2"), ["lr"])["lr"]).first()[0] == 1e-5
+
+
+def test_null_keys_are_a_series(spark):
+    from barline.operators import series as S
+
+    df = spark.createDataFrame([(None, f"2024-01-0{k}") for k in range(1, 7)], "ticker string, d string").selectExpr(
+        "ticker", "'1d' AS frequency", "cast(d AS timestamp) AS ts")
+    got = S.with_position(df, S.bars(2)).orderBy("ts").collect()
+    assert [r.pos for r in got] == [1, 2, 3, 4, 5, 6]
+
+
+def test_repeated_staged_keys_count_once(spark):
+    from barline.operators import merge
+
+    target = spark.createDataFrame([("a", 1, 5)], "k string, v int, ingested_at int")
+    source = spark.createDataFrame([("a", 2, 6), ("a", 3, 7), ("b", 4, 6)], "k string, v int, ingested_at int")
+    for merged in (merge.merge_upsert(target, source, ["k"]), merge.merge_coalesce(target, source, ["k"])):
+        assert sorted((r.k, r.v) for r in merged.collect()) == [("a", 3), ("b", 4)]
+
+
+def test_frequency_spellings_meet(spark):
+    from barline.operators import merge
+
+    held = spark.createDataFrame([("A", "daily", "2024-01-05")], "ticker string, frequency string, d string").selectExpr(
+        "ticker", "frequency", "cast(d AS timestamp) AS ts")
+    work = spark.createDataFrame([("A", "1d")], "ticker string, frequency string")
+    assert merge.exists_check(work, held).first().has_data
+    assert merge.topup_plan(work, held, "2024-01-01", "2024-02-01").first().action == "top_up"
+
+
+def test_checks_that_can_fail(spark):
+    from barline.operators import features
+
+    rows = spark.createDataFrame([("train", k) for k in range(600)], "split string, dt int")
+    report = {r.split: r.enough for r in features.min_samples_check(rows).collect()}
+    assert report == {"train": True, "val": False, "test": False}
+    mixed = spark.createDataFrame([("train", 1), ("train", 9), ("test", 5)], "split string, dt int")
+    assert {r.split: r.ordered for r in features.split_overlap(mixed).collect()} == {"train": True, "test": False}
+    wide = spark.createDataFrame([(float(k), 2.0 * k, float(k * k % 7)) for k in range(20)], "a double, b double, c double")
+    assert features.drop_correlated(wide, ["a", "b", "c"]).columns == ["a", "c"]
