@@ -16,7 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barline.session import settle
+
 RATIO, MIN_PAGES = 0.05, 5
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def _lines(text: Column) -> Column:
@@ -41,14 +44,21 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
 def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
     """``pages`` with the lines removed, and ``n_lines``, ``n_dropped`` (both longs) at the end.
 
-    The hosts' arrays are joined; adaptive execution sends them to all tasks when their measured size allows it and
-    else splits a hot host's rows.
+    The hosts' arrays are written and measured. Up to ``BROADCAST_BYTES`` they are sent to all tasks and no text is
+    shuffled; beyond that each array is copied ``SALTS`` times, so that a hot host's pages spread over as many tasks.
     """
-    clash = {"__host", "__bad", "__kept"}
+    clash = {"__host", "__bad", "__kept", "__salt"}
     assert not clash & set(pages.columns), "reserved column names"
-    bad = boilerplate(pages, host, text, ratio, min_pages).select(F.col("host").alias("__host"), F.col("bad").alias("__bad"))
-    found = (pages.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
-             .join(bad, "__host", "left"))
+    bad = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(
+        F.col("host").alias("__host"), F.col("bad").alias("__bad"))
+    measured = bad.agg(F.sum(F.size("__bad") * 40 + F.octet_length("__host") + 64)).first()[0] or 0
+    named = pages.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    if measured <= BROADCAST_BYTES:
+        found = named.join(F.broadcast(bad), "__host", "left")
+    else:
+        salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = (named.withColumn("__salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
+                 .join(salted, ["__host", "__salt"], "left"))
     kept = F.when(F.col("__bad").isNull(), _lines(F.col(text))).otherwise(
         F.filter(_lines(F.col(text)), lambda line: (line == "") | ~F.array_contains(F.col("__bad"), _digest(line))))
     found = found.withColumn("__kept", kept)
