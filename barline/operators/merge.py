@@ -104,13 +104,13 @@ def high_water_mark(df: DataFrame, keys: Sequence[str] = ("ticker", "frequency")
 
 def exists_check(work: DataFrame, df: DataFrame, keys: Sequence[str] = ("ticker", "frequency")) -> DataFrame:
     """The work list with a flag telling whether any row exists for the key."""
-    known = _named(df.select(*keys)).distinct().withColumn("__known", F.lit(True))
-    joined = _named(work.withColumn("__asked", F.struct(*work.columns))).join(known, list(keys), "left")
+    known = canonical_rows(df.select(*keys)).distinct().withColumn("__known", F.lit(True))
+    joined = canonical_rows(work.withColumn("__asked", F.struct(*work.columns))).join(known, list(keys), "left")
     return joined.select(*[F.col(f"__asked.{c}").alias(c) for c in work.columns],
                          F.coalesce("__known", F.lit(False)).alias("has_data"))
 
 
-def _named(df: DataFrame) -> DataFrame:
+def canonical_rows(df: DataFrame) -> DataFrame:
     """Frequencies under their canonical names."""
     if "frequency" not in df.columns:
         return df
@@ -127,8 +127,8 @@ def topup_plan(work: DataFrame, df: DataFrame, start: str, end: str, top_up: boo
     Top-up is looked at before skipping: a ticker with data continues after its
     last row unless that is past the end of the requested range.
     """
-    asked = _named(work.withColumn("__asked", F.col("frequency")))
-    planned = asked.join(high_water_mark(_named(df)), ["ticker", "frequency"], "left").withColumn("frequency", F.col("__asked"))
+    asked = canonical_rows(work.withColumn("__asked", F.col("frequency")))
+    planned = asked.join(high_water_mark(canonical_rows(df)), ["ticker", "frequency"], "left").withColumn("frequency", F.col("__asked"))
     first, last = F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp")
     past = F.col("next_start") > last
     new = F.col("last_ts").isNull()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions import text, timeops
@@ -165,6 +167,23 @@ def _main(bars: DataFrame) -> DataFrame:
     return bars.where("dt < DATE '2001-01-01'").select(*_COLS, "dt")
 
 
+def _merged(spark: SparkSession, bars: DataFrame, staged: DataFrame, mode: str) -> DataFrame:
+    """A stored table after the stored staging rows were merged into it."""
+    path, staging = work_dir(spark, "bars"), work_dir(spark, "staging")
+    writers.write_bars(_main(bars), path)
+    staged.write.parquet(staging)
+    writers.merge_into(spark, path, staging, mode)
+    return writers.read_table(spark, path)
+
+
+def _changed(spark: SparkSession, bars: DataFrame, test: Column, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """A stored table after ``change`` of the partitions with rows that meet ``test``."""
+    path = work_dir(spark, "bars")
+    writers.write_bars(bars, path)
+    writers.change_rows(spark, path, test, change, writers.BAR_SORT)
+    return writers.read_table(spark, path)
+
+
 def _out(df: DataFrame) -> DataFrame:
     return df.select("ticker", "dt", F.round("close", 4).alias("close"), "volume")
 
@@ -179,7 +198,7 @@ _ANTI = "(SELECT * FROM mn WHERE NOT EXISTS (SELECT 1 FROM st WHERE st.ticker =
 @query("merge_upsert", _M + _SEL + _ANTI + " UNION ALL SELECT * FROM st)")
 def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = X.bars(spark, sf_dir)
-    return _out(M.merge_upsert(_main(bars), _staging(bars)))
+    return _out(_merged(spark, bars, _staging(bars), "upsert"))
 
 
 @query("merge_coalesce", _M + """SELECT coalesce(st.ticker, mn.ticker) AS ticker, coalesce(st.dt, mn.dt) AS dt,
@@ -187,7 +206,7 @@ def merge_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
  FROM mn FULL JOIN st ON st.ticker = mn.ticker AND st.ts = mn.ts""")
 def merge_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = X.bars(spark, sf_dir)
-    return _out(M.merge_coalesce(_main(bars), _staging(bars)))
+    return _out(_merged(spark, bars, _staging(bars), "coalesce"))
 
 
 @query("merge_insert_only", _M + _SEL + """(SELECT * FROM mn UNION ALL
@@ -196,7 +215,7 @@ def merge_insert_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = X.bars(spark, sf_dir)
     staged = _staging(bars).withColumn("ingested_at", F.lit(2))
     twice = staged.unionByName(staged.withColumns({"ingested_at": F.lit(1), "close": F.col("close") * 0}))
-    return _out(M.merge_insert_only(_main(bars), twice))
+    return _out(_merged(spark, bars, twice, "insert"))
 
 
 _YEAR_M = O.with_(O.BARS)
@@ -206,24 +225,21 @@ _YEAR_M = O.with_(O.BARS)
    AND dt BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND frequency = 'daily')""")
 def delete_by_key_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deletes from a stored table: only the touched years are rewritten."""
-    path = work_dir(spark, "delete")
-    bars = X.bars(spark, sf_dir).withColumn("year", F.year("dt"))
-    writers.write_truncate(bars, path, ["year"], ["ticker", "ts"])
-    stored = spark.read.parquet(path)
     test = M.in_range(["AF", "NO"], "1997-01-01", "1998-12-31", "daily")
-    writers.rewrite_partitions(spark, path, stored.where(test), "year", lambda df: M.delete_where(df, test))
-    return spark.read.parquet(path).select("ticker", "dt", "close")
+    return _changed(spark, X.bars(spark, sf_dir), test, lambda df: M.delete_where(df, test)).select("ticker", "dt", "close")
 
 
 @query("null_out_columns", O.with_(O.BARS) + """SELECT ticker, dt, close, CASE WHEN ticker IN ('AF') AND dt BETWEEN DATE '1997-01-01'
    AND DATE '1997-12-31' THEN NULL ELSE volume END AS volume FROM bars""")
 def null_out_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     test = M.in_range(["AF"], "1997-01-01", "1997-12-31", None)
-    return M.null_out_columns(X.bars(spark, sf_dir), ["volume"], test).select("ticker", "dt", "close", "volume")
+    change = lambda df: M.null_out_columns(df, ["volume"], test)
+    return _changed(spark, X.bars(spark, sf_dir), test, change).select("ticker", "dt", "close", "volume")
 
 
 query("purge", O.with_(O.BARS) + "SELECT ticker, dt, close FROM bars WHERE ticker NOT IN ('AO', 'RO')")(
-    lambda s, d: M.purge(X.bars(s, d), ["AO", "RO"]).select("ticker", "dt", "close"))
+    lambda s, d: _changed(s, X.bars(s, d), M.in_range(["AO", "RO"], None, None, None), lambda df: M.purge(df, ["AO", "RO"]))
+    .select("ticker", "dt", "close"))
 query("high_water_mark", O.with_(O.BARS) + """SELECT ticker, frequency, max(ts) AS last_ts, max(ts) + INTERVAL 1 DAY AS next_start
  FROM bars GROUP BY ticker, frequency""")(lambda s, d: M.high_water_mark(X.bars(s, d)))
 

@@ -93,7 +93,7 @@ def write_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars, path = X.bars(spark, sf_dir), work_dir(spark, "append")
     writers.write_bars(bars.where("dt < DATE '1999-01-01'"), path)
     writers.write_bars(bars.where("dt >= DATE '1999-01-01'"), path)
-    return _plain(spark.read.parquet(path))
+    return _plain(writers.read_table(spark, path))
 
 
 @query("write_truncate", O.with_(O.BARS) + _ALL_BARS + " WHERE dt >= DATE '1999-01-01'")

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barline.operators import merge
 from barline.session import work_dir
 
+BAR_PARTITIONS, BAR_SORT = ["frequency", "year"], ["ticker", "ts"]
+
 
 def _spread(df: DataFrame, partition: Sequence[str], sort: Sequence[str]) -> DataFrame:
     """Range-shuffle by partition and sort columns: few files per partition, yet a
@@ -28,8 +31,8 @@ def write_truncate(df: DataFrame, path: str, partition: Sequence[str] = (), sort
 
 
 def write_bars(df: DataFrame, path: str) -> None:
-    """Bars by frequency and year, sorted by ticker and time inside each file."""
-    write_append(df.withColumn("year", F.year("ts")), path, ["frequency", "year"], ["ticker", "ts"])
+    """Bars by frequency (canonical names) and year, sorted by ticker and time inside each file."""
+    write_append(merge.canonical_rows(df).withColumn("year", F.year("ts")), path, BAR_PARTITIONS, BAR_SORT)
 
 
 def export_parquet_csv(df: DataFrame, base: str) -> None:
@@ -42,29 +45,93 @@ def export_parquet_csv(df: DataFrame, base: str) -> None:
     df.withColumns(fixed).write.mode("overwrite").option("header", True).csv(f"{base}/csv")
 
 
-def rewrite_partitions(spark: SparkSession, path: str, touched: DataFrame, partition: str,
-                       change: Callable[[DataFrame], DataFrame]) -> None:
+def partition_columns(spark: SparkSession, path: str) -> list[str]:
+    """Partition columns of a stored table, outermost first, as its folders name them."""
+    here, names = spark._jvm.org.apache.hadoop.fs.Path(path), []
+    system = here.getFileSystem(spark._jsc.hadoopConfiguration())
+    while True:
+        inner = [s.getPath() for s in system.listStatus(here) if s.isDirectory() and "=" in s.getPath().getName()]
+        if not inner:
+            return names
+        here = inner[0]
+        names.append(here.getName().split("=", 1)[0])
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A stored table whose partition values are whole numbers, dates or text.
+
+    Left to itself the reader takes the frequency ``1d`` for the number 1.0."""
+    parts, found = partition_columns(spark, path), spark.read.parquet(path)
+    plain = (T.IntegerType, T.LongType, T.DateType, T.StringType)
+    fields = [T.StructField(f.name, T.StringType()) if f.name in parts and not isinstance(f.dataType, plain) else f
+              for f in found.schema]
+    return found if fields == found.schema.fields else spark.read.schema(T.StructType(fields)).parquet(path)
+
+
+def _any_of(partition: Sequence[str], rows: Sequence[tuple]) -> Column:
+    """Whether a row lies in one of the partitions; literals only, so that the scan opens no others."""
+    groups: dict[tuple, list] = {}
+    for row in rows:
+        groups.setdefault(row[:-1], []).append(row[-1])
+    test = F.lit(False)
+    for head, values in groups.items():
+        known = [v for v in values if v is not None]
+        inner = F.col(partition[-1]).isin(known) if known else F.lit(False)
+        if len(known) < len(values):
+            inner = inner | F.col(partition[-1]).isNull()
+        for name, value in zip(partition, head):
+            inner = F.col(name).eqNullSafe(F.lit(value)) & inner
+        test = test | inner
+    return test
+
+
+def rewrite_partitions(spark: SparkSession, path: str, touched: DataFrame, partition: str | Sequence[str],
+                       change: Callable[[DataFrame], DataFrame], sort: Sequence[str] = ()) -> None:
     """Replace the partitions named in ``touched`` by ``change`` of their rows.
 
-    Only those partitions are read (the join prunes them) and replaced. The new
-    rows are written aside first: a failed attempt leaves the table as it was and
-    can be run again.
+    ``partition`` has to name all partition columns of the table. Only touched partitions are read and replaced;
+    the driver holds their values and folders, one entry a partition. The new rows are written aside first: a
+    failed attempt leaves the table as it was and can be run again. Missing partition values are values.
     """
-    current = spark.read.parquet(path)
-    columns = current.columns
+    parts = [partition] if isinstance(partition, str) else list(partition)
+    layout = partition_columns(spark, path)
+    if parts != layout:
+        raise ValueError(f"the table is partitioned by {layout}, not by {parts}")
+    current = read_table(spark, path)
+    named = touched.select(*[F.col(c).cast(current.schema[c].dataType).alias(c) for c in parts]).distinct()
+    values = [tuple(row) for row in named.toLocalIterator()]
+    if not values:
+        return
+    hit = current.where(_any_of(parts, values))
+    folders = hit.select(*parts, F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")).distinct()
+    before = {tuple(row[:-1]): row[-1] for row in folders.toLocalIterator()}
     aside = work_dir(spark, "rewrite")
-    # Written out because ``touched`` usually reads the very files replaced below.
-    touched.select(partition).distinct().write.parquet(f"{aside}-keys")
-    keys = spark.read.parquet(f"{aside}-keys")
-    hit = current.join(keys, partition, "left_semi")
-    change(hit).select(*columns).write.partitionBy(partition).parquet(aside)
+    change(hit).select(*current.columns).write.partitionBy(*parts).parquet(aside)
     # The schema is given because removing every row leaves no files to infer it from.
     ready = spark.read.schema(current.schema).parquet(aside)
-    ready.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    filled = {tuple(row) for row in ready.select(*parts).distinct().toLocalIterator()}
+    if not filled <= set(values):
+        raise ValueError(f"changed rows lie outside the touched partitions: {filled - set(values)}")
+    (_spread(ready, parts if sort else [], sort).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy(*parts).parquet(path))
     # A dynamic overwrite leaves partitions alone that got no rows: drop those folders.
-    emptied = keys.join(ready.select(partition).distinct(), partition, "left_anti")
-    for row in emptied.toLocalIterator():
-        _delete_folder(spark, f"{path}/{partition}={row[0]}")
+    for row, folder in before.items():
+        if row not in filled:
+            _delete_partition(spark, path, folder)
+    _delete_folder(spark, aside)
+
+
+def _delete_partition(spark: SparkSession, path: str, folder: str) -> None:
+    """Delete a partition's folder (given as a URI) and the folders above it that hold nothing else."""
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    target, root = path_of(spark._jvm.java.net.URI(folder)), path_of(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    root = system.makeQualified(root)
+    system.delete(target, True)
+    above = system.makeQualified(target.getParent())
+    while not above.equals(root) and len(system.listStatus(above)) == 0:
+        system.delete(above, False)
+        above = above.getParent()
 
 
 def _delete_folder(spark: SparkSession, folder: str) -> None:
@@ -72,6 +139,30 @@ def _delete_folder(spark: SparkSession, folder: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def change_rows(spark: SparkSession, path: str, test: Column, change: Callable[[DataFrame], DataFrame],
+                sort: Sequence[str] = ()) -> None:
+    """Apply ``change`` to the partitions of a stored table that hold rows for which ``test`` is true.
+
+    With ``merge.delete_where`` a delete or purge, with ``merge.null_out_columns`` an update."""
+    hit = read_table(spark, path).where(test)
+    rewrite_partitions(spark, path, hit, partition_columns(spark, path), change, sort)
+
+
+MERGES = {"upsert": merge.merge_upsert, "coalesce": merge.merge_coalesce, "insert": merge.merge_insert_only}
+
+
+def merge_into(spark: SparkSession, path: str, staging: str, mode: str, keys: Sequence[str] = tuple(merge.KEY)) -> None:
+    """Merge the table at ``staging`` into the bars at ``path`` (see ``write_bars``) and leave staging empty.
+
+    ``mode`` is ``upsert``, ``coalesce`` or ``insert``; keys staged several times count once. Only partitions with
+    staged rows are rewritten. Staging is emptied last, so a failed attempt can be run again."""
+    held = spark.read.parquet(staging)
+    staged = merge.canonical_rows(held).withColumn("year", F.year("ts"))
+    rewrite_partitions(spark, path, staged, BAR_PARTITIONS, lambda stored: MERGES[mode](stored, staged, keys), BAR_SORT)
+    (spark.createDataFrame([], held.schema).write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .parquet(staging))
+
+
 def load_lineage(df: DataFrame, query_id: str, group: str, topics: Sequence[str], frequency: str) -> DataFrame:
     """One metadata row describing a load of sentiment rows."""
     return df.agg(

@@ -147,6 +147,33 @@ def test_partition_rewrite_can_empty_a_partition(spark):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_partition_rewrite_takes_special_and_missing_values(spark):
+    path = work_dir(spark, "test")
+    part = F.element_at(F.array(F.lit("a:b"), F.lit(None), F.lit("c d"), F.lit("e%2F")), F.dayofmonth("dt"))
+    writers.write_truncate(bars(spark, [1.0, 2.0, 3.0, 4.0]).withColumns({"outer": F.lit("x"), "part": part}), path, ["outer", "part"])
+    for gone, left in ((1.0, [2.0, 3.0, 4.0]), (2.0, [3.0, 4.0]), (4.0, [3.0])):
+        test = F.col("close") == gone
+        writers.change_rows(spark, path, test, lambda x: M.delete_where(x, test))
+        assert values(spark.read.parquet(path), "close") == left
+    with pytest.raises(ValueError):
+        writers.rewrite_partitions(spark, path, spark.read.parquet(path), "part", lambda x: x)
+
+
+def test_stored_merges(spark):
+    for mode, want in (("upsert", [1.0, None, 30.0, 40.0]), ("coalesce", [1.0, 2.0, 30.0, 40.0]), ("insert", [1.0, 2.0, 3.0, 40.0])):
+        path, staging = work_dir(spark, "test"), work_dir(spark, "test")
+        writers.write_bars(bars(spark, [1.0, 2.0, 3.0]), path)
+        new = bars(spark, [0.0, None, 30.0, 40.0]).where("dt > '2020-01-01'").withColumns(
+            {"frequency": F.lit("daily"), "ingested_at": F.lit(2)})
+        old = new.withColumns({"close": F.lit(-1.0), "ingested_at": F.lit(1)})
+        new.unionByName(old).write.parquet(staging)
+        for _ in range(2):
+            writers.merge_into(spark, path, staging, mode)
+            table = writers.read_table(spark, path)
+            assert values(table, "close") == want and values(table.select("frequency", "ts"), "frequency") == ["1d"] * 4
+        assert spark.read.parquet(staging).isEmpty()
+
+
 def test_top_up_comes_before_skip(spark):
     work = spark.createDataFrame([("A", "1d"), ("B", "1d"), ("C", "1d")], "ticker string, frequency string")
     held = bars(spark, [1.0] * 3, "A").unionByName(bars(spark, [1.0] * 30, "B"))

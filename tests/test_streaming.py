@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,3 +65,44 @@ def test_sliding_windows_equal_batch(spark, base):
     batch = feeds.ohlc(shaped(spark.read.schema(SCHEMA).parquet(f"{base}/in")), "1 hour", "15 minutes", "5 minutes")
     closed = batch.where(F.col("window.end") <= F.lit(START + dt.timedelta(minutes=29 * 7 - 5)))
     assert sorted(spark.read.parquet(f"{base}/out").collect()) == sorted(closed.collect())
+
+
+def test_stream_indicators_skip_missing_closes():
+    """State handed from batch to batch gives what one pass over the series gives."""
+    from barline.streaming.indicators import BarIndicators
+
+    class Held:
+        value = None
+
+        def exists(self):
+            return self.value is not None
+
+        def get(self):
+            return self.value
+
+        def put(self, value):
+            self.value = value
+
+        update = put
+
+    class Handle:
+        def getListState(self, *_):  # noqa: N802
+            return Held()
+
+        getValueState = getListState  # noqa: N815
+
+    rng = np.random.default_rng(1)
+    close = rng.normal(50, 5, 300)
+    close[rng.random(300) < 0.2] = np.nan
+    close[100:140] = np.nan
+    bars = pd.DataFrame({"ts": pd.date_range("2020", periods=300), "close": close, "volume": 1.0})
+    state, out, at = BarIndicators(), [], 0
+    state.init(Handle())
+    while at < 300:
+        size = int(rng.integers(1, 20))
+        out += state.handleInputRows(("A",), iter([bars.iloc[at:at + size]]), None)
+        at += size
+    assert not list(state.handleInputRows(("A",), iter([bars.iloc[5:9]]), None))
+    got = pd.concat(out).reset_index(drop=True)
+    np.testing.assert_allclose(got.sma_10, bars.close.rolling(10).mean(), rtol=1e-9)
+    np.testing.assert_allclose(got.ema_12, bars.close.ewm(span=12, adjust=False, min_periods=12).mean(), rtol=1e-9)
