@@ -12,6 +12,7 @@ Extra columns are ignored; repeated rows are labelled each for itself. Only the
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -152,35 +153,39 @@ def pooled(weights: dict, data: np.ndarray, offsets: np.ndarray, languages: int,
     return total / np.maximum(np.diff(offsets), 1)[:, None]
 
 
-def training_windows(sample: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Random windows from anywhere in the sampled texts, with their label numbers."""
-    rng = np.random.default_rng(SEED)
-    names = sorted(set(sample["lang"]))
-    windows, labels = [], []
-    for text, lang in zip(sample["text"], sample["lang"]):
-        raw = np.frombuffer(text.encode(), np.uint8)
-        for _ in range(WINDOWS_A_DOC if len(raw) else 0):
-            at = int(rng.integers(0, max(1, len(raw) - WINDOW + 1)))
-            part = np.full(WINDOW, 256, np.int16)
-            part[:len(raw[at:at + WINDOW])] = raw[at:at + WINDOW]
-            windows.append(part)
-            labels.append(names.index(lang))
-    return np.array(windows, np.int16).reshape(-1, WINDOW), np.array(labels, np.int64), names
+def drawn(text: str) -> bytes:
+    """``WINDOWS_A_DOC`` windows from anywhere in a text, end to end as 16-bit codes; the text alone decides which."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    rng = np.random.default_rng([SEED, zlib.crc32(raw)])
+    at = rng.integers(0, max(1, len(raw) - WINDOW + 1), WINDOWS_A_DOC)
+    place = at[:, None] + np.arange(WINDOW)
+    return np.where(place < len(raw), raw[np.minimum(place, len(raw) - 1)].astype("<i2"), 256).astype("<i2").tobytes()
+
+
+def _draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame[["rank", "lang"]].assign(windows=[drawn(t) for t in frame["text"]])
 
 
 def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Weights and language names, from at most ``train_docs`` labelled documents outside the held-out fold."""
+    """Weights and language names, from at most ``train_docs`` labelled documents outside the held-out fold.
+
+    Tasks draw the windows, so the driver takes a kilobyte a document, however long the texts are.
+    """
     labelled = C.texts(docs, "lang").where(
         F.col("lang").isNotNull() & (C.fold("doc_id", HELD_OUT_PARTS) != 0) & F.col("text").rlike(LETTER))
-    # The share is set from a count, so that about the bound is read; the limit holds the bound itself.
+    # The share is set from a count, so that about the bound is read; the limit, by the same hash, holds the bound itself.
     count = labelled.count()
     span = 1 << 40
     share = min(span, -(-span * train_docs // max(1, count)))
-    sample = (labelled.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) < share)
-              .select("text", "lang").limit(train_docs).toPandas())
-    windows, labels, names = training_windows(sample.sort_values(["lang", "text"]))
+    ranked = labelled.withColumn("rank", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))).where(F.col("rank") < share)
+    sample = (ranked.select("rank", "lang", "text").mapInPandas(_draw, "rank long, lang string, windows binary")
+              .orderBy("rank", "lang", "windows").limit(train_docs).toPandas())
+    names = sorted(set(sample["lang"]))
     if not names:
         return {}, []
+    windows = np.frombuffer(b"".join(sample["windows"]), "<i2").reshape(-1, WINDOW)
+    labels = np.repeat([names.index(x) for x in sample["lang"]], WINDOWS_A_DOC)
     return train(windows, labels, len(names)), names
 
 

@@ -184,6 +184,16 @@ def test_language_gradients_and_rules(docs, rows, none):
     assert names == [] and {r.lang_pred for r in language.predict(docs, model, names).collect()} == {"und"}
 
 
+def test_windows_come_from_the_whole_text():
+    text = "".join(chr(65 + k % 26) for k in range(500)) + "é"
+    raw = text.encode() + bytes(64)
+    windows = np.frombuffer(language.drawn(text), "<i2").reshape(-1, language.WINDOW)
+    assert len(windows) == language.WINDOWS_A_DOC and language.drawn(text) == language.drawn(text)
+    assert all(w.astype(np.uint8).tobytes() in raw for w in windows) and windows.max() < 256
+    short = np.frombuffer(language.drawn("ab"), "<i2").reshape(-1, language.WINDOW)
+    assert (short[:, :2] == [97, 98]).all() and (short[:, 2:] == 256).all()
+
+
 def test_language_held_out(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     weights, names = language.fit(table, 600)
