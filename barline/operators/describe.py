@@ -17,7 +17,8 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[f
     Built-in exact percentiles keep all distinct values of a group in one buffer.
     Here a fixed-size sketch brackets each quantile first; values outside the
     bracket are only counted, and just the few distinct values inside it are
-    ranked. Groups too small for the sketch's error bound are ranked whole.
+    ranked. Groups too small for the sketch's error bound are ranked whole. A rank
+    outside its bracket is an error, never a missing value.
     ``cont`` interpolates, ``disc`` returns the first value reaching the share.
     """
     keys = list(keys)
@@ -62,8 +63,10 @@ def quantiles(df: DataFrame, keys: Sequence[str], column: str, probs: Sequence[f
         value_at("__first").alias("__a"), value_at("__second").alias("__b"), F.max("__frac").alias("__f"))
     a, b = F.col("__a"), F.col("__b")
     value = a + (b - a) * F.col("__f") if method == "cont" else a
+    missed = F.raise_error(F.lit(f"a quantile of {column} lies outside its bracket"))
     return picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("__i") == i, value)).alias(f"q{i}") for i in range(len(probs))])
+        F.when(F.count("*") > 0, F.coalesce(F.max(F.when(F.col("__i") == i, value)), missed)).alias(f"q{i}")
+        for i in range(len(probs))])
 
 
 def describe(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:

@@ -57,8 +57,8 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], k: int, *order: Column)
 
 
 def _draw(keys: Sequence[str], seed: int) -> Column:
-    """Pseudo-random order from the key itself: the same after a retry, unlike rand()."""
-    return F.xxhash64(F.lit(seed), *keys)
+    """Pseudo-random order from the key itself: the same after a retry, unlike rand(), and in other engines."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]).cast("binary"))
 
 
 def random_sample(df: DataFrame, keys: Sequence[str], n: int, seed: int = 42) -> DataFrame:

@@ -49,8 +49,12 @@ query("top_k_per_group", O.with_(O.BARS, VERSIONS) + """SELECT indicator, ticker
         .unpivot(["ticker", "dt"], _DIFFS, "indicator", "diff").where("diff IS NOT NULL"),
         ["indicator"], 10, F.col("diff").desc(), F.col("ticker"), F.col("dt"))
     .select("indicator", "ticker", "dt", F.round("diff", 4).alias("diff"), F.col("rank").cast("long").alias("rank")))
-query("random_sample")(lambda s, d: R.random_sample(X.articles(s, d), ["article_id"], 20))
-query("shuffle")(lambda s, d: R.shuffle(X.bars(s, d), ["ticker", "dt"]))
+query("random_sample", """SELECT event_id AS article_id, CAST(user_id AS VARCHAR) AS source FROM events
+ ORDER BY md5(concat_ws('|', '42', CAST(event_id AS VARCHAR))), event_id LIMIT 20""")(
+    lambda s, d: R.random_sample(X.articles(s, d).select("article_id", "source"), ["article_id"], 20))
+query("shuffle", O.with_(O.BARS) + """SELECT ticker, dt, close, transactions FROM bars
+ ORDER BY md5(concat_ws('|', '42', ticker, CAST(dt AS VARCHAR))), ticker, dt""")(
+    lambda s, d: R.shuffle(X.bars(s, d).select("ticker", "dt", "close", "transactions"), ["ticker", "dt"]))
 _ENDS = "SELECT event_id, ts, value FROM events"
 query("union_all", f"""SELECT * FROM ({_ENDS} ORDER BY ts, event_id LIMIT 50) UNION ALL SELECT * FROM ({_ENDS} ORDER BY ts DESC, event_id DESC LIMIT 50)""")(
     lambda s, d: (lambda e: R.concat([R.top_k(e, 50, F.col("ts"), F.col("event_id")),
@@ -264,6 +268,22 @@ _PAIRS = [(a, b) for i, a in enumerate(_CORR) for b in _CORR[i + 1:]]
 query("drop_correlated", O.with_(O.BARS) + "SELECT feature, round(max(abs(c)), 6) AS max_abs_corr FROM (" + " UNION ALL ".join(
     f"SELECT '{b}' AS feature, corr({a}, {b}) AS c FROM bars" for a, b in _PAIRS) + ") GROUP BY feature HAVING max(abs(c)) > 0.8")(
     lambda s, d: _round(Q.correlated_features(X.bars(s, d), _CORR, 0.8), ["feature"], ["max_abs_corr"]))
+
+
+def _greedy_sql(limit: float) -> str:
+    """A feature stays unless it correlates highly with an earlier one that stays."""
+    flags = [f"NOT ({' OR '.join(f'(k{i} AND abs(corr_{i}_{j}) > {limit})' for i in range(j)) or 'FALSE'}) AS k{j}" for j in range(len(_CORR))]
+    corrs = [f"corr({_CORR[i]}, {_CORR[j]}) AS corr_{i}_{j}" for j in range(len(_CORR)) for i in range(j)]
+    stays = " UNION ALL ".join(f"SELECT '{c}' AS feature, n FROM k WHERE k{j}" for j, c in enumerate(_CORR))
+    return f"c AS (SELECT count(*) AS n, {', '.join(corrs)} FROM bars), k AS (SELECT n, {', '.join(flags)} FROM c) {stays}"
+
+
+def _kept_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = Q.drop_correlated(X.bars(spark, sf_dir).select(*_CORR), _CORR, 0.8)
+    return kept.agg(*[F.count("*").alias(c) for c in kept.columns]).unpivot([], kept.columns, "feature", "n")
+
+
+query("drop_correlated_greedy", O.with_(O.BARS, _greedy_sql(0.8)))(_kept_features)
 _SEL = ["open", "high", "low", "close", "volume"]
 _FWD = f"fw AS (SELECT *, (lead(close, 7) {W} - close) / close AS target_7 FROM bars)"
 
@@ -294,6 +314,11 @@ _LEAK = ["returns", "sma_10", "volatility_10", "obv"]
 query("leakage_check", O.with_(O.BARS) + f"""SELECT n AS feature, (SELECT count(*) FROM bars WHERE {_TRAIN}) AS compared,
   CAST(0 AS BIGINT) AS leaks FROM (SELECT unnest({_LEAK}) AS n)""")(
     lambda s, d: Q.future_leaks(X.bars(s, d), lambda df: I.indicator_set(df, _LEAK), _LEAK, "2000-01-01", ["ticker", "ts"]))
+query("leakage_found", O.with_(O.BARS) + f"""SELECT 'next_close' AS feature, (SELECT count(*) FROM bars WHERE {_TRAIN}) AS compared,
+  count(*) AS leaks FROM (SELECT dt, lead(dt) {W} AS next_dt FROM bars) WHERE {_TRAIN} AND NOT next_{_TRAIN}""")(
+    lambda s, d: Q.future_leaks(
+        X.bars(s, d), lambda df: S.over_blocks(df, S.bars(), [S.columns(next_close=lambda w: F.lead("close", 1).over(w))], after=1),
+        ["next_close"], "2000-01-01", ["ticker", "ts"]))
 query("split_overlap", _MZ + """SELECT split, min(dt) AS first, max(dt) AS last, TRUE AS ordered FROM z WHERE split IS NOT NULL GROUP BY split""")(
     lambda s, d: Q.split_overlap(samples(s, d).where("split IS NOT NULL").select("dt", "split")))
 query("min_samples_check", _MZ + """SELECT split, count(*) AS n, CAST(CASE split WHEN 'train' THEN 500 ELSE 100 END AS BIGINT) AS required,
