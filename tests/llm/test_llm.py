@@ -304,6 +304,49 @@ def test_near_duplicate_recall(spark):
     assert near and np.mean([label[a] == label[b] for a, b in near]) >= 0.98
 
 
+def test_near_duplicates_among_containing_pages(spark, monkeypatch):
+    """Texts whose buckets are led by longer pages that hold them whole: every similar pair that shares a sketch
+    shares a class, as brute force finds, also where buckets are cut into many blocks."""
+    rng = random.Random(3)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts, copies = [], []
+    for _ in range(12):
+        text = prose(150)
+        texts += [" ".join(text + prose(62)) for _ in range(8)]
+        changed = text[:70] + ["changed"] + text[71:]
+        copies += [" ".join(text), " ".join(changed)]
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string").coalesce(1)
+    made = {k: (near_dedup.sketches(*near_dedup.C.as_block([t.encode()]))[0],
+                np.frombuffer(near_dedup._word_rows(*near_dedup.C.as_block([t.encode()]))[0], "<u4"))
+            for k, t in enumerate(texts + copies)}
+    # Nodes are numbered in the order of the ids, so that pages come before the texts they hold.
+    plain = near_dedup.F.monotonically_increasing_id
+    monkeypatch.setattr(near_dedup.F, "monotonically_increasing_id", lambda: near_dedup.F.col("doc_id") + plain() * 0)
+    pairs = [(a, b) for a in made for b in made if a < b and (made[a][0] == made[b][0]).any()]
+    near = [(a, b) for a, b in pairs if near_dedup.similar(made[a][1], made[b][1])]
+    assert len(near) >= 12 and len(pairs) > 5 * len(near)
+    for block in (near_dedup.BLOCK, 2):
+        monkeypatch.setattr(near_dedup, "BLOCK", block)
+        label = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+        assert all(label[a] == label[b] for a, b in near)
+        assert len(set(label.values())) == len(made) - 12
+
+
+def test_bounds_never_rule_out_similar_texts():
+    rng = random.Random(4)
+    for _ in range(300):
+        n = rng.choice((1, 2, 3, 8, 60, 2000))
+        a = [rng.randrange(rng.choice((2, 50))) for _ in range(n)]
+        b = list(a)
+        for _ in range(rng.randrange(0, n // 5 + 2)):
+            k = rng.randrange(len(b) + 1)
+            b[k:k + rng.randrange(2)] = [rng.randrange(60)] * rng.randrange(2)
+        a, b = np.array(a, "u4"), np.array(b, "u4")
+        (x, s), (y, t) = near_dedup.run_counts(a), near_dedup.run_counts(b)
+        if near_dedup.similar(a, b):
+            assert near_dedup.possible(np.array([len(a), len(b)]), np.stack([x, y]), np.array([s, t]), 0, 0.8).all()
+
+
 def test_pipeline_stages(spark, docs, rows):
     import corpus_pipeline as P
 
