@@ -12,7 +12,7 @@ one anchor is a *stretch*; there is about one for every 85 bytes.
    sorted as suffixes from the anchor on: a bottom-up mergesort whose comparisons find the common extension by binary
    search over prefix polynomial hashes. Windows are equal if their parts right of the anchor lie in one run of the
    sorted order with common extensions that long, and the hashes of their parts left of it agree. Every match that
-   is used is verified byte by byte.
+   the sort finds is verified byte by byte; that whole stretches have the same content is trusted to a 64-bit hash.
 3. The covered ranges return to all owners of the content and are merged in each document.
 
 Rules: null text is empty; texts shorter than a window keep all bytes. Matches never cross documents. Rows that
