@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import byte_bpe, decontaminate, fingerprints, language, language_model, line_dedup, near_dedup, suffix_dedup, token_files, warc
+from barline.llm import (byte_bpe, centroids, decontaminate, disclosure, fingerprints, hard_negatives, language, language_model, line_dedup,
+                         near_dedup, suffix_dedup, token_files, warc)
 from barline.session import prepare
 
 
@@ -26,5 +27,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         "op8_language_model": language_model.query,
         "op9_byte_bpe": byte_bpe.query,
         "op10_near_dedup": near_dedup.query,
+        "op11_centroid_clustering": centroids.query,
+        "op12_hard_negatives": hard_negatives.query,
+        "op13_disclosure": disclosure.query,
     }.items()}
-ORACLES: dict[str, str] = {"op5_line_dedup": line_dedup.SQL}
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": line_dedup.SQL,
+    "op11_centroid_clustering": centroids.SQL,
+    "op12_hard_negatives": hard_negatives.SQL,
+    "op13_disclosure": disclosure.SQL,
+}
