@@ -3,11 +3,13 @@
 The network reads windows of ``WINDOW`` bytes in both directions (one gated recurrent layer each way), gives every
 position a probability for each language, and a document gets the mean over its positions. It is trained in numpy
 by backpropagation through time on windows drawn from at most ``TRAIN_DOCS`` labelled documents, chosen by a hash
-of id and text and drawn evenly from the languages. Whole texts are labelled, window by window.
+of id and text. Each language has an equal share of them, as far as it has documents, so that a rare one is learned
+as well (of more than ``TRAIN_DOCS`` languages the most frequent). Whole texts are labelled, window by window.
 
 Rules: null text, and text without any letter, is ``und`` with score 0. Languages are those seen in training, in
 alphabetical order; ties go to the first. Without any labelled document every text is ``und`` with score 0.
 Extra columns are ignored; repeated rows are labelled each for itself. Only the text decides a prediction.
+``keep_known`` drops what is ``und`` or less likely than all but ``LOSS`` of the training documents.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,7 @@ WINDOW, HIDDEN = 64, 8
 TRAIN_DOCS, WINDOWS_A_DOC = 2000, 8
 STEPS, BATCH, RATE, SEED = 250, 256, 0.02, 7
 HELD_OUT_PARTS = 5
+LOSS = 0.001  # share of the training documents that would be rejected
 LETTER = r"\p{L}"
 
 
@@ -167,49 +171,74 @@ def _draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame[["rank", "lang"]].assign(windows=[drawn(t) for t in frame["text"]])
 
 
-def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, np.ndarray], list[str]]:
-    """Weights and language names, from at most ``train_docs`` labelled documents outside the held-out fold.
+def _sample(docs: DataFrame, train_docs: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Windows and labels (one a window) of at most ``train_docs`` labelled documents outside the held-out fold.
 
     Tasks draw the windows, so the driver takes a kilobyte a document, however long the texts are.
     """
     labelled = C.texts(docs, "lang").where(
         F.col("lang").isNotNull() & (C.fold("doc_id", HELD_OUT_PARTS) != 0) & F.col("text").rlike(LETTER))
-    # The share is set from a count, so that about the bound is read; the limit, by the same hash, holds the bound itself.
-    count = labelled.count()
+    # Shares are set from counts, so that about the bound is read; the limit, by the same hash, holds the bound itself.
+    counts = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(train_docs).collect()
+    if not counts:
+        return np.zeros((0, WINDOW), np.int16), np.zeros(0, np.int64), []
+    known = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], r["count"])))
+    # A document's place among those of its language: the hash, stretched to their number.
     span = 1 << 40
-    share = min(span, -(-span * train_docs // max(1, count)))
-    ranked = labelled.withColumn("rank", F.pmod(F.xxhash64("doc_id", "text"), F.lit(span))).where(F.col("rank") < share)
-    sample = (ranked.select("rank", "lang", "text").mapInPandas(_draw, "rank long, lang string, windows binary")
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(span)) / F.lit(float(span)) * F.element_at(known, F.col("lang"))
+    ranked = labelled.withColumn("rank", place).where(F.col("rank") < 2.0 * train_docs / len(counts) + 10)
+    sample = (ranked.select("rank", "lang", "text").mapInPandas(_draw, "rank double, lang string, windows binary")
               .orderBy("rank", "lang", "windows").limit(train_docs).toPandas())
     names = sorted(set(sample["lang"]))
-    if not names:
-        return {}, []
     windows = np.frombuffer(b"".join(sample["windows"]), "<i2").reshape(-1, WINDOW)
-    labels = np.repeat([names.index(x) for x in sample["lang"]], WINDOWS_A_DOC)
-    return train(windows, labels, len(names)), names
+    return windows, np.repeat([names.index(x) for x in sample["lang"]], WINDOWS_A_DOC), names
 
 
-def predict(docs: DataFrame, weights: dict[str, np.ndarray], names: list[str], *more: str, keep_text: bool = False
-            ) -> DataFrame:
-    """``doc_id``, on request ``text``, the further columns asked for, ``lang_pred`` and ``score`` of every row."""
-    source = C.texts(docs, *more).withColumn("__letters", F.col("text").rlike(LETTER))
-    held = source.select("doc_id", *(["text"] if keep_text else []), *more).schema
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", lang_pred string, score double"
+def fit(docs: DataFrame, train_docs: int = TRAIN_DOCS) -> tuple[dict[str, np.ndarray], list[str]]:
+    """Weights and language names."""
+    windows, labels, names = _sample(docs, train_docs)
+    return (train(windows, labels, len(names)), names) if names else ({}, [])
+
+
+def keep_known(docs: DataFrame, train_docs: int = TRAIN_DOCS, loss: float = LOSS) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text is in a language: with letters, and with a mean probability that no
+    more than ``loss`` of the training documents stay below (in their windows). Without any label nothing is rejected
+    but text without letters."""
+    windows, labels, names = _sample(docs, train_docs)
+    weights, least = (train(windows, labels, len(names)), 0.0) if names else ({}, 0.0)
+    if names:
+        inside = (windows.T != 256)[:, :, None]
+        sums = (label_positions(weights, windows) * inside).sum(axis=0).reshape(-1, WINDOWS_A_DOC, len(names)).sum(axis=1)
+        scores = np.sort((sums / inside.sum(axis=0).reshape(-1, WINDOWS_A_DOC, 1).sum(axis=1)).max(axis=1))
+        least = float(scores[int(loss * len(scores))])
 
     def run(batches):
-        import pyarrow as pa
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            if names:
+                for first, end, data, offsets in C.text_blocks(batch):
+                    keep[first:end] = pooled(weights, data, offsets, len(names)).max(axis=1) >= least
+            yield batch.filter(pa.array(keep))
+
+    return docs.where(F.col("text").rlike(LETTER)).mapInArrow(run, docs.schema)
 
+
+def predict(docs: DataFrame, weights: dict[str, np.ndarray], names: list[str], *more: str) -> DataFrame:
+    """``doc_id``, the further columns asked for, ``lang_pred`` and ``score`` of every row."""
+    source = C.texts(docs, *more).select(F.col("text").rlike(LETTER), "*")  # the first column, whatever the others are called
+    held = source.schema.fields[1:2] + source.schema.fields[3:]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held) + ", lang_pred string, score double"
+
+    def run(batches):
         for batch in batches:
-            keep = [batch.schema.get_field_index(f.name) for f in held]
-            letters = np.asarray(batch.column(batch.schema.get_field_index("__letters")))
+            letters, keep = np.asarray(batch.column(0)), [batch.column(k) for k in (1, *range(3, batch.num_columns))]
             for first, end, data, offsets in C.text_blocks(batch):
                 known = letters[first:end] & bool(names)
                 pooling = pooled(weights, data, offsets, len(names)) if known.any() else np.zeros((end - first, 1))
                 best, score = pooling.argmax(axis=1), np.minimum(pooling.max(axis=1), 1.0)
                 label = [names[k] if ok else "und" for k, ok in zip(best, known)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(k).slice(first, end - first) for k in keep]
-                    + [pa.array(label, pa.string()), pa.array(np.where(known, score, 0.0))],
+                    [c.slice(first, end - first) for c in keep] + [pa.array(label, pa.string()), pa.array(np.where(known, score, 0.0))],
                     [f.name for f in held] + ["lang_pred", "score"])
 
     return source.mapInArrow(run, schema)

@@ -41,31 +41,33 @@ def boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, mi
             .groupBy("host").agg(F.sort_array(F.collect_list("line")).alias("bad")))
 
 
-def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """``pages`` with the lines removed, and ``n_lines``, ``n_dropped`` (both longs) at the end.
+def drop_boilerplate(pages: DataFrame, host: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES,
+                     counts: bool = True) -> DataFrame:
+    """``pages`` with the lines removed; with ``counts`` also ``n_lines``, ``n_dropped`` (both longs) at the end, in
+    place of columns that have these names.
 
     The hosts' arrays are written and measured. Up to ``BROADCAST_BYTES`` they are sent to all tasks and no text is
     shuffled; beyond that each array is copied ``SALTS`` times, so that a hot host's pages spread over as many tasks.
     """
-    clash = {"__host", "__bad", "__kept", "__salt"}
-    assert not clash & set(pages.columns), "reserved column names"
-    bad = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate").select(
-        F.col("host").alias("__host"), F.col("bad").alias("__bad"))
-    measured = bad.agg(F.sum(F.size("__bad") * 40 + F.octet_length("__host") + 64)).first()[0] or 0
-    named = pages.withColumn("__host", F.coalesce(F.col(host).cast("string"), F.lit("")))
+    bad = settle(boilerplate(pages, host, text, ratio, min_pages), "boilerplate")
+    measured = bad.agg(F.sum(F.size("bad") * 40 + F.octet_length("host") + 64)).first()[0] or 0
+    # A page's own columns travel in one struct, so that no name can clash.
+    named = pages.select(F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.col(text).alias("text"),
+                         F.struct(*(F.col(f"`{c}`") for c in pages.columns)).alias("row"))
     if measured <= BROADCAST_BYTES:
-        found = named.join(F.broadcast(bad), "__host", "left")
+        found = named.join(F.broadcast(bad), "host", "left")
     else:
-        salted = bad.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        found = (named.withColumn("__salt", F.pmod(F.xxhash64(F.col(text)), F.lit(SALTS)).cast("int"))
-                 .join(salted, ["__host", "__salt"], "left"))
-    kept = F.when(F.col("__bad").isNull(), _lines(F.col(text))).otherwise(
-        F.filter(_lines(F.col(text)), lambda line: (line == "") | ~F.array_contains(F.col("__bad"), _digest(line))))
-    found = found.withColumn("__kept", kept)
-    out = [F.when(F.col(text).isNull(), F.col(text)).otherwise(F.array_join("__kept", "\n")).alias(text)
-           if c == text else F.col(f"`{c}`") for c in pages.columns]
-    n = F.size(_lines(F.col(text))).cast("long")
-    return found.select(*out, n.alias("n_lines"), (n - F.size("__kept")).alias("n_dropped"))
+        salted = bad.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        found = (named.withColumn("salt", F.pmod(F.xxhash64(F.col("text")), F.lit(SALTS)).cast("int"))
+                 .join(salted, ["host", "salt"], "left"))
+    kept = F.when(F.col("bad").isNull(), _lines(F.col("text"))).otherwise(
+        F.filter(_lines(F.col("text")), lambda line: (line == "") | ~F.array_contains(F.col("bad"), _digest(line))))
+    found = found.withColumn("kept", kept)
+    left_out = {"n_lines", "n_dropped"} if counts else set()
+    out = [F.when(F.col("text").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias(text)
+           if c == text else F.col(f"row.`{c}`").alias(c) for c in pages.columns if c not in left_out]
+    n = F.size(_lines(F.col("text"))).cast("long")
+    return found.select(*out, *([n.alias("n_lines"), (n - F.size("kept")).alias("n_dropped")] if counts else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,6 +330,8 @@ def test_near_duplicates_among_containing_pages(spark, monkeypatch):
         label = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
         assert all(label[a] == label[b] for a, b in near)
         assert len(set(label.values())) == len(made) - 6
+    label = {r.doc_id: r.class_id for r in near_dedup.classes(docs, minors=8).collect()}  # buckets are split
+    assert np.mean([label[a] == label[b] for a, b in near]) >= 0.9
 
 
 def test_bounds_never_rule_out_similar_texts():
@@ -342,9 +344,32 @@ def test_bounds_never_rule_out_similar_texts():
             k = rng.randrange(len(b) + 1)
             b[k:k + rng.randrange(2)] = [rng.randrange(60)] * rng.randrange(2)
         a, b = np.array(a, "u4"), np.array(b, "u4")
-        (x, s), (y, t) = near_dedup.run_counts(a), near_dedup.run_counts(b)
+        fits = near_dedup.possible([a, b, a[:1], b], np.array([0, 2]), np.array([1, 3]))
         if near_dedup.similar(a, b):
-            assert near_dedup.possible(np.array([len(a), len(b)]), np.stack([x, y]), np.array([s, t]), 0, 0.8).all()
+            assert fits[0].all()
+        count = lambda x, k: collections.Counter(zip(*[x[j:].tolist() for j in range(k)]))
+        limit = int(0.2 * max(len(a), len(b)) + 1e-9)
+        want = abs(len(a) - len(b)) <= limit and all(sum((count(a, k) & count(b, k)).values()) >= max(len(a), len(b)) - (k - 1) - k * limit for k in (1, 2))
+        assert fits[0].tolist() == [want, want]
+
+
+def test_work_follows_the_texts_that_share_a_passage(spark, monkeypatch):
+    """Texts that share a passage and are else unlike: what is compared grows with their number, not its square, and
+    similar ones among them are found."""
+    rng, met = random.Random(8), []
+    prose = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    plain, passage = near_dedup.possible, prose(100)
+    for n in (150, 600):
+        texts = [prose(35) + passage + prose(35) for _ in range(n)]
+        near = [[*t[:20], "changed", *t[21:]] for t in texts[:n // 10]]
+        docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts + near)], "doc_id long, text string").repartition(4)
+        seen = spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(near_dedup, "possible", lambda texts, left, right, *a, seen=seen: (seen.add(len(left) * len(right)), plain(texts, left, right, *a))[1])
+        label = {r.doc_id: r.class_id for r in near_dedup.classes(docs, minors=16).collect()}
+        met.append(seen.value)
+        assert np.mean([label[n + k] == label[k] == k for k in range(len(near))]) >= 0.95
+        assert sum(label[k] == k for k in range(n)) == n
+    assert 0 < met[1] < 8 * met[0]
 
 
 def test_pipeline_stages(spark, docs, rows):
@@ -355,3 +380,55 @@ def test_pipeline_stages(spark, docs, rows):
         out = stage(spark, docs, "/root/testdata/sf0.001")
         assert out.columns == docs.columns and out.count() <= len(rows)
         assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
+
+
+CLASHING = ("score lang_pred n_lines n_dropped host bad kept salt row kept_id kept_digest own_digest own_id digest node label key packed "
+            "__host __bad __kept __salt __id __digest __text __letters item_id distance text_ n").split()
+
+
+def test_extra_columns_never_clash(spark, rows):
+    """Columns with the operators' own names come back unchanged from every stage, and change no operator's result."""
+    import corpus_pipeline as P
+
+    plain = [r[:5] for r in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame(plain, schema).repartition(3).cache()
+    wide = spark.createDataFrame([(*r, *(f"{c}{k}" for c in CLASHING)) for k, r in enumerate(plain)],
+                                 schema + "".join(f", `{c}` string" for c in CLASHING)).repartition(3).cache()
+    given = collections.Counter(r[5:] for r in wide.collect())
+    for name, stage in P.STAGES:
+        out, bare = stage(spark, wide, "/root/testdata/sf0.001"), stage(spark, docs, "/root/testdata/sf0.001")
+        if name == "tokens":
+            assert _bag(out, *out.columns) == _bag(bare, *bare.columns)
+            continue
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert not collections.Counter(r[5:] for r in got) - given
+        assert collections.Counter(r[:5] for r in got) == _bag(bare, *docs.columns)
+    for operator in (suffix_dedup.remove_repeats, fingerprints.compare_edited, near_dedup.classes):
+        assert _bag(operator(wide), *operator(docs).columns) == _bag(operator(docs), *operator(docs).columns)
+    assert line_dedup.drop_boilerplate(wide, "source", "text").columns[-2:] == ["n_lines", "n_dropped"]
+    assert _bag(language_model.score(wide, 3), "doc_id", "n_tokens", "n_known", "base_score") == _bag(
+        language_model.score(docs, 3), "doc_id", "n_tokens", "n_known", "base_score")
+
+
+def test_rare_languages_are_learned(spark):
+    """A language with one document in some hundred has its share of the sample."""
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    rng = random.Random(6)
+    rows = [(k, " ".join("".join(rng.choice(letters[lang]) for _ in range(5)) for _ in range(30)), lang)
+            for k in range(3000) for lang in ["cc" if k % 300 == 1 else "aabb"[k % 2 * 2:k % 2 * 2 + 2]]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    weights, names = language.fit(docs, 60)
+    told = language.predict(docs, weights, names, "lang").collect()
+    assert names == ["aa", "bb", "cc"] and np.mean([r.lang_pred == r.lang for r in told]) > 0.99
+    assert all(r.lang_pred == "cc" for r in told if r.lang == "cc")
+    kept = language.keep_known(docs.unionByName(docs.limit(1).selectExpr("-1L AS doc_id", "'123 !' AS text", "lang")), 60)
+    assert 2990 <= kept.count() <= 3000
+
+
+def test_short_documents_stay(spark):
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    short = table.selectExpr("doc_id", "array_join(slice(split(text, ' '), 1, 6), ' ') AS text", "lang").where("text rlike '[a-z]{4}'")
+    both = table.select("doc_id", "text", "lang").unionByName(short)
+    assert language.keep_known(both, 800).count() >= 0.98 * both.count()
