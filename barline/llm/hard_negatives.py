@@ -273,16 +273,22 @@ def _windows_of(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (at, *windows(np.frombuffer(row.positive_scores, "<i8")))
 
 
-def _scored(tiles: DataFrame, chunks: DataFrame, table: DataFrame, dims: int, pick, schema: str) -> DataFrame:
-    """What ``pick`` takes from the scores of each tile's anchors in its block."""
+def _scored(tiles: DataFrame, chunks: DataFrame, table: DataFrame, dims: int, pick, most: int, schema: str) -> DataFrame:
+    """What ``pick`` takes from the scores of each tile's anchors in its block: a group (the first two columns), an id
+    and a score. Of the tiles that reach a task together, each group keeps its ``most`` best rows."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
+            found = []
             for row in frame.itertuples():
                 who = np.frombuffer(row.who, "<i4")
                 ids, labels, x = np.frombuffer(row.ids, "<i8"), np.frombuffer(row.row_labels, "<i8"), np.frombuffer(row.rows, "<i4").reshape(-1, dims)
                 scores = products(np.frombuffer(row.vectors, "<i4").reshape(-1, dims)[who], x)
-                yield pick(row, who, ids, labels, scores)
+                found.append(pick(row, who, ids, labels, scores))
+            if found:
+                found = pd.concat(found)
+                group, (named, score) = list(found.columns[:2]), found.columns[2:]
+                yield found.sort_values([*group, score, named], ascending=[True, True, False, True], kind="stable").groupby(group, sort=False).head(most)
 
     side = table.select("block", "ids", F.col("labels").alias("row_labels"), F.col("vectors").alias("rows"))
     return tiles.join(chunks, "chunk").join(side, "block").mapInPandas(run, schema)
@@ -338,7 +344,7 @@ def mine(source: DataFrame, column: str = "embedding", every: int = EVERY, posit
     pages, n_pages = _pages(table)
 
     tiles = _tiles(chunks, pages, n_pages, dims, _wanted_positives)
-    scored = _scored(tiles, chunks, table, dims, _pick_positives(positives), "chunk long, at long, positive_id long, positive_score long")
+    scored = _scored(tiles, chunks, table, dims, _pick_positives(positives), positives, "chunk long, at long, positive_id long, positive_score long")
     best = Window.partitionBy("chunk", "at").orderBy(F.desc("positive_score"), "positive_id")
     found = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= positives)
     # At most CHUNK * positives windows a chunk, packed in one order.
@@ -354,7 +360,7 @@ def mine(source: DataFrame, column: str = "embedding", every: int = EVERY, posit
     aims = settle(aims, "windows")
 
     tiles = _tiles(aims, pages, n_pages, dims, _wanted_negatives)
-    scored = _scored(tiles, aims, table, dims, _pick_negatives(negatives), "chunk long, window long, negative_id long, negative_score long")
+    scored = _scored(tiles, aims, table, dims, _pick_negatives(negatives), negatives, "chunk long, window long, negative_id long, negative_score long")
     best = Window.partitionBy("chunk", "window").orderBy(F.desc("negative_score"), "negative_id")
     kept = scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= negatives)
 
