@@ -353,6 +353,18 @@ def test_bounds_never_rule_out_similar_texts():
         assert fits[0].tolist() == [want, want]
 
 
+def test_components_of_chains_stars_and_rings(spark):
+    rng = random.Random(7)
+    names = rng.sample(range(10_000), 400)
+    edges = list(zip(names[:150], names[1:150])) + [(names[150], n) for n in names[151:300]] + list(zip(names[300:], names[301:] + names[300:301]))
+    edges += [(5, 5000001), (5, 5000001)]
+    frame = spark.createDataFrame([(min(e), max(e)) for e in edges], "a long, b long").repartition(4)
+    label = {r.node: r.label for r in near_dedup.components(frame).collect()}
+    parts = [names[:150], names[150:300], names[300:], [5, 5000001]]
+    assert len(label) == 402 and all(len({label[n] for n in p}) == 1 and label[p[0]] in p for p in parts)
+    assert len(set(label.values())) == 4 and near_dedup.components(frame.limit(0)).count() == 0
+
+
 def test_work_follows_the_texts_that_share_a_passage(spark, monkeypatch):
     """Texts that share a passage and are else unlike: what is compared grows with their number, not its square, and
     similar ones among them are found."""
