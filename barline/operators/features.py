@@ -8,8 +8,11 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.functions import numeric, timeops
 from barline.operators import describe as D
+from barline.operators import filters, indicators, quality, reshape
 from barline.operators import series as S
+from barline.session import settle
 
 # Features already on a bounded scale are never rescaled.
 TIME_FEATURES = ("hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos", "is_weekend")
@@ -17,6 +20,51 @@ TIME_FEATURES = ("hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "mon
 MIN_SAMPLES = {"train": 500, "val": 100, "test": 100}
 
 
+# --- the feature matrix ------------------------------------------------------
+
+def matrix_features(tickers: Sequence[str], member_features: Sequence[str]) -> list[str]:
+    """Column names of the tickers' own features, in the matrix' order."""
+    return [f"{f}_{m}" for f in member_features for m in tickers]
+
+
+def feature_matrix(bars: DataFrame, member_features: Sequence[str], basket: Sequence[str], frequency: str = "daily",
+                   tickers: Sequence[str] | None = None, shared: DataFrame | None = None, shared_features: Sequence[str] = (),
+                   logged: Sequence[str] = (), lags: Mapping[str, tuple[str, int]] | None = None, fill_rows: int = 5,
+                   weekends: bool = False) -> DataFrame:
+    """One row per period of ``frequency``: ``ts``, ``dt``, ``{feature}_{ticker}`` for every ticker, shared features,
+    their lags, cyclic calendar columns, and ``basket_close``, the mean close of the basket's members.
+
+    ``tickers`` are all of the table unless given; the basket need not be among them. Member features are columns of
+    ``bars`` or indicators; their gaps are filled for at most ``fill_rows`` periods. ``logged`` shared features become
+    ln(1 + x). ``lags`` names (feature, periods). Weekends are removed last, so that lags and fills count periods.
+    """
+    name = timeops.canonical(frequency)
+    own = bars.where(F.col("frequency") == frequency)
+    if tickers is None:
+        # As many as there are columns to be made.
+        tickers = sorted(r["ticker"] for r in own.select("ticker").distinct().collect() if r["ticker"] is not None)
+    wanted = [f for f in member_features if f not in bars.columns]
+    members = own.where(F.col("ticker").isin(list(tickers)))
+    if wanted:
+        members = indicators.indicator_set(members.select("ticker", "ts", "frequency", *dict.fromkeys(
+            ["close", *(c for c in ("open", "high", "low", "volume") if c in bars.columns)])), wanted)
+    # Long to wide first: shared series then join one row per period, not one per ticker.
+    wide = reshape.pivot_features(members, list(tickers), list(member_features))
+    if shared is not None:
+        wide = wide.join(numeric.log1p_columns(shared, list(logged)).select("ts", *shared_features), "ts", "left")
+    joined = wide.join(quality.basket_mean(own, basket).select("ts", "basket_close"), "ts", "left").withColumn("dt", F.to_date("ts"))
+    filled = matrix_features(tickers, member_features)
+    fill = {n: (lambda w, n=n: F.coalesce(n, F.last(n, True).over(w.rowsBetween(-fill_rows, -1)))) for n in filled}
+    late = {n: (lambda w, c=c, k=k: F.lag(c, k).over(w)) for n, (c, k) in (lags or {}).items()}
+    seconds = timeops.STEP_SECONDS[name]
+    series = S.Series((), ("ts",), S.BLOCK_ROWS, lambda s: F.floor(F.unix_seconds("ts") / F.lit(seconds * s.block_rows)))
+    before = max([fill_rows, *(k for _, k in (lags or {}).values())])
+    rows = S.over_blocks(settle(joined, "joined"), series, [S.columns(**fill, **late)], before=before).drop("pos")
+    timed = timeops.cyclical_encode(timeops.calendar_features(rows if weekends else filters.weekend_filter(rows)))
+    calendar = [c for c in TIME_FEATURES if c in timed.columns]
+    return timed.select("ts", "dt", *filled, *shared_features, *(lags or {}), *calendar, "basket_close")
+
+
 # --- targets and sequences ---------------------------------------------------
 
 def _ahead(price: str, h: int):

@@ -69,36 +69,25 @@ query("distinct_keys", O.with_(O.BARS) + "SELECT DISTINCT ticker, year(dt) AS y
 # --- the feature matrix ------------------------------------------------------
 
 _MEMBER_FEATURES = ["close", "volume", "sma_50"]
+_FILLED = Q.matrix_features(X.BAR_TICKERS, _MEMBER_FEATURES)
 _SHARED_FEATURES = ["weighted_avg_tone", "num_articles"]
-FEATURES = [f"{f}_{m}" for f in _MEMBER_FEATURES for m in X.BASKET] + [
-    "weighted_avg_tone", "num_articles", "sentiment_lag_1", "sentiment_lag_7", "month_sin", "is_weekend"]
-_FILLED = [f"{f}_{m}" for f in _MEMBER_FEATURES for m in X.BASKET]
+_LAGS = {f"sentiment_lag_{k}": ("weighted_avg_tone", k) for k in (1, 7)}
+FEATURES = [*_FILLED, *_SHARED_FEATURES, *_LAGS, "month_sin", "is_weekend"]
 
 
 def matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per trading day: bars joined to indicators, sentiment and basket,
-    pivoted, gaps filled for at most five rows, weekends removed."""
-    bars = X.bars(spark, sf_dir).where(F.col("ticker").isin(*X.BASKET))
-    members = I.indicator_set(bars.select("ticker", "ts", "frequency", "close", "volume"), ["sma_50"])
-    # Long to wide first: shared series then join one row per day, not one per ticker.
-    wide = R.pivot_features(members, X.BASKET, _MEMBER_FEATURES)
-    shared = numeric.log1p_columns(shared_daily(spark, sf_dir), ["num_articles"]).select("ts", *_SHARED_FEATURES)
-    joined = wide.join(shared, "ts", "left").join(
-        quality.basket_mean(bars, X.BASKET).select("ts", "basket_close"), "ts", "left").withColumn("dt", F.to_date("ts"))
-    fill = {n: (lambda w, n=n: F.coalesce(n, F.last(n, True).over(w.rowsBetween(-5, -1)))) for n in _FILLED}
-    lags = {f"sentiment_lag_{k}": (lambda w, k=k: F.lag("weighted_avg_tone", k).over(w)) for k in (1, 7)}
-    filled = S.over_blocks(settle(joined, "joined"), CALENDAR, [S.columns(**fill, **lags)], before=7).drop("pos")
-    timed = timeops.cyclical_encode(timeops.calendar_features(filters.weekend_filter(filled)))
-    return timed.select("ts", "dt", *FEATURES, "basket_close")
+    """One row per trading day for all tickers: prices, indicators, sentiment and the basket."""
+    return Q.feature_matrix(X.bars(spark, sf_dir), _MEMBER_FEATURES, X.BASKET, "daily", X.BAR_TICKERS, shared_daily(spark, sf_dir),
+                            _SHARED_FEATURES, ["num_articles"], _LAGS).select("ts", "dt", *FEATURES, "basket_close")
 
 
 def _m(c: str) -> str:
     return f"coalesce({c}, last_value({c} IGNORE NULLS) OVER p) AS {c}"
 
 
-MATRIX = SHARED + f""", k AS (SELECT *, {O.guard('avg', 'close', 50)} AS sma_50 FROM bars WHERE ticker IN ('AF', 'NF', 'RF')),
- wide AS (SELECT ts, avg(close) AS basket_close, """ + ", ".join(
-    f"max(CASE WHEN ticker = '{m}' THEN {f} END) AS {f}_{m}" for f in _MEMBER_FEATURES for m in X.BASKET) + f""" FROM k GROUP BY ts),
+MATRIX = SHARED + f""", k AS (SELECT *, {O.guard('avg', 'close', 50)} AS sma_50 FROM bars),
+ wide AS (SELECT ts, avg(close) FILTER (ticker IN ('AF', 'NF', 'RF')) AS basket_close, """ + ", ".join(
+    f"max(CASE WHEN ticker = '{m}' THEN {f} END) AS {f}_{m}" for f in _MEMBER_FEATURES for m in X.BAR_TICKERS) + f""" FROM k GROUP BY ts),
  j AS (SELECT w.*, s.weighted_avg_tone, ln(1.0 + s.num_articles) AS num_articles FROM wide w LEFT JOIN shared s ON s.ts = w.ts),
  filled AS (SELECT ts, CAST(ts AS DATE) AS dt, basket_close, {", ".join(_m(c) for c in _FILLED)}, weighted_avg_tone, num_articles,
    lag(weighted_avg_tone, 1) OVER q AS sentiment_lag_1, lag(weighted_avg_tone, 7) OVER q AS sentiment_lag_7,
@@ -117,6 +106,25 @@ def _mat(df: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
 query("pivot_features", _MX + "SELECT dt, " + ", ".join(_R.values()) + " FROM m")(
     lambda s, d: _mat(matrix(s, d), ["dt"], [*FEATURES, "basket_close"]))
 
+_TICKERS_15M, _FEATURES_15M = ("click", "error", "purchase", "signup", "view"), ["close", "volume", "sma_10"]
+_FILLED_15M = Q.matrix_features(_TICKERS_15M, _FEATURES_15M)
+
+
+@query("pivot_features_15m", O.with_(O.TICKS) + f""", b AS (SELECT ticker, time_bucket(INTERVAL 15 MINUTE, ts) AS ts, arg_max(price, (ts, event_id)) AS close,
+   sum(volume) AS volume FROM ticks GROUP BY 1, 2),
+ k AS (SELECT *, {O.guard('avg', 'close', 10, 'PARTITION BY ticker ORDER BY ts')} AS sma_10 FROM b),
+ wide AS (SELECT ts, avg(close) FILTER (ticker IN ('click', 'view')) AS basket_close, {", ".join(
+     f"max(CASE WHEN ticker = '{m}' THEN {f} END) AS {f}_{m}" for f in _FEATURES_15M for m in _TICKERS_15M)} FROM k GROUP BY ts),
+ f AS (SELECT ts, basket_close, {", ".join(_m(c) for c in _FILLED_15M)} FROM wide WINDOW p AS (ORDER BY ts ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+ SELECT ts, {", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in [*_FILLED_15M, "basket_close"])}, round(sin(2 * pi() * hour(ts) / 24.0), 6) + 0.0 AS hour_sin
+ FROM f WHERE isodow(ts) < 6""")
+def pivot_features_15m(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matrix over bars of 15 minutes, for the tickers that the table holds."""
+    bars = quality.ohlc_bars(X.ticks(spark, sf_dir), 900).withColumnRenamed("bar_ts", "ts").withColumn("frequency", F.lit("15m"))
+    out = Q.feature_matrix(bars, _FEATURES_15M, ("click", "view"), "15m", fill_rows=3)
+    return _round(out, ["ts"], [*_FILLED_15M, "basket_close", "hour_sin"])
+
+
 _T = [f"target_{h}" for h in HORIZONS]
 _TARGETS = "t AS MATERIALIZED (SELECT *, " + ", ".join(
     f"(lead(basket_close, {h}) OVER o - basket_close) / basket_close AS target_{h}" for h in HORIZONS) + " FROM m WINDOW o AS (ORDER BY ts))"
@@ -204,7 +212,7 @@ def scaler_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(Q.scaler_table(fitted), ["feature"], ["mean", "std"], 4)
 
 
-_TM_COLS = ["close_AF", "volume_NF", "sma_50_RF", "weighted_avg_tone", "num_articles", "sentiment_lag_7"]
+_TM_COLS = ["close_AF", "close_NO", "volume_NF", "volume_AO", "sma_50_RF", "weighted_avg_tone", "num_articles", "sentiment_lag_7"]
 
 
 @query("training_matrix", _MZ + ", " + _FIT + " SELECT dt, split, " + ", ".join(
