@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import and_
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions import text
 from barline.operators import series as S
+from barline.session import settle
+
+# Points of a skyline that one task compares.
+SKYLINE_BLOCK = 8192
 
 
 def best_step(df: DataFrame) -> DataFrame:
@@ -78,23 +87,86 @@ def horizon_table(df: DataFrame) -> DataFrame:
         F.min("value").alias("best_mae"))
 
 
-def undominated(wide: DataFrame, metrics: tuple[str, str], key: str = "run") -> DataFrame:
-    """Runs that no other run beats strictly on both metrics, with their mean.
+def wide_horizons(table: DataFrame, value: str = "best_mae") -> tuple[DataFrame, list[str]]:
+    """One row per run with a column ``h{horizon}`` for every horizon that the table reports, and their names."""
+    horizons = sorted(r["horizon"] for r in table.select("horizon").distinct().collect())  # as many as columns
+    names = [f"h{h}" for h in horizons]
+    return table.groupBy("run").agg(*(F.max(F.when(F.col("horizon") == h, F.col(value))).alias(n) for h, n in zip(horizons, names))), names
+
+
+def skyline(points: np.ndarray) -> np.ndarray:
+    """Which points no other point is strictly below in every coordinate."""
+    # What beats a point has a smaller sum (rounded: no larger) and a smaller first coordinate, so it is met before.
+    order = np.lexsort((points[:, 0], points.sum(axis=1)))
+    rest, kept = order, []
+    while len(rest):
+        best = rest[0]
+        kept.append(best)
+        rest = rest[1:][~(points[best] < points[rest[1:]]).all(axis=1)]
+    out = np.zeros(len(points), bool)
+    out[kept] = True
+    return out
+
+
+def undominated(wide: DataFrame, metrics: Sequence[str], key: str = "run", block: int = SKYLINE_BLOCK, seeds: int = 64) -> DataFrame:
+    """Runs that no other run beats strictly on every metric, with their mean; any number of metrics.
+
+    Order-free form of scanning runs and keeping one only if it is better on all horizons. Runs without one of the
+    metrics take no part; runs with equal metrics stay or go together.
 
-    Order-free form of scanning runs and keeping one only if it is better on both
-    horizons. A run is beaten exactly if the smallest second metric among runs with
-    a smaller first one is below its own: a running minimum over the sorted runs,
-    with no comparison of pairs.
+    A few points with small sums rule out most others where they lie. What is left shrinks to the skyline of each
+    partition, is dealt anew into fewer partitions, and so on up a tree, while that removes anything. If more than one
+    block stays, each block is checked against every other one. No task holds more than a partition's own skyline.
     """
-    first, second = metrics
-    points = wide.dropna("any", subset=list(metrics))
-    mean = (F.col(first) + F.col(second)) / 2
-    lows = points.groupBy(first).agg(F.min(second).alias("__low"))
-    series = S.Series((), (first,), S.BLOCK_ROWS, lambda s: F.floor(F.col(first) * 1000))
-    lows = S.running(lows, series, mins={"__before": F.col("__low")}, before_row=("__before",))
-    kept = points.join(lows.select(first, "__before"), first).where(
-        F.col("__before").isNull() | (F.col("__before") >= F.col(second)))
-    return kept.select(key, *metrics, mean.alias("mean_mae"))
+    metrics = list(metrics)
+    points = wide.withColumns({m: F.when(~F.isnan(m), F.col(m).cast("double")) for m in metrics}).dropna("any", subset=metrics)
+    vectors = settle(points.select(*metrics).distinct(), "metric-vectors")
+    schema = vectors.schema
+
+    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for frame in frames:
+            held = frame if held is None else pd.concat([held, frame])
+            held = held[skyline(held.to_numpy(float))]
+        if held is not None:
+            yield held
+
+    total = sum((F.col(m) for m in metrics), F.lit(0.0))
+    strong = vectors.orderBy(total, *metrics).limit(seeds).collect()
+    if strong:
+        array = F.array(*(F.struct(*(F.lit(float(r[m])).alias(f"x{k}") for k, m in enumerate(metrics))) for r in strong))
+        vectors = vectors.where(~F.exists(array, lambda p: reduce(and_, (p[f"x{k}"] < F.col(m) for k, m in enumerate(metrics)))))
+    left, n = settle(vectors.mapInPandas(local, schema), "skylines"), None
+    while True:
+        before, n = n, left.count()
+        parts = math.ceil(n / block)
+        if parts <= 1 or (before is not None and n > 0.9 * before):
+            break
+        left = settle(left.repartition(parts, *metrics).mapInPandas(local, schema), "skylines")
+    if parts <= 1:
+        left = left.coalesce(1).mapInPandas(local, schema)
+    else:
+        left = _checked_by_blocks(left, metrics, parts)
+    return points.join(left, metrics).select(key, *metrics, (total / len(metrics)).alias("mean_mae"))
+
+
+def _checked_by_blocks(vectors: DataFrame, metrics: list[str], parts: int) -> DataFrame:
+    """``vectors`` that none of them beats: each block against each block."""
+
+    def check(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for own, other in zip(frame["own"], frame["other"]):
+                mine, theirs = (np.array([[v[m] for m in metrics] for v in side]) for side in (own, other))
+                beaten = np.zeros(len(mine), bool)
+                for point in theirs:
+                    beaten |= (point < mine).all(axis=1)
+                yield pd.DataFrame(mine[beaten], columns=metrics)
+
+    dealt = vectors.withColumn("__block", F.pmod(F.xxhash64(*metrics), F.lit(parts)))
+    packed = settle(dealt.groupBy("__block").agg(F.collect_list(F.struct(*metrics)).alias("points")), "skyline-blocks")
+    own = packed.select(F.col("points").alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("__block"))
+    met = own.join(packed.select("__block", F.col("points").alias("other")), "__block").select("own", "other")
+    return vectors.join(met.mapInPandas(check, vectors.schema).distinct(), metrics, "left_anti")
 
 
 def search_summary(df: DataFrame, ok: Column) -> DataFrame:

@@ -117,10 +117,27 @@ query("best_trial", _S + """SELECT run, max(value) FILTER (tag = 'Metrics/Direct
  SELECT run, h7, h14, round((h7 + h14) / 2, 6) AS mean_mae FROM w WHERE h7 IS NOT NULL AND h14 IS NOT NULL
    AND NOT EXISTS (SELECT 1 FROM w o WHERE o.h7 < w.h7 AND o.h14 < w.h14)""")
 def best_run_all_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = U.horizon_table(X.run_scalars(spark, sf_dir)).groupBy("run").agg(
-        F.max(F.when(F.col("horizon") == 7, F.col("best_mae"))).alias("h7"),
-        F.max(F.when(F.col("horizon") == 14, F.col("best_mae"))).alias("h14"))
-    return _round(U.undominated(wide, ("h7", "h14")), "mean_mae")
+    wide, names = U.wide_horizons(U.horizon_table(X.run_scalars(spark, sf_dir)))
+    return _round(U.undominated(wide, names), "mean_mae")
+
+
+_HS = [1, 2, 7, 14, 28]
+
+
+@query("best_run_five_horizons", O.with_(O.BARS) + ", e AS (" + " UNION ALL ".join(
+    f"""SELECT concat(ticker, '_', strftime(dt, '%Y%m')) AS run, {h} AS horizon,
+   abs((lead(close, {h}) OVER o - close) / close - (close - lag(close, {h}) OVER o) / lag(close, {h}) OVER o) AS error FROM bars WINDOW o AS (PARTITION BY ticker ORDER BY dt)"""
+    for h in _HS) + "), t AS (SELECT run, horizon, round(avg(error), 6) AS mae FROM e WHERE error IS NOT NULL GROUP BY run, horizon), w AS (SELECT run, "
+    + ", ".join(f"max(mae) FILTER (horizon = {h}) AS h{h}" for h in _HS) + " FROM t GROUP BY run HAVING count(*) = " + str(len(_HS)) + ") SELECT run, "
+    + ", ".join(f"h{h}" for h in _HS) + ", round((" + " + ".join(f"h{h}" for h in _HS) + f") / {len(_HS)}, 6) AS mean_mae FROM w WHERE NOT EXISTS (SELECT 1 FROM w o WHERE "
+    + " AND ".join(f"o.h{h} < w.h{h}" for h in _HS) + ")")
+def best_run_five_horizons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months of a ticker as runs, compared by the errors of persistence forecasts on every horizon."""
+    rows = E.persistence_forecasts(X.bars(spark, sf_dir), S.bars(), "close", _HS).where("model = 'last'")
+    table = rows.groupBy(F.concat_ws("_", "ticker", F.date_format("ts", "yyyyMM")).alias("run"), "horizon").agg(
+        F.round(F.avg(F.abs(F.col("y") - F.col("yhat"))), 6).alias("best_mae"))
+    wide, names = U.wide_horizons(settle(table, "errors"))
+    return _round(U.undominated(wide, names), "mean_mae")
 
 
 query("search_summary", _S + """SELECT count(*) AS total, count(*) FILTER (n >= 10) AS succeeded, count(*) FILTER (n < 10) AS failed
