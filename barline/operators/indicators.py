@@ -1,8 +1,9 @@
 """Technical indicators over bar series.
 
 An indicator is a column recipe plus how many rows it looks back. Any subset is
-resolved with its dependencies, and all of them are evaluated over the same
-blocks: two shuffles for the whole set, however many columns are asked for.
+resolved with its dependencies, and all windows are evaluated over the same
+blocks. Exponential averages carry their state from block to block instead, so
+that they are exact at any block size and across any gap.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ import math
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from barline.operators import series as S
+from barline.session import settle
 
 # An exponential average forgets: after this many e-foldings the weight of older
 # rows (1e-30) is far below the resolution of a double.
 _FORGET = 69.0
-# Decay accumulated inside one sub-block: small, so that the weights stay accurate.
-_SPAN = 40.0
-# Sub-blocks a value is handed down through; 2 x 40 e-foldings are below e-78.
-_PASSES = 2
 _STEP_CAP = 100.0
 
 
@@ -88,99 +90,122 @@ def ewm_history(alpha: float) -> int:
 
 @dataclass(frozen=True)
 class Ewm:
-    """One exponential average: ``observed`` names a running count of non-null inputs
-    for ``min_periods``; without it the values in the block and its history count."""
+    """One exponential average of ``source``, NULL until it has seen ``min_periods`` values."""
 
     name: str
     source: str
     alpha: float
     min_periods: int
-    observed: str | None = None
 
     @property
     def log_keep(self) -> float:
         return math.log1p(-self.alpha) if self.alpha < 1 else -_STEP_CAP
 
 
-def ewm(*averages: Ewm) -> S.Step:
-    """Exponential averages, recursive form, decaying over NULL positions.
+def _utc(table: pa.Table) -> pa.Table:
+    """Times under the zone name that results are expected to have."""
+    fields = [f.with_type(pa.timestamp("us", tz="UTC")) if pa.types.is_timestamp(f.type) and f.type.tz else f for f in table.schema]
+    return table.cast(pa.schema(fields))
 
-    ``y = a * y_prev + b * x`` with ``a`` depending on the gap since the last value.
-    The recursion is solved in closed form as a weighted running sum. Weights are
-    rescaled in sub-blocks of bounded accumulated decay, and the last value of a
-    sub-block is handed to the next ones until it has decayed away. All averages of
-    one step share their windows and sub-blocks.
 
-    Across an input gap longer than ``ewm_history(alpha)`` rows that also spans a
-    block edge the rows of the gap itself are NULL; values after it are not affected.
-    """
-    fastest, slowest = min(e.log_keep for e in averages), max(e.log_keep for e in averages)
-    passes = max(math.ceil(_FORGET / (_SPAN * slowest / fastest)), 2)
-
-    def step(df: DataFrame, blocks: S.Blocks) -> DataFrame:
-        w = blocks.window
-        before, through = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-
-        def add(frame: DataFrame, part: str, expr: Callable[[Ewm], Column]) -> DataFrame:
-            return frame.withColumns({f"__{e.name}_{part}": expr(e) for e in averages})
-
-        def part(e: Ewm, name: str) -> Column:
-            return F.col(f"__{e.name}_{name}")
-
-        def present(e: Ewm) -> Column:
-            return F.col(e.source).isNotNull()
-
-        df = df.withColumns({
-            **{f"__{e.name}_prev": F.last(F.when(present(e), F.col("pos")), True).over(before) for e in averages},
-            **{f"__{e.name}_n": F.count(e.source).over(through) for e in averages}})
-        df = add(df, "keep", lambda e: F.when(present(e) & part(e, "prev").isNotNull(), F.exp(F.greatest(
-            (F.col("pos") - part(e, "prev")) * F.lit(e.log_keep), F.lit(-_STEP_CAP)))))
-        df = df.withColumns({
-            **{f"__{e.name}_loga": F.when(part(e, "keep").isNull(), 0.0).otherwise(
-                F.greatest(F.ln(part(e, "keep") / (part(e, "keep") + e.alpha)), F.lit(-_STEP_CAP))) for e in averages},
-            **{f"__{e.name}_b": F.when(~present(e), 0.0).when(part(e, "keep").isNull(), F.col(e.source)).otherwise(
-                F.col(e.source) * e.alpha / (part(e, "keep") + e.alpha)) for e in averages}})
-        most = [-part(e, "loga") for e in averages]
-        df = df.withColumn("__sub", F.floor(
-            F.sum(F.greatest(*most) if len(most) > 1 else most[0]).over(through) / _SPAN))
-        inner = blocks.within("__sub").rowsBetween(Window.unboundedPreceding, 0)
-        df = add(df, "decay", lambda e: F.sum(-part(e, "loga")).over(inner))
-        df = add(df, "local", lambda e: F.sum(part(e, "b") * F.exp(part(e, "decay"))).over(inner) / F.exp(part(e, "decay")))
-        df = df.withColumn("__end", F.lead("__sub", 1).over(w) != F.col("__sub"))
-        df = add(df, "y", lambda e: part(e, "local"))
-        for _ in range(passes):
-            df = add(df, "tail", lambda e: F.last(F.when(F.col("__end"), part(e, "y")), True).over(before))
-            df = add(df, "y", lambda e: part(e, "local") + F.coalesce(
-                part(e, "tail") * F.exp(-part(e, "decay")), F.lit(0.0)))
-        df = df.withColumns({
-            e.name: F.when((F.col(e.observed or f"__{e.name}_n") >= e.min_periods) & (part(e, "n") > 0), part(e, "y"))
-            for e in averages})
-        helpers = [f"__{e.name}_{p}" for e in averages for p in ("prev", "n", "keep", "loga", "b", "decay", "local", "y", "tail")]
-        return df.drop("__sub", "__end", *helpers)
-
-    return step
-
-
-def rsi_steps(source: str, n: int, name: str, smoothing: str = "wilder") -> list[S.Step]:
-    """Relative strength index: smoothed gains over smoothed gains plus losses, x 100.
-
-    ``wilder`` smooths exponentially with 1/n, ``simple`` with a plain rolling mean.
-    A window without any movement gives NULL.
+def exponential(rows: DataFrame, series: S.Series, averages: Sequence[Ewm]) -> DataFrame:
+    """Add exponential averages, recursive form, decaying over NULL positions; ``rows`` are numbered by ``pos``.
+
+    ``y = a * y_prev + b * x`` with ``a`` depending on the gap since the last value: a block of rows maps the state
+    before it to the state after it by one affine function. Each block is averaged as if it were the first, along with
+    how much of its first value is left in every row. What the blocks before it add is folded over the table of
+    blocks (a ``block_rows``-th of the rows) and scaled by that share. Exact for any block size and any gap.
     """
+    keys = list(series.keys)
+    placed = rows.withColumn("__block", F.floor((F.col("pos") - 1) / F.lit(series.block_rows)))
+    parts = [f"__{i}_{part}" for i in range(len(averages)) for part in ("local", "left", "count")]
+    schema = StructType(placed.schema.fields + [
+        StructField(n, LongType() if n.endswith("count") else DoubleType()) for n in parts])
+
+    def local(table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("pos").to_numpy())
+        for i, e in enumerate(averages):
+            x = table.column(e.source).cast(pa.float64()).to_numpy().astype(float)[order]
+            seen = np.cumsum(~np.isnan(x))
+            # The weight of the first value: 1 there, 0 in all later ones.
+            start = np.where(np.isnan(x), np.nan, (seen == 1).astype(float))
+            for name, values in (("local", x), ("left", start)):
+                out = np.empty(len(x))
+                out[order] = pd.Series(values).ewm(alpha=e.alpha, adjust=False).mean().to_numpy()
+                table = table.append_column(f"__{i}_{name}", pa.array(out, pa.float64(), from_pandas=True))
+            count = np.empty(len(x), np.int64)
+            count[order] = seen
+            table = table.append_column(f"__{i}_count", pa.array(count))
+        return _utc(table)
+
+    held = settle(placed.groupBy(*keys, "__block").applyInArrow(local, schema), "block-averages")
+
+    def ends(i: int, e: Ewm) -> list[Column]:
+        at = F.when(F.col(e.source).isNotNull(), F.col("pos"))
+        return [F.max_by(f"__{i}_local", "pos").alias(f"local{i}"), F.max_by(f"__{i}_left", "pos").alias(f"left{i}"),
+                F.max_by(f"__{i}_count", "pos").alias(f"count{i}"), F.min(at).alias(f"first{i}"),
+                F.min_by(F.col(e.source).cast("double"), at).alias(f"value{i}"), F.max(at).alias(f"last{i}")]
+
+    summary = held.groupBy(*keys, "__block").agg(*(c for i, e in enumerate(averages) for c in ends(i, e)))
+    given = [f for f in summary.schema.fields if f.name in (*keys, "__block")]
+    states = [f"__{i}_{part}" for i in range(len(averages)) for part in ("before", "shift", "seen")]
+
+    def fold(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__block")
+        columns: dict[str, list] = {n: [] for n in states}
+        for i, e in enumerate(averages):
+            state, at, seen = None, None, 0
+            block = zip(*(table.column(f"{c}{i}").to_pylist() for c in ("local", "left", "count", "first", "value", "last")))
+            for end, left, count, first, value, last in block:
+                columns[f"__{i}_before"].append(state)
+                columns[f"__{i}_seen"].append(seen)
+                shift = 0.0
+                if count and state is not None:
+                    keep = math.exp(max((first - at) * e.log_keep, -700.0))
+                    shift = (keep * state + e.alpha * value) / (keep + e.alpha) - value
+                columns[f"__{i}_shift"].append(shift)
+                if count:
+                    state, at, seen = end + shift * left, last, seen + count
+        out = table.select([f.name for f in given])
+        for n in states:
+            out = out.append_column(n, pa.array(columns[n], pa.int64() if n.endswith("seen") else pa.float64()))
+        return _utc(out)
+
+    folded = summary.groupBy(*keys).applyInArrow(fold, StructType(given + [
+        StructField(n, LongType() if n.endswith("seen") else DoubleType()) for n in states]))
+    folded = folded.withColumnsRenamed({c: f"__of_{c}" for c in (*keys, "__block")})
+    met = held.join(folded, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in (*keys, "__block")])
+    values = {}
+    for i, e in enumerate(averages):
+        y = F.when(F.col(f"__{i}_count") > 0, F.col(f"__{i}_local") + F.col(f"__{i}_shift") * F.col(f"__{i}_left")).otherwise(F.col(f"__{i}_before"))
+        values[e.name] = F.when(F.col(f"__{i}_seen") + F.col(f"__{i}_count") >= max(e.min_periods, 1), y)
+    return met.withColumns(values).select(*rows.columns, *values)
+
+
+def gain(source: str) -> Callable[[WindowSpec], Column]:
+    """Rise against the previous row; 0 for a fall."""
+    return lambda w: F.greatest(difference(source, 1)(w), F.lit(0.0)) + difference(source, 1)(w) * 0
+
+
+def loss(source: str) -> Callable[[WindowSpec], Column]:
+    """Fall against the previous row; 0 for a rise."""
+    return lambda w: F.greatest(-difference(source, 1)(w), F.lit(0.0)) + difference(source, 1)(w) * 0
+
+
+def strength(up: str, down: str) -> Column:
+    """Smoothed gains over smoothed gains plus losses, x 100; NULL without any movement."""
+    return F.try_divide(F.col(up) * 100, F.col(up) + F.col(down))
+
+
+def rsi_simple(source: str, n: int, name: str) -> S.Step:
+    """Relative strength index smoothed with a plain rolling mean."""
     up, down = f"__{name}_up", f"__{name}_down"
-    diff = difference(source, 1)
-    steps = [S.columns(**{up: lambda w: F.greatest(diff(w), F.lit(0.0)) + diff(w) * 0,
-                          down: lambda w: F.greatest(-diff(w), F.lit(0.0)) + diff(w) * 0})]
-    if smoothing == "wilder":
-        steps.append(ewm(Ewm(f"{up}_s", up, 1.0 / n, n), Ewm(f"{down}_s", down, 1.0 / n, n)))
-    else:
-        steps.append(S.columns(**{f"{up}_s": mean(up, n), f"{down}_s": mean(down, n)}))
 
     def index(df: DataFrame, blocks: S.Blocks) -> DataFrame:
-        gain, loss = F.col(f"{up}_s"), F.col(f"{down}_s")
-        return df.withColumn(name, F.try_divide(gain * 100, gain + loss)).drop(up, down, f"{up}_s", f"{down}_s")
+        return df.withColumn(name, strength(f"{up}_s", f"{down}_s")).drop(up, down, f"{up}_s", f"{down}_s")
 
-    return [*steps, index]
+    return chain(S.columns(**{up: gain(source), down: loss(source)}),
+                 S.columns(**{f"{up}_s": mean(up, n), f"{down}_s": mean(down, n)}), index)
 
 
 def _span(n: int) -> float:
@@ -201,7 +226,7 @@ def _plain(name: str, before: int, expr: Callable[[WindowSpec], Column], *needs:
 
 def _ema(n: int) -> Indicator:
     return Indicator(f"ema_{n}", ewm_history(_span(n)),
-                     ewm=Ewm(f"ema_{n}", "close", _span(n), n, observed="__n_close"))
+                     ewm=Ewm(f"ema_{n}", "close", _span(n), n))
 
 
 CATALOG: dict[str, Indicator] = {}
@@ -247,8 +272,12 @@ def _defaults() -> Iterable[Indicator]:
     yield Indicator("macd_signal", ewm_history(_span(9)), ewm=Ewm("macd_signal", "macd", _span(9), 9),
                     needs=("macd",))
     yield _plain("macd_hist", 0, lambda w: F.col("macd") - F.col("macd_signal"), "macd", "macd_signal")
-    yield Indicator("rsi_14", ewm_history(1 / 14) + 1, step=chain(*rsi_steps("close", 14, "rsi_14")))
-    yield Indicator("rsi_14_simple", 15, step=chain(*rsi_steps("close", 14, "rsi_14_simple", "simple")))
+    yield _plain("_gain", 1, gain("close"))
+    yield _plain("_loss", 1, loss("close"))
+    for side in ("gain", "loss"):
+        yield Indicator(f"_{side}_14", ewm_history(1 / 14), ewm=Ewm(f"_{side}_14", f"_{side}", 1 / 14, 14), needs=(f"_{side}",))
+    yield _plain("rsi_14", 0, lambda w: strength("_gain_14", "_loss_14"), "_gain_14", "_loss_14")
+    yield Indicator("rsi_14_simple", 15, step=rsi_simple("close", 14, "rsi_14_simple"))
 
 
 for _indicator in _defaults():
@@ -276,32 +305,45 @@ def lookback(name: str) -> int:
     return item.before + max((lookback(n) for n in item.needs), default=0)
 
 
-def _levels(names: Sequence[str]) -> list[list[Indicator]]:
-    depth: dict[str, int] = {}
+def _stages(names: Sequence[str]) -> list[list[Indicator]]:
+    """What is asked for and needed, in order of need, by the number of exponential averages before it."""
+    stage: dict[str, int] = {}
 
     def visit(name: str) -> int:
-        if name not in depth:
-            depth[name] = 1 + max((visit(n) for n in CATALOG[name].needs), default=-1)
-        return depth[name]
+        if name not in stage:
+            before = [visit(n) + (CATALOG[n].ewm is not None) for n in CATALOG[name].needs]
+            stage[name] = max(before, default=0)
+        return stage[name]
 
     for name in names:
         visit(name)
-    return [[CATALOG[n] for n, d in depth.items() if d == level] for level in range(max(depth.values()) + 1)]
-
-
-def _level_step(items: list[Indicator]) -> S.Step:
-    def run(df: DataFrame, blocks: S.Blocks) -> DataFrame:
-        plain = {i.name: i.expr(blocks.window) for i in items if i.expr is not None}
-        if plain:
-            df = df.withColumns(plain)
-        averages = [i.ewm for i in items if i.ewm is not None]
-        if averages:
-            df = ewm(*averages)(df, blocks)
-        for item in items:
-            if item.step is not None:
-                df = item.step(df, blocks)
-        return df
-    return run
+    return [[CATALOG[n] for n, at in stage.items() if at == k] for k in range(max(stage.values()) + 1)]
+
+
+def _reach(item: Indicator, stage: Sequence[Indicator]) -> int:
+    """Rows that the windows of a stage look back for an indicator."""
+    own = [n for n in stage if n.name in item.needs]
+    return item.before + max((_reach(n, stage) for n in own), default=0)
+
+
+def _evaluate(rows: DataFrame, series: S.Series, stage: list[Indicator]) -> DataFrame:
+    """The windows of a stage over blocks, then its exponential averages."""
+    windowed = [i for i in stage if i.ewm is None]
+    before = max((_reach(i, windowed) for i in windowed), default=0)
+    if before:
+        # Indicators of one depth share a projection.
+        depth: dict[str, int] = {}
+        for item in windowed:
+            depth[item.name] = max((depth[n] + 1 for n in item.needs if n in depth), default=0)
+        levels = [[i for i in windowed if depth[i.name] == k] for k in range(max(depth.values()) + 1)]
+        steps = [s for level in levels for s in (
+            S.columns(**{i.name: i.expr for i in level if i.expr is not None}), *(i.step for i in level if i.step is not None))]
+        rows = S.over_blocks(rows, series, steps, before=before, numbered=True)
+    else:
+        for item in windowed:
+            rows = rows.withColumn(item.name, item.expr(None))
+    averages = [i.ewm for i in stage if i.ewm is not None]
+    return exponential(rows, series, averages) if averages else rows
 
 
 def _obv_flow() -> Column:
@@ -314,27 +356,22 @@ def _obv_flow() -> Column:
 def indicator_set(df: DataFrame, names: Sequence[str] = tuple(STORED), series: S.Series | None = None) -> DataFrame:
     """Add the requested indicators, with whatever they depend on, to bars.
 
-    Row numbers, running counts and on-balance volume come from one shuffle of the
-    rows, everything windowed from a second one.
+    Row numbers and on-balance volume come from one shuffle of the rows, everything
+    windowed from a second one, and exponential averages from one each time an
+    average is built on another.
     """
     series = series or S.bars()
     # The previous close, NaN where that row had none (inputs hold NULL, never NaN).
     previous = F.coalesce("close", F.lit(float("nan")))
     windowed = [n for n in names if n != "obv"]
-    levels = _levels(windowed) if windowed else []
-    averages = any(i.ewm is not None for level in levels for i in level)
     rows = S.bucketed(df, series)
-    rows = S.running(
-        rows, series,
-        sums={"pos": F.lit(1).cast("long"),
-              **({"__n_close": F.col("close").isNotNull().cast("long")} if averages else {})},
-        lasts={"__prev": previous} if "obv" in names else {}, before_row=("__prev",))
+    rows = S.running(rows, series, sums={"pos": F.lit(1).cast("long")},
+                     lasts={"__prev": previous} if "obv" in names else {}, before_row=("__prev",))
     if "obv" in names:
         rows = S.running(rows, series, sums={"obv": _obv_flow()})
     rows = rows.drop(S.BUCKET)
-    if windowed:
-        rows = S.over_blocks(rows, series, [_level_step(level) for level in levels],
-                             before=max(lookback(n) for n in windowed), numbered=True)
+    for stage in _stages(windowed) if windowed else []:
+        rows = _evaluate(rows, series, stage)
     return rows.select(*df.columns, *[n for n in names if n not in df.columns])
 
 
@@ -370,9 +407,12 @@ def series_features(
         steps.append(S.columns(**{f"change_vol_{n}": spread("__change", n) for n in change_volatility}))
     before = max([1, *lags, *averages, *rates, *zscores, *(n + 1 for n in change_volatility)])
     if rsi:
-        steps += rsi_steps(value, rsi, f"rsi_{rsi}")
-        before = max(before, ewm_history(1 / rsi) + 1)
-    return S.over_blocks(df, series, steps, before=before).drop("pos", "__change")
+        steps.append(S.columns(__gain=gain(value), __loss=loss(value)))
+    rows = S.over_blocks(df, series, steps, before=before)
+    if rsi:
+        rows = exponential(rows, series, [Ewm(f"{n}_s", n, 1 / rsi, rsi) for n in ("__gain", "__loss")])
+        rows = rows.withColumn(f"rsi_{rsi}", strength("__gain_s", "__loss_s")).drop("__gain", "__loss", "__gain_s", "__loss_s")
+    return rows.drop("pos", "__change")
 
 
 def long_to_wide(df: DataFrame, names: Sequence[str]) -> DataFrame:

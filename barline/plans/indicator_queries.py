@@ -85,6 +85,9 @@ _E12, _E26 = "CASE WHEN rn >= 12 THEN e12 END", "CASE WHEN rn >= 26 THEN e26 END
 query("ema", ewm_oracle() + f"SELECT ticker, dt, round({_E12}, 4) AS ema_12, round({_E26}, 4) AS ema_26 FROM e")(
     lambda spark, sf: _rounded(I.indicator_set(X.bars(spark, sf), ["ema_12", "ema_26"]),
                                ["ticker", "dt"], ["ema_12", "ema_26"], 4))
+query("ema_small_blocks", ewm_oracle() + f"SELECT ticker, dt, round({_E12}, 4) AS ema_12, round({_E26}, 4) AS ema_26 FROM e")(
+    lambda spark, sf: _rounded(I.indicator_set(X.bars(spark, sf), ["ema_12", "ema_26"], S.bars(100)),
+                               ["ticker", "dt"], ["ema_12", "ema_26"], 4))
 _MACD = ["macd", "macd_signal", "macd_hist"]
 query("macd", ewm_oracle() + f"""SELECT ticker, dt, round(CASE WHEN rn >= 26 THEN e12 - e26 END, 4) AS macd,
   round(CASE WHEN rn >= 34 THEN sig END, 4) AS macd_signal,
@@ -159,3 +162,14 @@ def indicators_long_to_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = I.indicator_set(X.bars(spark, sf_dir), _LONG)
     tall = wide.unpivot(["ticker", "frequency", "ts"], _LONG, "name", "value")
     return _rounded(I.long_to_wide(tall, _LONG), ["ticker", "frequency", "ts"], _LONG)
+
+_TREND_RSI = O.with_(O.TRENDS, """s AS MATERIALIZED (SELECT keyword, dt, interest, row_number() OVER (PARTITION BY keyword ORDER BY dt) AS rn FROM trends),
+ d AS MATERIALIZED (SELECT keyword, dt, rn, interest, lag(interest, 7) OVER p AS before, greatest(interest - lag(interest) OVER p, 0) AS up,
+   greatest(lag(interest) OVER p - interest, 0) AS down FROM s WINDOW p AS (PARTITION BY keyword ORDER BY dt)),
+ e(keyword, rn, g, l) AS (SELECT keyword, rn, up, down FROM d WHERE rn = 2
+ UNION ALL SELECT d.keyword, d.rn, (13.0::DOUBLE/14)*e.g + d.up/14, (13.0::DOUBLE/14)*e.l + d.down/14
+ FROM e JOIN d ON d.keyword = e.keyword AND d.rn = e.rn + 1)""", recursive=True)
+query("trend_rsi", _TREND_RSI + """SELECT d.keyword, d.dt, round(CASE WHEN d.rn >= 15 THEN 100 * g / nullif(g + l, 0) END, 6) AS rsi_14,
+  round(interest / nullif(before, 0) - 1, 6) AS roc_7 FROM d LEFT JOIN e ON e.keyword = d.keyword AND e.rn = d.rn""")(
+    lambda spark, sf: _rounded(I.series_features(X.trends_long(spark, sf), S.daily(("keyword",)), "interest", rates=[7], rsi=14),
+                               ["keyword", "dt"], ["rsi_14", "roc_7"]))

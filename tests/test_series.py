@@ -127,3 +127,44 @@ def test_quantiles_beyond_the_sketch_bound(spark, method):
     kind = "linear" if method == "cont" else "inverted_cdf"
     np.testing.assert_allclose(got["hot"], np.quantile(values, probs, method=kind), rtol=1e-12)
     np.testing.assert_allclose(got["small"], np.quantile([1.0, 2.0, 4.0], probs, method=kind))
+
+
+def _gapped(n=3000, gap=2000):
+    rng = np.random.default_rng(3)
+    close = 50 + rng.normal(0, 1, n).cumsum()
+    close[500:500 + gap] = np.nan
+    close[10:14] = np.nan
+    return pd.DataFrame({"ticker": "T", "frequency": "1d", "ts": pd.date_range("2000-01-01", periods=n), "close": close})
+
+
+@pytest.mark.parametrize("block", [64, 700, 65_536])
+def test_averages_do_not_depend_on_blocks(spark, block):
+    """Across, inside and after a gap of 2,000 rows, whatever the block size."""
+    pdf = _gapped()
+    df = spark.createDataFrame(pdf).withColumn("close", F.nanvl("close", F.lit(None).cast("double"))).repartition(3)
+    names = ["ema_12", "ema_26", "macd_signal", "rsi_14"]
+    got = I.indicator_set(df, names, S.bars(block)).toPandas().sort_values("ts")
+    fast, slow = (pdf.close.ewm(span=n, adjust=False, min_periods=n).mean() for n in (12, 26))
+    d = pdf.close.diff()
+    up, down = (x.clip(lower=0).ewm(alpha=1 / 14, adjust=False, min_periods=14).mean() for x in (d, -d))
+    want = {"ema_12": fast, "ema_26": slow, "macd_signal": (fast - slow).ewm(span=9, adjust=False, min_periods=9).mean(),
+            "rsi_14": 100 * up / (up + down)}
+    for name in names:
+        np.testing.assert_allclose(got[name].to_numpy(float), want[name].to_numpy(float), rtol=1e-9, atol=1e-9)
+    assert got.ema_26.isna().sum() == slow.isna().sum() < 40
+
+
+def test_averages_of_single_row_blocks(spark):
+    """Blocks of one row, several series, missing keys and series that begin with NULLs."""
+    rng = np.random.default_rng(4)
+    rows = [(t, k, None if rng.random() < 0.3 or (t == "b" and k < 6) else float(rng.normal()), f"x{k}") for t in ("a", "b", None) for k in range(1, 40)]
+    df = spark.createDataFrame(rows, "ticker string, pos long, v double, extra string").repartition(4)
+    series = S.Series(("ticker",), ("pos",), 1)
+    out = I.exponential(df, series, [I.Ewm("y", "v", 0.2, 3), I.Ewm("z", "v", 1.0, 1)])
+    assert out.columns == [*df.columns, "y", "z"]
+    got = out.toPandas().sort_values(["ticker", "pos"], na_position="last").reset_index(drop=True)
+    want = pd.DataFrame(rows, columns=["ticker", "pos", "v", "extra"]).sort_values(["ticker", "pos"], na_position="last").reset_index(drop=True)
+    by = want.groupby("ticker", dropna=False).v
+    np.testing.assert_allclose(got.y, by.transform(lambda c: c.ewm(alpha=0.2, adjust=False, min_periods=3).mean()), rtol=1e-12)
+    np.testing.assert_allclose(got.z, by.transform(lambda c: c.ffill()), rtol=1e-12)
+    assert out.limit(0).count() == 0 and I.exponential(df.limit(0), series, [I.Ewm("y", "v", 0.2, 3)]).count() == 0
