@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from itertools import combinations
+from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -286,12 +287,37 @@ def assert_clean(report: DataFrame) -> None:
 
 
 def correlations(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Pairwise correlations (a before b in the given order) from one pass."""
-    pairs = list(combinations(features, 2))
-    one = df.agg(*[F.corr(a, b).alias(f"__c{i}") for i, (a, b) in enumerate(pairs)])
-    parts = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"__c{i}").alias("corr"))
-             for i, (a, b) in enumerate(pairs)]
-    return one.select(F.inline(F.array(*parts)))
+    """Pairwise correlations (a before b in the given order) over the rows that have both values.
+
+    Each task adds up products of whole batches (values, squares and marks of what is present) and sends one row a
+    pair; these are summed by pair. Values are taken around the column means, which keeps the sums accurate.
+    """
+    names = list(features)
+    left, right = np.triu_indices(len(names), 1)
+    centres = df.agg(*[F.avg(F.col(f"`{f}`").cast("double")).alias(f"c{i}") for i, f in enumerate(names)]).first()
+    middle = np.array([0.0 if c is None else c for c in centres])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((4, len(names), len(names)))
+        for batch in batches:
+            x = np.column_stack([np.asarray(c.fill_null(np.nan), float) for c in batch.columns]) - middle
+            here = ~np.isnan(x)
+            x, here = np.where(here, x, 0.0), here.astype(float)
+            total += np.stack([here.T @ here, x.T @ here, (x * x).T @ here, x.T @ x])
+        n, s, q, p = total
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(v[left, right]) for v in (n, s, s.T, q, q.T, p)] + [pa.array(left), pa.array(right)],
+            ["n", "sa", "sb", "qa", "qb", "p", "i", "j"])
+
+    if len(names) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    parts = df.select(*[F.col(f"`{f}`").cast("double").alias(f"c{i}") for i, f in enumerate(names)]).mapInArrow(
+        run, "n double, sa double, sb double, qa double, qb double, p double, i long, j long")
+    sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "p")])
+    spread = F.sqrt(F.expr("(qa - sa * try_divide(sa, n)) * (qb - sb * try_divide(sb, n))"))
+    array = F.array(*[F.lit(f) for f in names])
+    return sums.select(F.get(array, F.col("i").cast("int")).alias("a"), F.get(array, F.col("j").cast("int")).alias("b"),
+                       F.try_divide(F.expr("p - sa * try_divide(sb, n)"), spread).alias("corr"))
 
 
 def correlated_features(df: DataFrame, features: Sequence[str], threshold: float = 0.95) -> DataFrame:

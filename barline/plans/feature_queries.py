@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.functions import numeric, timeops
@@ -356,3 +356,27 @@ def versioned_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = windows.join(rows.select("dt", "split"), "dt")
     return _flat(writers.write_dataset(spark, labelled, work_dir(spark, "datasets"), "matrix", "v1",
                                        FEATURES, LOOKBACK, HORIZONS))
+
+
+@query("reload_dataset", _MZ + f"""SELECT dt, split, CAST({LOOKBACK} AS BIGINT) AS n_rows, round(lag(close_AF, 1) OVER o, 4) AS last_close_af,
+   round(lag(volume_NO, {LOOKBACK}) OVER o, 4) AS first_volume_no FROM z WINDOW o AS (ORDER BY ts) QUALIFY split IS NOT NULL""")
+def reload_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scaled dataset written, checked, read again and scaled back with the scaler beside it."""
+    from barline.sources import writers
+
+    rows = samples(spark, sf_dir)
+    fitted = Q.fit_standard(rows, FEATURES, F.col("weight"))
+    windows = Q.sequences(Q.apply_standard(rows, fitted), CALENDAR, FEATURES, "basket_close", LOOKBACK, HORIZONS)
+    base = work_dir(spark, "datasets")
+    writers.write_dataset(spark, windows.join(rows.select("dt", "split"), "dt"), base, "matrix", "v2", FEATURES, LOOKBACK, HORIZONS,
+                          Q.scaler_table(fitted))
+    sequences, scaler, manifest = writers.read_dataset(spark, f"{base}/matrix/v2")
+    names = manifest.select("features").scalar()
+
+    def back(row: Column, feature: str) -> Column:
+        at = F.array_position(names, feature) - 1
+        fit = scaler.where(F.col("feature") == feature)
+        return F.round(F.get(row, at.cast("int")) * fit.select("std").scalar() + fit.select("mean").scalar(), 4)
+
+    return sequences.select("dt", "split", F.size("x").cast("long").alias("n_rows"), back(F.element_at("x", -1), "close_AF").alias("last_close_af"),
+                            back(F.col("x")[0], "volume_NO").alias("first_volume_no"))

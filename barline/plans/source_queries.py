@@ -141,3 +141,34 @@ def load_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sentiment.sentiment_15m(sentiment.select_articles(X.articles(spark, sf_dir), TOPICS))
     return writers.load_lineage(rows, "q1", "shop", TOPICS, "15m").drop("load_timestamp").withColumn(
         "topics", F.array_join("topics", ","))
+
+
+_SHOP = """b AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) AS ts, count(*) AS n FROM parsed
+   WHERE v2locations LIKE '%#US#%' AND (contains(v2themes, 'PURCHASE') OR contains(v2themes, 'CLICK')) GROUP BY 1)"""
+
+
+@query("lineage_appended", O.with_(O.PARSED, _SHOP) + """SELECT 'q1' AS query_id, 'shop' AS topic_group_id, min(CAST(ts AS DATE)) AS start_date,
+   max(CAST(ts AS DATE)) AS end_date, 'purchase,click' AS topics, count(*) AS num_rows, CAST(sum(n) AS BIGINT) AS num_articles, '15m' AS frequency,
+   'first load' AS notes, '{"frequency": "15m", "topics": ["purchase", "click"]}' AS config, count(*) AS stored_rows FROM b""")
+def lineage_appended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two loads with their metadata appended; then one topic group is deleted from both tables."""
+    base, parts = work_dir(spark, "loads"), []
+    for query_id, group, topics, notes in (("q1", "shop", TOPICS, "first load"), ("q2", "other", ["view", "signup"], None)):
+        rows = sentiment.sentiment_15m(sentiment.select_articles(X.articles(spark, sf_dir), topics))
+        rows.withColumn("topic_group_id", F.lit(group)).write.mode("append").partitionBy("topic_group_id").parquet(f"{base}/sentiment")
+        told = writers.load_lineage(rows, query_id, group, topics, "15m")
+        writers.append_lineage(spark, f"{base}/metadata", told, {"topics": list(topics), "frequency": "15m"}, notes)
+        parts.append(group)
+    writers.delete_group(spark, f"{base}/sentiment", f"{base}/metadata", parts[-1])
+    stored = writers.read_table(spark, f"{base}/sentiment").groupBy("topic_group_id").agg(F.count("*").alias("stored_rows"))
+    return writers.read_table(spark, f"{base}/metadata").join(stored, "topic_group_id", "full").drop("load_timestamp").withColumn(
+        "topics", F.array_join("topics", ","))
+
+
+@query("scan_articles_by_day", O.with_(O.ARTICLES) + """SELECT article_id, ts, source FROM articles
+ WHERE dt BETWEEN DATE '2024-01-05' AND DATE '2024-01-09' AND v2locations LIKE '%#US#%'""")
+def scan_articles_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles stored by day: a range of days opens those days' folders only."""
+    path = work_dir(spark, "articles")
+    writers.write_articles(X.articles(spark, sf_dir), path)
+    return readers.scan_article_days(spark, path, "2024-01-05", "2024-01-09").where("v2locations LIKE '%#US#%'").select("article_id", "ts", "source")

@@ -96,6 +96,35 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{base}/table")
 
 
+_WEEK_OF = "CASE WHEN ts < TIMESTAMP '2024-01-08' THEN 0 WHEN ts < TIMESTAMP '2024-01-15' THEN 1 WHEN ts < TIMESTAMP '2024-01-22' THEN 2 ELSE 3 END"
+
+
+@query("stream_commits", f"""SELECT CAST({_WEEK_OF} AS BIGINT) AS batch_id, count(DISTINCT (user_id, CAST(ts AS DATE))) AS n_rows FROM events GROUP BY 1""")
+def stream_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger of a table kept by upserts: rows of each batch after duplicates went."""
+    base, events = work_dir(spark, "commits"), _events(spark, sf_dir)
+    each = feeds.upsert_into(
+        f"{base}/table", "dt", ["user_id", "dt"], ["ts", "event_id"],
+        lambda df: df.select("user_id", F.to_date("ts").alias("dt"), "ts", "event_id", "value"))
+    for _ in _arrivals(events, f"{base}/landed", _WEEKS):
+        feeds.run_batches(_feed(spark, events, f"{base}/landed"), each, f"{base}/checkpoint")
+    return feeds.commits(spark, f"{base}/table")
+
+
+@query("stream_late_counts", f"""WITH a AS (SELECT ts, time_bucket(INTERVAL 15 MINUTE, ts) AS bucket, CASE {_WEEK_OF} WHEN 1 THEN 2 WHEN 2 THEN 1 ELSE {_WEEK_OF} END AS turn FROM events),
+ m AS (SELECT turn, max(ts) AS latest FROM a GROUP BY turn)
+ SELECT bucket AS ts, count(*) FILTER (NOT is_late) AS on_time, count(*) FILTER (is_late) AS late
+ FROM (SELECT bucket, coalesce(bucket + INTERVAL 15 MINUTE <= (SELECT max(latest) FROM m WHERE m.turn < a.turn) - INTERVAL 1 HOUR, false) AS is_late FROM a) GROUP BY bucket""")
+def stream_late_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Articles on time and late by interval, where the third week arrives before the second."""
+    base, events = work_dir(spark, "late"), _events(spark, sf_dir)
+    weeks = [(None, "2024-01-08"), ("2024-01-15", "2024-01-22"), ("2024-01-08", "2024-01-15"), ("2024-01-22", None)]
+    for week in weeks:
+        for _ in _arrivals(events, f"{base}/landed", list(week)):
+            feeds.run_batches(_feed(spark, events, f"{base}/landed"), feeds.watch_late(f"{base}/seen"), f"{base}/checkpoint")
+    return feeds.late_counts(spark, f"{base}/seen")
+
+
 @query("stream_topup", "SELECT event_id, ts, value FROM events")
 def stream_topup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Several runs with one checkpoint: each reads only the files landed since."""

@@ -84,3 +84,8 @@ def vendor_pages(bars: DataFrame) -> DataFrame:
         F.col("close").alias("c"), F.col("volume").alias("v"), F.col("vwap").alias("vw"),
         F.col("transactions").alias("n"))
     return bars.select(F.to_json(F.struct("ticker", "frequency", F.array(bar).alias("results"))).alias("value"))
+
+
+def scan_article_days(spark: SparkSession, path: str, start: str, end: str) -> DataFrame:
+    """Articles of the days from ``start`` to ``end``; the folders of other days are not opened."""
+    return spark.read.parquet(path).where(F.col("dt").between(F.lit(start).cast("date"), F.lit(end).cast("date")))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -118,7 +119,7 @@ def rewrite_partitions(spark: SparkSession, path: str, touched: DataFrame, parti
     for row, folder in before.items():
         if row not in filled:
             _delete_partition(spark, path, folder)
-    _delete_folder(spark, aside)
+    delete_folder(spark, aside)
 
 
 def _delete_partition(spark: SparkSession, path: str, folder: str) -> None:
@@ -134,7 +135,7 @@ def _delete_partition(spark: SparkSession, path: str, folder: str) -> None:
         above = above.getParent()
 
 
-def _delete_folder(spark: SparkSession, folder: str) -> None:
+def delete_folder(spark: SparkSession, folder: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(folder)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -175,14 +176,74 @@ def load_lineage(df: DataFrame, query_id: str, group: str, topics: Sequence[str]
         F.lit(frequency).alias("frequency"))
 
 
+def write_articles(articles: DataFrame, path: str) -> None:
+    """Articles by day (``dt``), sorted by time; a busy day spreads over several files."""
+    rows = articles.withColumn("dt", F.to_date("ts"))
+    _spread(rows, ["dt"], ["ts", "article_id"]).write.mode("overwrite").partitionBy("dt").parquet(path)
+
+
+_FILE = "file string, split string, n_rows long, checksum decimal(38,0)"
+
+
+def _files(sequences: DataFrame) -> DataFrame:
+    """Rows and an order-free checksum of the content of every file; no file passes through one task's memory."""
+    content = F.xxhash64(*(F.col(f"`{c}`") for c in sorted(sequences.columns)))
+    name = F.regexp_extract(F.input_file_name(), "([^/]+)$", 1)
+    return sequences.select(name.alias("file"), "split", content.cast("decimal(38,0)").alias("hash")).groupBy("file", "split").agg(
+        F.count("*").alias("n_rows"), F.sum("hash").cast("decimal(38,0)").alias("checksum"))
+
+
 def write_dataset(spark: SparkSession, samples: DataFrame, base: str, kind: str, version: str,
-                  features: Sequence[str], lookback: int, horizons: Sequence[int]) -> DataFrame:
-    """Sequences under ``base/kind/version`` by split, and a manifest counted from the files."""
+                  features: Sequence[str], lookback: int, horizons: Sequence[int], scaler: DataFrame | None = None) -> DataFrame:
+    """Sequences under ``base/kind/version`` by split, the scaler beside them, a list of files with rows and checksums,
+    and a manifest counted from the files.
+
+    The manifest is taken away first and written last: a folder without one is no dataset. ``scaler`` is a table of
+    ``feature``, ``mean``, ``std``.
+    """
     from barline.operators.features import dataset_metadata
 
     folder = f"{base}/{kind}/{version}"
+    delete_folder(spark, f"{folder}/manifest")
     samples.write.mode("overwrite").partitionBy("split").parquet(f"{folder}/sequences")
+    if scaler is not None:
+        scaler.select("feature", F.col("mean").cast("double"), F.col("std").cast("double")).write.mode("overwrite").parquet(f"{folder}/scaler")
     written = spark.read.parquet(f"{folder}/sequences")
+    _files(written).write.mode("overwrite").json(f"{folder}/files")
     manifest = dataset_metadata(written, features, lookback, horizons).withColumn("dataset", F.lit(f"{kind}/{version}"))
     manifest.write.mode("overwrite").json(f"{folder}/manifest")
     return manifest
+
+
+def read_dataset(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Sequences, scaler (if one was written) and manifest of a dataset, after its files were checked.
+
+    A missing manifest, a missing or added file, and a file with other rows than were written are errors.
+    """
+    def there(name: str) -> bool:
+        target = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}/_SUCCESS")
+        return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
+
+    if not there("manifest"):
+        raise ValueError(f"{folder} has no manifest: it was not written to the end")
+    sequences = spark.read.parquet(f"{folder}/sequences")
+    listed = spark.read.schema(_FILE).json(f"{folder}/files")
+    wrong = _files(sequences).join(listed.withColumnsRenamed({"n_rows": "rows", "checksum": "sum"}), ["file", "split"], "full").where(
+        "n_rows IS NULL OR rows IS NULL OR n_rows <> rows OR checksum <> sum")
+    found = [r["file"] for r in wrong.select("file").limit(10).collect()]
+    if found:
+        raise ValueError(f"files of {folder} differ from its list: {', '.join(found)}")
+    scaler = spark.read.parquet(f"{folder}/scaler") if there("scaler") else None
+    return sequences, scaler, spark.read.json(f"{folder}/manifest")
+
+
+def append_lineage(spark: SparkSession, path: str, row: DataFrame, config: Mapping[str, object], notes: str | None = None) -> None:
+    """Append a load's row to the metadata table at ``path`` with its notes and its configuration as JSON text."""
+    told = row.withColumns({"notes": F.lit(notes).cast("string"), "config": F.lit(json.dumps(config, sort_keys=True))})
+    told.coalesce(1).write.mode("append").partitionBy("topic_group_id").parquet(path)
+
+
+def delete_group(spark: SparkSession, sentiment: str, metadata: str, group: str) -> None:
+    """Remove a topic group from the sentiment table and from the metadata that tells of its loads."""
+    for path in (sentiment, metadata):
+        change_rows(spark, path, F.col("topic_group_id") == group, lambda df: df.where(F.col("topic_group_id") != group))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barline.operators.merge import dedupe
 from barline.operators.sentiment import SCORES
 from barline.session import work_dir
-from barline.sources.writers import rewrite_partitions
+from barline.sources.writers import delete_folder, rewrite_partitions
 
 
 def sentiment_15m(parsed: DataFrame, delay: str = "1 hour", width: str = "15 minutes") -> DataFrame:
@@ -68,28 +68,84 @@ def upsert_into(path: str, partition: str, keys: Sequence[str], order: Sequence[
     """A ``foreachBatch`` function keeping the last row per key in a Parquet table.
 
     Stored and new rows of the touched partitions compete by ``order``, so replaying
-    a batch, or receiving batches out of order, gives the same table.
+    a batch, or receiving batches out of order, gives the same table. A ledger next to
+    the table (see ``commits``) gets a batch's number once its rewrite has ended: a
+    batch found there changes nothing, one that was cut short before is done again.
     """
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
+        entry = f"{path}_commits/batch_id={batch_id}"
+        if table_exists(spark, entry):
+            return
         # The batch is used twice (touched partitions, rows): keep it in the shared folder.
         held = f"{work_dir(spark, 'batch')}-{batch_id}"
         dedupe(change(batch), keys, order).write.parquet(held)
         rows = spark.read.parquet(held)
-        if rows.isEmpty():
-            return
-        if not table_exists(spark, path):
-            rows.repartitionByRange(partition, *keys).write.mode("overwrite").partitionBy(partition).parquet(path)
-            return
-        rewrite_partitions(spark, path, rows, partition,
-                           lambda stored: dedupe(stored.unionByName(rows.select(stored.columns)), keys, order))
+        if not rows.isEmpty():
+            if not table_exists(spark, path):
+                rows.repartitionByRange(partition, *keys).write.mode("overwrite").partitionBy(partition).parquet(path)
+            else:
+                rewrite_partitions(spark, path, rows, partition,
+                                   lambda stored: dedupe(stored.unionByName(rows.select(stored.columns)), keys, order))
+        rows.agg(F.count("*").alias("n_rows")).write.mode("overwrite").parquet(entry)
+        delete_folder(spark, held)
 
     return run
 
 
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """``batch_id`` and ``n_rows`` of the batches whose upsert into ``path`` has ended."""
+    return spark.read.schema("n_rows long, batch_id long").parquet(f"{path}_commits").select("batch_id", "n_rows")
+
+
+def watch_late(path: str, delay: str = "1 hour", width: str = "15 minutes") -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function that tells rows on time from late ones, interval by interval.
+
+    A row is late if its interval had ended ``delay`` before the latest time of all earlier batches, which is when a
+    watermark drops it. Under ``path``, by batch: ``marks`` (latest time), ``counts`` (interval, rows on time and
+    late) and ``late`` (the late rows themselves, to be applied again). A replayed batch writes the same again.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        earlier = read_batches(spark, path, "marks", "ts timestamp").where(F.col("batch_id") < batch_id)
+        mark = earlier.agg(F.max("ts")).scalar()
+        late = F.coalesce(F.col("window.end") <= mark - F.expr(f"INTERVAL {delay}"), F.lit(False))
+        rows = batch.where("ts IS NOT NULL").withColumn("window", F.window("ts", width)).withColumn("is_late", late)
+
+        def keep(df: DataFrame, name: str) -> None:
+            df.write.mode("overwrite").parquet(f"{path}/{name}/batch_id={batch_id}")
+
+        keep(rows.groupBy(F.col("window.start").alias("ts")).agg(
+            F.count_if(~F.col("is_late")).alias("on_time"), F.count_if("is_late").alias("late")), "counts")
+        keep(rows.where("is_late").drop("window", "is_late"), "late")
+        # Last, so that a batch cut short finds the marks it found at first.
+        keep(batch.agg(F.max("ts").alias("ts")), "marks")
+
+    return run
+
+
+def read_batches(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
+    """What ``watch_late`` has kept under a name, with its ``batch_id``."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], f"{schema}, batch_id long")
+    return spark.read.schema(f"{schema}, batch_id long").parquet(f"{path}/{name}")
+
+
+def late_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``ts`` (start of an interval), rows ``on_time`` and ``late`` over all batches."""
+    return read_batches(spark, path, "counts", "ts timestamp, on_time long, late long").groupBy("ts").agg(
+        F.sum("on_time").alias("on_time"), F.sum("late").alias("late"))
+
+
 def table_exists(spark: SparkSession, path: str) -> bool:
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    """Whether a write to ``path`` has ended, or partitions are there: overwriting partitions leaves no other mark."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return False
+    return any(n == "_SUCCESS" or ("=" in n and not n.startswith(".")) for n in (
+        s.getPath().getName() for s in system.listStatus(folder)))
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
