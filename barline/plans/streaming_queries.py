@@ -22,6 +22,7 @@ from barline.session import work_dir
 from barline.sources import fixtures as X
 from barline.streaming import feeds
 from barline.streaming.indicators import stream_indicators
+from barline.streaming.stored import indicators_into, ledger
 
 W = "OVER (PARTITION BY ticker ORDER BY dt)"
 _MARK = "(SELECT max(ts) FROM events) - INTERVAL 1 HOUR"
@@ -160,6 +161,52 @@ def stream_indicators_query(spark: SparkSession, sf_dir: str) -> DataFrame:
         {n: F.round(n, 4) for n in ("sma_10", "ema_12")})
 
 
+_LIVE = ["returns", "volatility_20", "sma_200", "volume_ratio", "bb_width", "atr_14", "ema_26", "macd_signal", "obv"]
+_OUT_OF_ORDER = [(None, "1997-01-01"), ("1998-01-01", "2000-01-01"), ("1997-01-01", "1998-01-01"), ("2000-01-01", None)]
+
+
+def _live(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
+    """Bars landed out of order, with their indicators kept in a table; its folder."""
+    base = work_dir(spark, "live")
+    bars = X.bars(spark, sf_dir).select("ticker", "frequency", "ts", "open", "high", "low", "close", "volume")
+    each = indicators_into(f"{base}/table", names)
+    for bounds in _OUT_OF_ORDER:
+        for _ in _arrivals(bars, f"{base}/landed", list(bounds)):
+            feeds.run_batches(_feed(spark, bars, f"{base}/landed"), each, f"{base}/checkpoint")
+    return f"{base}/table"
+
+
+@query("stream_indicator_set", ewm_oracle() + f""", f AS (SELECT *, close / lag(close, 1) {W} - 1 AS returns,
+  CASE WHEN lag(close, 1) {W} IS NOT NULL THEN greatest(high - low, abs(high - lag(close, 1) {W}), abs(low - lag(close, 1) {W})) END AS tr,
+  CASE WHEN lag(close, 1) {W} IS NULL THEN volume WHEN close > lag(close, 1) {W} THEN volume
+    WHEN close < lag(close, 1) {W} THEN -volume ELSE 0 END AS flow FROM s),
+ x AS (SELECT ticker, rn, ts, close, returns, {O.guard('stddev_samp', 'returns', 20)} AS volatility_20, {O.guard('avg', 'close', 200)} AS sma_200,
+   volume / nullif({O.guard('avg', 'volume', 10)}, 0) AS volume_ratio,
+   4 * ({O.guard('stddev_samp', 'close', 20)}) / nullif({O.guard('avg', 'close', 20)}, 0) AS bb_width,
+   {O.guard('avg', 'tr', 14)} AS atr_14, sum(flow) {W} + 0.0 AS obv FROM f)
+ SELECT x.ticker, x.ts, x.close, round(returns, 6) AS returns, round(volatility_20, 6) AS volatility_20, round(sma_200, 6) AS sma_200,
+   round(volume_ratio, 6) AS volume_ratio, round(bb_width, 6) AS bb_width, round(atr_14, 6) AS atr_14,
+   round(CASE WHEN x.rn >= 26 THEN e26 END, 4) AS ema_26, round(CASE WHEN x.rn >= 34 THEN sig END, 4) AS macd_signal, round(obv, 4) + 0.0 AS obv
+ FROM x JOIN e ON e.ticker = x.ticker AND e.rn = x.rn""")
+def stream_indicator_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{_live(spark, sf_dir, _LIVE)}/rows")
+    return rows.select("ticker", "ts", "close", *[(F.round(n, 4 if n in ("ema_26", "macd_signal", "obv") else 6) + F.lit(0.0)).alias(n) for n in _LIVE])
+
+
+_TURN = "CASE WHEN dt < DATE '1997-01-01' THEN 0 WHEN dt < DATE '1998-01-01' THEN 2 WHEN dt < DATE '2000-01-01' THEN 1 ELSE 3 END"
+
+
+@query("stream_indicator_ledger", O.with_(O.BARS, f"""t AS (SELECT ticker, dt, CAST({_TURN} AS BIGINT) AS turn FROM bars),
+ m AS (SELECT ticker, turn, min(dt) AS first_dt, max(dt) AS last_dt FROM t GROUP BY ticker, turn),
+ w AS (SELECT t.turn, t.dt <= (SELECT max(last_dt) FROM m WHERE m.ticker = t.ticker AND m.turn < t.turn) AS is_late FROM t),
+ c AS (SELECT m.turn, count(*) AS n FROM m JOIN t ON t.ticker = m.ticker AND t.turn < m.turn AND t.dt > m.first_dt GROUP BY m.turn)""") + """
+ SELECT w.turn AS batch_id, count(*) AS n_rows, count(*) FILTER (is_late) AS n_late, coalesce(max(c.n), 0) AS n_corrected, CAST(0 AS BIGINT) AS n_skipped
+ FROM w LEFT JOIN c ON c.turn = w.turn GROUP BY w.turn""")
+def stream_indicator_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of each batch, those that came late, and the stored ones corrected because of them."""
+    return ledger(spark, _live(spark, sf_dir, ["sma_10", "obv"]))
+
+
 @query("stream_gap_alert", f"""WITH d AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS brk FROM events
    WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
  g AS (SELECT *, sum(brk) OVER (PARTITION BY user_id ORDER BY ts) AS sess FROM d)
