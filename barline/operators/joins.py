@@ -124,3 +124,32 @@ def parameter_grid(base: DataFrame, lists: Mapping[str, Sequence[object]], tied:
     if tied:
         grid = grid.withColumns(dict(tied))
     return grid if first is None else grid.orderBy(*order).limit(first)
+
+
+def uniform(seed: int, *parts: str | Column) -> Column:
+    """A number in [0, 1) from 48 bits of a digest of its parts: the same after a retry and in other engines."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts]).cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
+def parameter_draws(base: DataFrame, keys: Sequence[str], n: int, log_ranges: Mapping[str, tuple[float, float]] | None = None,
+                    ranges: Mapping[str, tuple[float, float]] | None = None, choices: Mapping[str, Sequence[object]] | None = None,
+                    seed: int = 42) -> DataFrame:
+    """``n`` random settings for each row of ``base`` (named by ``keys``), numbered by ``draw``.
+
+    ``log_ranges`` gives two powers of ten to draw between evenly by magnitude, ``ranges`` two bounds, ``choices`` a list.
+    A draw depends on seed, parameter, row and number only, so further draws or parameters leave earlier ones alone.
+    """
+    drawn = base.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))) if n > 0 else base.withColumn("draw", F.lit(1)).limit(0)
+
+    def at(name: str) -> Column:
+        return uniform(seed, F.lit(name), *keys, "draw")
+
+    values: dict[str, Column] = {}
+    for name, (low, high) in (log_ranges or {}).items():
+        values[name] = F.pow(F.lit(10.0), F.lit(float(low)) + at(name) * F.lit(float(high - low)))
+    for name, (low, high) in (ranges or {}).items():
+        values[name] = F.lit(float(low)) + at(name) * F.lit(float(high - low))
+    for name, options in (choices or {}).items():
+        values[name] = F.element_at(F.array(*[F.lit(o) for o in options]), (F.floor(at(name) * len(options)) + 1).cast("int"))
+    return drawn.withColumns(values)

@@ -9,6 +9,7 @@ from barline.functions import text
 from barline.operators import baseline as B
 from barline.operators import evaluate as E
 from barline.operators import features as Q
+from barline.operators import joins as J
 from barline.operators import runs as U
 from barline.operators import series as S
 from barline.plans import feature_queries as FQ
@@ -155,7 +156,7 @@ def enrich_lr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- yardstick models --------------------------------------------------------
 
-_MODEL_FEATURES = ["close_AF", "close_NF", "close_RF", "volume_AF", "volume_NF", "volume_RF"]
+_MODEL_FEATURES = Q.matrix_features(X.BAR_TICKERS, ["close", "volume"])
 _WINDOW = 10
 
 
@@ -178,3 +179,23 @@ def _model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("grid_fit")
 def grid_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return B.grid_fit(spark, _model_rows(spark, sf_dir), "target_7", B.log_grid(-3, 0, 3), [0.0, 0.5])
+
+
+@query("tree_fit_score")
+def tree_fit_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A regression tree per horizon on the rows of the matrix."""
+    return B.fit_score(settle(_model_rows(spark, sf_dir), "rows"), FQ.HORIZONS, "tree")
+
+
+_THERE = " AND ".join(f"{f} IS NOT NULL" for f in _MODEL_FEATURES)
+query("scored_rows", FQ._MZ + " UNION ALL ".join(
+    f"SELECT split, {h} AS horizon, count(target_{h}) AS n_rows FROM z WHERE split IS NOT NULL AND {_THERE} GROUP BY split" for h in FQ.HORIZONS))(
+    lambda s, d: B.scored_rows(_model_rows(s, d), FQ.HORIZONS))
+
+
+@query("draw_fit")
+def draw_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Linear models with settings drawn at random (see ``hp_draws``), scored on the validation split."""
+    rows = settle(_model_rows(spark, sf_dir), "rows")
+    drawn = J.parameter_draws(rows.select(F.lit("ridge").alias("model")).distinct(), ["model"], 6, {"reg": (-3, 0)}, {"mix": (0.0, 1.0)})
+    return B.draw_fit(rows, "target_7", drawn, "reg", "mix")

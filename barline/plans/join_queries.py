@@ -152,6 +152,20 @@ def hp_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
                             tied={"d_ff": F.col("d_model") * 4})
 
 
+def _u(name: str) -> str:
+    return f"(CAST(('0x' || substr(md5(concat_ws('|', '42', '{name}', run, CAST(draw AS VARCHAR))), 1, 12)) AS BIGINT) / 281474976710656.0::DOUBLE)"
+
+
+@query("hp_draws", O.with_(O.SCALARS) + f"""SELECT run, CAST(draw AS INTEGER) AS draw, round(pow(10.0::DOUBLE, -5 + {_u('lr')} * 3), 9) AS lr,
+   round(0.5 * {_u('dropout')}, 9) AS dropout, [32, 64, 128][CAST(floor({_u('d_model')} * 3) AS INTEGER) + 1] AS d_model
+ FROM (SELECT DISTINCT run FROM run_scalars), (SELECT unnest(range(1, 21)) AS draw)""")
+def hp_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty random settings a run, learning rates even by magnitude."""
+    started = X.run_scalars(spark, sf_dir).select("run").distinct()
+    drawn = J.parameter_draws(started, ["run"], 20, {"lr": (-5, -2)}, {"dropout": (0.0, 0.5)}, {"d_model": [32, 64, 128]})
+    return drawn.withColumns({n: F.round(n, 9) for n in ("lr", "dropout")})
+
+
 # --- merges ------------------------------------------------------------------
 
 _COLS = ["ticker", "ts", "frequency", "close", "volume"]
