@@ -1,13 +1,14 @@
 """Byte-level BPE encoding and decoding.
 
-A text of more than ``CHUNK_CHARS`` code points is cut into chunks that overlap. Each chunk is split into
-pre-tokens on its own. Where a boundary of one chunk meets a boundary of the next inside the overlap, the two
-runs agree from there on (the pattern looks at most one character ahead), so the chunks are stitched there and
-each piece is encoded separately. A stitch also needs a non-space before it and a space after it: then
-both pieces split as the whole text does. Decoding looks up the bytes of every id and concatenates them.
+A text of more than ``chunk`` code points is cut into chunks that overlap by ``overlap``. Chunks are spread over tasks, and
+each is split into pre-tokens on its own. Neighbouring chunks are then stitched: where a boundary of one meets a boundary
+of the next inside their overlap, the two runs agree from there on, so one piece ends and the next begins there. A
+stitch also has a non-space before it and a white space after it: no match of the pattern runs over such a place.
+Chunks without a stitch between them form one piece. Pieces are encoded separately and their ids put together in order.
+Decoding looks up the bytes of every id and concatenates them.
 
 Rules: null text is empty and has no tokens. Extra columns are ignored. Rows with the same id and the same text
-give the same row each. A text without any stitch in a long stretch is encoded in one longer piece.
+give the same row each. A text of one chunk is one piece. The ids of a text are put together in one task.
 """
 
 from __future__ import annotations
@@ -20,13 +21,14 @@ import numpy as np
 import pandas as pd
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm import common as C
+from barline.session import settle
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 16, 1 << 10
+CHUNK_CHARS, OVERLAP_CHARS = 1 << 12, 1 << 8
 
 
 @lru_cache(maxsize=2)
@@ -66,40 +68,29 @@ def decode(ids: np.ndarray, vocabulary: str = VOCABULARY) -> bytes:
     return pool[np.repeat(start[ids] - first, size) + np.arange(int(size.sum()))].tobytes()
 
 
-def _boundaries(text: str, base: int) -> list[int]:
-    return [base + m.start() for m in _pattern().finditer(text)]
+def chunks(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
+    """Stretches of ``chunk`` code points, each with the first ``overlap`` of the next one."""
+    return [text[a:a + chunk + overlap] for a in range(0, len(text), chunk)]
 
 
-def _stitches(text: str, left: list[int], right: list[int]) -> Iterator[int]:
-    """Common boundaries that both sides can be cut at."""
-    for at in sorted(set(left) & set(right)):
-        if at > 0 and not text[at - 1].isspace() and text[at] in " \t\r\n":
-            yield at
+def edges(text: str, start: int, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> tuple[list[int], list[int]]:
+    """Boundaries of a chunk that begins at ``start``: those in its own beginning, and stitchable ones beyond its end."""
+    found = [m.start() for m in _pattern().finditer(text)]
+    heads = [start + b for b in found if b <= overlap]
+    return heads, [start + b for b in found if b >= chunk and not text[b - 1].isspace() and text[b] in " \t\r\n"]
 
 
-def piece_starts(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """Where the pieces of a long text begin; the first is 0.
+def _stitched(edged: DataFrame, chunk: int) -> DataFrame:
+    """Begin and end of what each chunk adds, its piece (number of the piece's first chunk) and the piece's chunks.
 
-    Only the overlaps are split into pre-tokens here. If an overlap has no stitch, it is doubled until one is
-    found or the text ends.
-    """
-    starts, at = [0], chunk
-    while at < len(text):
-        reach = overlap
-        while True:
-            end = min(len(text), at + reach)
-            # The left chunk reads the overlap from an earlier position, the right chunk from its own start.
-            low = max(starts[-1], at - reach)
-            left = [b for b in _boundaries(text[low:end], low) if b >= at]
-            cut = next(_stitches(text, left, _boundaries(text[at:end], at)), None)
-            if cut is not None or end == len(text):
-                break
-            reach *= 2
-        if cut is None:
-            break
-        starts.append(cut)
-        at = max(cut + 1, at + chunk)
-    return starts
+    A chunk ends at the first boundary it shares with the next. One row a chunk, without its text."""
+    along = Window.partitionBy("row").orderBy("at")
+    cut = edged.select("row", "at", F.array_min(F.array_intersect("tails", F.lead("heads").over(along))).alias("stitch"))
+    cut = cut.withColumn("start", F.lag("stitch").over(along))
+    cut = cut.withColumn("of", F.last(F.when((F.col("at") == 0) | F.col("start").isNotNull(), F.col("at")), ignorenulls=True).over(along))
+    return cut.select("row", "at", "of", F.coalesce("start", F.col("at").cast("long") * chunk).alias("begin"),
+                      F.coalesce("stitch", (F.col("at").cast("long") + 1) * chunk).alias("end"),
+                      F.count("*").over(Window.partitionBy("row", "of")).alias("parts"))
 
 
 def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
@@ -118,26 +109,42 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for doc_id, text, row in zip(frame["doc_id"], frame["text"], frame["row"]):
-                starts = piece_starts(text, chunk, overlap)
-                for k, (a, b) in enumerate(zip(starts, starts[1:] + [len(text)])):
-                    yield pd.DataFrame({"doc_id": [doc_id], "row": [row], "at": [k], "piece": [text[a:b]]})
+                parts = chunks(text, chunk, overlap)
+                ids = pd.array([doc_id], "Int64").repeat(len(parts))
+                yield pd.DataFrame({"doc_id": ids, "row": row, "at": range(len(parts)), "chunk": parts})
 
-    def join(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("at")
-        ids = b"".join(frame["ids"])
-        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1], "text": ["".join(frame["piece"])], "ids": [ids],
-                             "decoded": [decode(np.frombuffer(ids, "<u4"), vocabulary)]})
+    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = [edges(t, k * chunk, chunk, overlap) for t, k in zip(frame["chunk"], frame["at"])]
+            yield pd.DataFrame({"row": frame["row"], "at": frame["at"], "heads": [f[0] for f in found], "tails": [f[1] for f in found]})
 
-    def encoded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for part in range(0, len(frame), 16):
-                piece = frame.iloc[part:part + 16]
-                yield piece.assign(ids=[encode(t, vocabulary).tobytes() for t in piece["piece"]])
-
-    # A row is named by where it was read; pieces are spread anew, so that one long text uses many tasks.
-    pieces = (source.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-              .mapInPandas(cut, "doc_id long, row long, at int, piece string").repartition("row", "at"))
-    long = (pieces.mapInPandas(encoded, "doc_id long, row long, at int, piece string, ids binary")
+            texts = [t[b - k * chunk:e - k * chunk] for t, k, b, e in zip(frame["chunk"], frame["at"], frame["begin"], frame["end"])]
+            alone = frame["parts"] == 1
+            yield frame[["doc_id", "row", "of", "at"]].assign(
+                piece=[None if one else t for t, one in zip(texts, alone)],
+                ids=[encode(t, vocabulary).tobytes() if one else None for t, one in zip(texts, alone)])
+
+    def merged(frame: pd.DataFrame) -> pd.DataFrame:
+        text = "".join(frame.sort_values("at")["piece"])
+        return frame.iloc[:1][["doc_id", "row", "of"]].assign(ids=[encode(text, vocabulary).tobytes()])
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = b"".join(frame.sort_values("of")["ids"])
+        decoded = decode(np.frombuffer(ids, "<u4"), vocabulary)
+        return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1], "text": [decoded.decode()], "ids": [ids], "decoded": [decoded]})
+
+    # A row is named by where it was read; chunks are spread, so that one long text uses many tasks. Both readers of the
+    # chunks share that shuffle.
+    spread = (source.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
+              .mapInPandas(cut, "doc_id long, row long, at int, chunk string").repartition("row", "at"))
+    places = _stitched(spread.mapInPandas(split, "row long, at int, heads array<long>, tails array<long>"), chunk)
+    encoded = settle(spread.join(places, ["row", "at"]).mapInPandas(
+        pieces, "doc_id long, row long, of int, at int, piece string, ids binary"), "pieces")
+    piece = "doc_id long, row long, of int, ids binary"
+    several = encoded.where("ids IS NULL").groupBy("row", "of").applyInPandas(merged, piece)
+    long = (encoded.where("ids IS NOT NULL").select("doc_id", "row", "of", "ids").unionByName(several)
             .groupBy("row").applyInPandas(join, "doc_id long, text string, ids binary, decoded binary"))
     return short.mapInPandas(whole, "doc_id long, text string, ids binary, decoded binary").unionByName(long)
 

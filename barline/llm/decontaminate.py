@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import common as C
+from barline.session import settle
 
 RATE, LEAST = 0.05, 2
 BLOCK_PIECES = 200_000
@@ -144,7 +145,9 @@ def _built(block: list[tuple[object, str, int]]) -> tuple[object, list[tuple[int
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int = LEAST) -> DataFrame:
-    """The rows of ``docs``, unchanged, that no item matches; nothing is shuffled."""
+    """The rows of ``docs``, unchanged, that no item matches; nothing is shuffled.
+
+    What a block of items leaves is written before the next one, so that a task holds one automaton at a time."""
 
     def keeper(block: list[tuple[object, str, int]]):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,8 +158,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, least: int
 
         return run
 
-    for block in _blocks(_items(benchmark), rate, least):
-        docs = docs.mapInArrow(keeper(block), docs.schema)
+    for number, block in enumerate(_blocks(_items(benchmark), rate, least)):
+        docs = (settle(docs, "cleaned") if number else docs).mapInArrow(keeper(block), docs.schema)
     return docs
 
 

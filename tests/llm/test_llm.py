@@ -106,7 +106,7 @@ def _least(item, text):
     return min(row)
 
 
-def test_benchmark_items_within_their_budget(spark, docs, rows, none):
+def test_benchmark_items_within_their_budget(spark, docs, rows, none, monkeypatch):
     base = " ".join(rows[8][1].split())[20:140]
     items = [(1, base), (2, base[:60] + "XX" + base[62:]), (3, base.upper()), (4, None), (5, "  "), (6, "abc"),
              (7, base[:50] + base[58:]), (8, base), (9, "never " * 20)]
@@ -124,6 +124,9 @@ def test_benchmark_items_within_their_budget(spark, docs, rows, none):
     left = decontaminate.clean(docs, bench)
     hit = {k[0] for k in want}
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(r[0]) for r in rows if r[0] not in hit)
+    monkeypatch.setattr(decontaminate, "BLOCK_PIECES", 1)  # a block an item
+    assert sorted(str(r.doc_id) for r in decontaminate.clean(docs, bench).collect()) == sorted(str(r.doc_id) for r in left.collect())
+    assert _bag(decontaminate.matches(docs, bench), "doc_id", "item_id", "distance") == want
     assert decontaminate.matches(docs, bench.limit(0)).count() == 0 and decontaminate.matches(none, bench).count() == 0
 
 
@@ -261,6 +264,27 @@ def test_tokens_as_the_library_gives_them(docs, rows, none):
     assert byte_bpe.digests(none).count() == 0
 
 
+def test_chunks_meet_at_shared_boundaries(spark):
+    rng = random.Random(4)
+    odd = ["'s", " ", "  ", "\t", "\r\n", "\u00a0", "\u2003", "\x1c", "é", "漢字", "👍🏽", "12", "!?", "word"]
+    texts = ["".join(rng.choice(odd) for _ in range(rng.randrange(0, 400))) for _ in range(60)]
+    texts += ["x" * 2000, "漢" * 700 + " " + "字" * 700, " " * 900, "a b " * 500, "a " * 31 + "b" * 400 + " c" * 300, None, ""]
+    docs = spark.createDataFrame([(None if k % 9 == 0 else k // 2, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    enc = byte_bpe.encoding()
+    want = collections.Counter((None if k % 9 == 0 else k // 2, t or "", np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode())
+                               for k, t in enumerate(texts))
+    for chunk, overlap in ((64, 16), (64, 1), (7, 3)):
+        got = byte_bpe.round_trip(docs, chunk=chunk, overlap=overlap).collect()
+        assert collections.Counter((r.doc_id, r.text, bytes(r.ids), bytes(r.decoded)) for r in got) == want
+
+
+def test_most_chunks_are_stitched():
+    text = " ".join(f"word{k}" for k in range(5000))
+    parts = byte_bpe.chunks(text)
+    ends = [byte_bpe.edges(t, k * byte_bpe.CHUNK_CHARS) for k, t in enumerate(parts)]
+    assert len(parts) > 8 and all(set(a[1]) & set(b[0]) for a, b in zip(ends, ends[1:]))
+
+
 def test_alignment_distance():
     rng = random.Random(1)
     for _ in range(300):
