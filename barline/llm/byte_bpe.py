@@ -1,14 +1,15 @@
 """Byte-level BPE encoding and decoding.
 
-A text of more than ``chunk`` code points is cut into chunks that overlap by ``overlap``. Chunks are spread over tasks, and
-each is split into pre-tokens on its own. Neighbouring chunks are then stitched: where a boundary of one meets a boundary
+A text of more than ``chunk`` code points is cut into chunks that overlap by ``overlap``. Each is split into pre-tokens on
+its own: where the text was read, or, if the text has more than ``spread`` code points, its chunks in many tasks. Neighbouring chunks are then stitched: where a boundary of one meets a boundary
 of the next inside their overlap, the two runs agree from there on, so one piece ends and the next begins there. A
 stitch also has a non-space before it and a white space after it: no match of the pattern runs over such a place.
 Chunks without a stitch between them form one piece. Pieces are encoded separately and their ids put together in order.
 Decoding looks up the bytes of every id and concatenates them.
 
 Rules: null text is empty and has no tokens. Extra columns are ignored. Rows with the same id and the same text
-give the same row each. A text of one chunk is one piece. The ids of a text are put together in one task.
+give the same row each. A text of one chunk is one piece. The ids of a text are put together in one task. Where a
+chunk is worked on changes no result.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from barline.llm import common as C
 from barline.session import settle
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CHUNK_CHARS, OVERLAP_CHARS = 1 << 12, 1 << 8
+CHUNK_CHARS, OVERLAP_CHARS, SPREAD_CHARS = 1 << 12, 1 << 8, 1 << 16
 
 
 @lru_cache(maxsize=2)
@@ -80,6 +81,16 @@ def edges(text: str, start: int, chunk: int = CHUNK_CHARS, overlap: int = OVERLA
     return heads, [start + b for b in found if b >= chunk and not text[b - 1].isspace() and text[b] in " \t\r\n"]
 
 
+def pieces(text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
+    """A text's chunks stitched to pieces."""
+    if len(text) <= chunk:
+        return [text]
+    ends = [edges(t, k * chunk, chunk, overlap) for k, t in enumerate(chunks(text, chunk, overlap))]
+    shared = [min(set(left[1]).intersection(right[0]), default=None) for left, right in zip(ends, ends[1:])]
+    starts = [0, *(s for s in shared if s is not None)]
+    return [text[a:b] for a, b in zip(starts, [*starts[1:], len(text)])]
+
+
 def _stitched(edged: DataFrame, chunk: int) -> DataFrame:
     """Begin and end of what each chunk adds, its piece (number of the piece's first chunk) and the piece's chunks.
 
@@ -93,17 +104,17 @@ def _stitched(edged: DataFrame, chunk: int) -> DataFrame:
                       F.count("*").over(Window.partitionBy("row", "of")).alias("parts"))
 
 
-def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS
-               ) -> DataFrame:
+def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS,
+               spread: int = SPREAD_CHARS) -> DataFrame:
     """``doc_id, text, ids, decoded``: ids as packed little-endian 32-bit integers, decoded as raw bytes."""
     source = C.texts(docs)
-    short = source.where(F.length("text") <= chunk)
+    long = F.length("text") > spread
 
     def whole(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in range(0, len(frame), 256):
                 piece = frame.iloc[part:part + 256]
-                ids = [encode(t, vocabulary) for t in piece["text"]]
+                ids = [np.concatenate([encode(p, vocabulary) for p in pieces(t, chunk, overlap)]) for t in piece["text"]]
                 yield piece.assign(ids=[i.tobytes() for i in ids], decoded=[decode(i, vocabulary) for i in ids])
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,7 +129,7 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK
             found = [edges(t, k * chunk, chunk, overlap) for t, k in zip(frame["chunk"], frame["at"])]
             yield pd.DataFrame({"row": frame["row"], "at": frame["at"], "heads": [f[0] for f in found], "tails": [f[1] for f in found]})
 
-    def pieces(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encoder(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             texts = [t[b - k * chunk:e - k * chunk] for t, k, b, e in zip(frame["chunk"], frame["at"], frame["begin"], frame["end"])]
             alone = frame["parts"] == 1
@@ -135,18 +146,17 @@ def round_trip(docs: DataFrame, vocabulary: str = VOCABULARY, chunk: int = CHUNK
         decoded = decode(np.frombuffer(ids, "<u4"), vocabulary)
         return pd.DataFrame({"doc_id": frame["doc_id"].iloc[:1], "text": [decoded.decode()], "ids": [ids], "decoded": [decoded]})
 
-    # A row is named by where it was read; chunks are spread, so that one long text uses many tasks. Both readers of the
-    # chunks share that shuffle.
-    spread = (source.where(F.length("text") > chunk).withColumn("row", F.monotonically_increasing_id())
-              .mapInPandas(cut, "doc_id long, row long, at int, chunk string").repartition("row", "at"))
-    places = _stitched(spread.mapInPandas(split, "row long, at int, heads array<long>, tails array<long>"), chunk)
-    encoded = settle(spread.join(places, ["row", "at"]).mapInPandas(
-        pieces, "doc_id long, row long, of int, at int, piece string, ids binary"), "pieces")
+    # A row is named by where it was read; its chunks are dealt to many tasks.
+    dealt = settle(source.where(long).withColumn("row", F.monotonically_increasing_id())
+                   .mapInPandas(cut, "doc_id long, row long, at int, chunk string").repartition("row", "at"), "chunks")
+    places = _stitched(dealt.mapInPandas(split, "row long, at int, heads array<long>, tails array<long>"), chunk)
+    encoded = settle(dealt.join(places, ["row", "at"]).mapInPandas(
+        encoder, "doc_id long, row long, of int, at int, piece string, ids binary"), "pieces")
     piece = "doc_id long, row long, of int, ids binary"
     several = encoded.where("ids IS NULL").groupBy("row", "of").applyInPandas(merged, piece)
-    long = (encoded.where("ids IS NOT NULL").select("doc_id", "row", "of", "ids").unionByName(several)
+    joined = (encoded.where("ids IS NOT NULL").select("doc_id", "row", "of", "ids").unionByName(several)
             .groupBy("row").applyInPandas(join, "doc_id long, text string, ids binary, decoded binary"))
-    return short.mapInPandas(whole, "doc_id long, text string, ids binary, decoded binary").unionByName(long)
+    return source.where(~long).mapInPandas(whole, "doc_id long, text string, ids binary, decoded binary").unionByName(joined)
 
 
 def digests(docs: DataFrame, **parameters) -> DataFrame:

@@ -261,6 +261,7 @@ def test_tokens_as_the_library_gives_them(docs, rows, none):
     names = ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
     assert _bag(byte_bpe.digests(docs), *names) == want
     assert _bag(byte_bpe.digests(docs, chunk=50, overlap=8), *names) == want
+    assert _bag(byte_bpe.digests(docs, chunk=50, overlap=8, spread=50), *names) == want
     assert byte_bpe.digests(none).count() == 0
 
 
@@ -273,8 +274,8 @@ def test_chunks_meet_at_shared_boundaries(spark):
     enc = byte_bpe.encoding()
     want = collections.Counter((None if k % 9 == 0 else k // 2, t or "", np.array(enc.encode_ordinary(t or ""), "<u4").tobytes(), (t or "").encode())
                                for k, t in enumerate(texts))
-    for chunk, overlap in ((64, 16), (64, 1), (7, 3)):
-        got = byte_bpe.round_trip(docs, chunk=chunk, overlap=overlap).collect()
+    for chunk, overlap, spread in ((64, 16, 64), (64, 1, 1000), (7, 3, 1)):
+        got = byte_bpe.round_trip(docs, chunk=chunk, overlap=overlap, spread=spread).collect()
         assert collections.Counter((r.doc_id, r.text, bytes(r.ids), bytes(r.decoded)) for r in got) == want
 
 
@@ -283,6 +284,7 @@ def test_most_chunks_are_stitched():
     parts = byte_bpe.chunks(text)
     ends = [byte_bpe.edges(t, k * byte_bpe.CHUNK_CHARS) for k, t in enumerate(parts)]
     assert len(parts) > 8 and all(set(a[1]) & set(b[0]) for a, b in zip(ends, ends[1:]))
+    assert len(byte_bpe.pieces(text)) == len(parts) and "".join(byte_bpe.pieces(text)) == text
 
 
 def test_alignment_distance():
