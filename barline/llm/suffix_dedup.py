@@ -12,8 +12,12 @@ one anchor is a *stretch*; there is about one for every 85 bytes.
    sorted as suffixes from the anchor on: a bottom-up mergesort whose comparisons find the common extension by binary
    search over prefix polynomial hashes. Windows are equal if their parts right of the anchor lie in one run of the
    sorted order with common extensions that long, and the hashes of their parts left of it agree. Every match that
-   the sort finds is verified byte by byte; that whole stretches have the same content is trusted to a 64-bit hash.
-3. The covered ranges return to all owners of the content and are merged in each document.
+   the sort finds is verified byte by byte; that whole stretches have the same content is trusted to two independent
+   64-bit hashes.
+3. A task sorts some ``GROUP`` stretches. An anchor with more different ones, such as the edge of a passage that many
+   different texts hold, is split over groups. Each group of a split anchor lists its different windows once, by a
+   128-bit digest of their bytes; a combined aggregate finds those that several groups list.
+4. The covered ranges return to all owners of the content and are merged in each document.
 
 Rules: null text is empty; texts shorter than a window keep all bytes. Matches never cross documents. Rows that
 agree in id and text repeat each other. Extra columns are ignored. Null ids come back null.
@@ -21,6 +25,7 @@ agree in id and text repeat each other. Extra columns are ignored. Null ids come
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +39,12 @@ from barline.session import settle
 
 LENGTH, GRAM = 200, 32
 SLICE = 1 << 20  # window starts worked on at once
+GROUP = 4096  # different stretches that a task sorts together
 _PLACE = np.uint64((1 << 22) - 1)
+_SECOND, _VALUES = np.uint64(0xC2B2AE3D27D4EB4F), C.mix(np.arange(1, 257))  # base and byte values of the second hash
+_SECOND_INVERSE = np.uint64(pow(int(_SECOND), -1, 1 << 64))
 KEY = ["id", "mark"]
+CONTENT = ["gram_hash", "content", "check"]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -53,7 +62,7 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> dict[str, np.ndarray]:
-    """``row, start, windows, anchor`` (from the start), ``gram_hash``, ``content`` of every stretch of a block."""
+    """``row, start, windows, anchor`` (from the start), ``gram_hash``, ``content``, ``check`` of every stretch."""
     found = []
     starts_all = np.arange(max(0, len(data) - length + 1))
     valid = np.zeros(len(starts_all) + 1, bool)
@@ -79,12 +88,15 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram:
         windows = last - first + 1
         content = C.mix(C.span_hashes(prefix, first, last + length) + C.mix(
             (windows * 512 + anchor[first] - first).astype(np.uint64)))
-        found.append((row[first], first + low - offsets[row[first]], windows, anchor[first] - first, grams[anchor[first]], content))
-    names = ("row", "start", "windows", "anchor", "gram_hash", "content")
+        second = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_VALUES[part] * C.powers(len(part), _SECOND), out=second[1:])
+        check = (second[last + length] - second[first]) * C.powers(len(part), _SECOND_INVERSE)[first]
+        found.append((row[first], first + low - offsets[row[first]], windows, anchor[first] - first, grams[anchor[first]], content, check))
+    names = ("row", "start", "windows", "anchor", "gram_hash", "content", "check")
     return {k: np.concatenate([f[i] for f in found]) if found else np.zeros(0, np.int64) for i, k in enumerate(names)}
 
 
-_STRETCH = "id long, mark long, start int, windows int, anchor int, gram_hash long, content long"
+_STRETCH = "id long, mark long, start int, windows int, anchor int, gram_hash long, content long, check long"
 
 
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +107,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids[a:b][s["row"]], pa.int64()), pa.array(marks[a:b][s["row"]], pa.int64())]
                 + [pa.array(s[k].astype(np.int32)) for k in ("start", "windows", "anchor")]
-                + [pa.array(s[k].astype(np.uint64).view(np.int64)) for k in ("gram_hash", "content")],
-                ["id", "mark", "start", "windows", "anchor", "gram_hash", "content"])
+                + [pa.array(s[k].astype(np.uint64).view(np.int64)) for k in CONTENT],
+                [*KEY, "start", "windows", "anchor", *CONTENT])
 
 
 class Suffixes:
@@ -213,44 +225,56 @@ def _ranges(flags: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
-_BYTES = "bucket int, gram_hash long, content long, anchor int, windows int, owners long, stretch binary"
-_FLAGS = "gram_hash long, content long, begins array<int>, ends array<int>"
+_BYTES = "bucket long, part long, parts long, gram_hash long, content long, check long, anchor int, windows int, owners long, stretch binary"
+_FLAGS = "gram_hash long, content long, check long, begins array<int>, ends array<int>, places array<int>, digests array<binary>"
 
 
-def _bytes_of(buckets: int):
+def _bytes_of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Bytes of the chosen stretches of each document."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for text, chosen in zip(frame["text"], frame["chosen"]):
-                raw = text.encode()
-                rows += [((s["gram_hash"] % buckets), s["gram_hash"], s["content"], s["anchor"], s["windows"], s["owners"],
-                          raw[s["start"]:s["start"] + s["windows"] + LENGTH - 1]) for s in chosen]
-            yield pd.DataFrame(rows, columns=["bucket", "gram_hash", "content", "anchor", "windows", "owners", "stretch"])
-
-    return run
+    names = [c.split()[0] for c in _BYTES.split(", ")]
+    for frame in frames:
+        rows = []
+        for text, chosen in zip(frame["text"], frame["chosen"]):
+            raw = text.encode()
+            rows += [(*(s[c] for c in names[:-1]), raw[s["start"]:s["start"] + s["windows"] + LENGTH - 1]) for s in chosen]
+        yield pd.DataFrame(rows, columns=names)
+
+
+def _listed(strings: list[bytes], windows: np.ndarray) -> list[tuple[list[int], list[bytes]]]:
+    """Places and digests of the windows of each string, every different window once in all."""
+    out, seen = [], set()
+    for string, n in zip(strings, windows):
+        places, digests = [], []
+        for k in range(n):
+            digest = hashlib.blake2b(string[k:k + LENGTH], digest_size=16).digest()
+            if digest not in seen:
+                seen.add(digest)
+                places.append(k)
+                digests.append(digest)
+        out.append((places, digests))
+    return out
 
 
 def _compare(frame: pd.DataFrame) -> pd.DataFrame:
-    frame = frame.drop_duplicates(["gram_hash", "content"])
+    frame = frame.drop_duplicates(CONTENT)
     windows = frame["windows"].to_numpy(np.int64)
-    flags = repeated_windows(frame["gram_hash"].to_numpy(), [bytes(s) for s in frame["stretch"]],
-                             frame["anchor"].to_numpy(np.int64), windows)
+    strings = [bytes(s) for s in frame["stretch"]]
+    flags = repeated_windows(frame["gram_hash"].to_numpy(), strings, frame["anchor"].to_numpy(np.int64), windows)
     flags[frame["owners"].to_numpy() > 1] = True
     flags &= np.arange(flags.shape[1]) < windows[:, None]
     ranges = [_ranges(f) for f in flags]
-    out = pd.DataFrame({"gram_hash": frame["gram_hash"].to_numpy(), "content": frame["content"].to_numpy(),
-                        "begins": [r[0] for r in ranges], "ends": [r[1] for r in ranges]})
-    return out[out["begins"].str.len() > 0]
+    # All rows of a group agree in ``parts``.
+    listed = _listed(strings, windows) if frame["parts"].iloc[0] > 1 else [([], [])] * len(frame)
+    out = frame[CONTENT].assign(begins=[r[0] for r in ranges], ends=[r[1] for r in ranges],
+                                places=[x[0] for x in listed], digests=[x[1] for x in listed])
+    return out[(out["begins"].str.len() > 0) | (out["places"].str.len() > 0)]
 
 
 def repeats(keyed: DataFrame) -> DataFrame:
     """``id, mark, spans``: byte ranges (begin, end) of each text that repeated windows cover, not yet merged."""
-    spark = keyed.sparkSession
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = settle(keyed.select(*KEY, "text").mapInArrow(_find, _STRETCH), "stretches")
-    shared = (found.groupBy("gram_hash").agg(F.count("*").alias("n"), F.min("content").alias("low"), F.max("content").alias("high"))
+    both = F.struct("content", "check")
+    shared = (found.groupBy("gram_hash").agg(F.count("*").alias("n"), F.min(both).alias("low"), F.max(both).alias("high"))
               .where("n > 1").select("gram_hash", (F.col("low") == F.col("high")).alias("alike")))
     met = settle(found.join(shared, "gram_hash"), "shared-stretches")
     span = lambda begin, end: F.struct((F.col("start") + begin).alias("begin"), (F.col("start") + end + LENGTH - 1).alias("end"))
@@ -258,12 +282,26 @@ def repeats(keyed: DataFrame) -> DataFrame:
     mixed = met.where("not alike")
     # One owner for each content; the others get its result.
     owner = F.struct(*KEY, "start", "anchor", "windows")
-    chosen = (mixed.groupBy("gram_hash", "content").agg(F.min(owner).alias("o"), F.count("*").alias("owners"))
-              .select("o.id", "o.mark", F.struct("gram_hash", "content", "o.start", "o.anchor", "o.windows", "owners").alias("s"))
+    contents = settle(mixed.groupBy(*CONTENT).agg(F.min(owner).alias("o"), F.count("*").alias("owners")), "contents")
+    buckets = max(1, -(-contents.count() // GROUP))
+    hot = (contents.groupBy("gram_hash").agg(F.count("*").alias("n")).where(F.col("n") > GROUP)
+           .select("gram_hash", F.ceil(F.col("n") / GROUP).alias("parts")))
+    # Anchors of few stretches share a bucket; those of many have parts of their own, in no bucket.
+    dealt = (contents.join(hot, "gram_hash", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+             .withColumn("bucket", F.when(F.col("parts") == 1, F.pmod(F.xxhash64("gram_hash"), F.lit(buckets)))
+                         .otherwise(F.col("gram_hash")))
+             .withColumn("part", F.when(F.col("parts") == 1, F.lit(-1)).otherwise(F.pmod("content", "parts"))))
+    chosen = (dealt.select("o.id", "o.mark", F.struct("bucket", "part", "parts", *CONTENT, "o.anchor", "o.windows", "owners", "o.start").alias("s"))
               .groupBy(*KEY).agg(F.collect_list("s").alias("chosen")))
-    read = keyed.join(chosen, KEY).select("text", "chosen").mapInPandas(_bytes_of(buckets), _BYTES)
-    flags = settle(read.groupBy("bucket").applyInPandas(_compare, _FLAGS), "repeated-windows")
-    spread = (mixed.join(flags, ["gram_hash", "content"])
+    read = keyed.join(chosen, KEY).select("text", "chosen").mapInPandas(_bytes_of, _BYTES)
+    flags = settle(read.groupBy("bucket", "part").applyInPandas(_compare, _FLAGS), "repeated-windows")
+    listed = (flags.where(F.size("places") > 0).select(*CONTENT, F.explode(F.arrays_zip("places", "digests")).alias("w"))
+              .select(*CONTENT, F.col("w.places").alias("place"), F.col("w.digests").alias("digest")))
+    across = (listed.join(listed.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1"), "digest")
+              .groupBy(*CONTENT).agg(F.sort_array(F.collect_list("place")).alias("begins"))
+              .withColumn("ends", F.transform("begins", lambda x: x + 1)))
+    ranges = flags.where(F.size("begins") > 0).select(*CONTENT, "begins", "ends").unionByName(across)
+    spread = (mixed.join(ranges, CONTENT)
               .select(*KEY, "start", F.explode(F.arrays_zip("begins", "ends")).alias("r"))
               .select(*KEY, span(F.col("r.begins"), F.col("r.ends")).alias("span")))
     return alike.unionByName(spread).groupBy(*KEY).agg(F.collect_list("span").alias("spans"))

@@ -70,7 +70,9 @@ def test_documents_across_many_tasks():
     assert sum(r[2] for p in parts for r in p) == 3 + 500 + 1 + 900
 
 
-def test_repeated_strings(docs, rows, none):
+@pytest.mark.parametrize("group", [suffix_dedup.GROUP, 2])
+def test_repeated_strings(docs, rows, none, monkeypatch, group):
+    monkeypatch.setattr(suffix_dedup, "GROUP", group)
     width, texts = suffix_dedup.LENGTH, [_bytes(r[1]) for r in rows]
     seen = collections.Counter(t[k:k + width] for t in texts for k in range(len(t) - width + 1))
     want = collections.Counter()
@@ -87,6 +89,36 @@ def test_repeated_strings(docs, rows, none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
 
+def test_passage_in_very_many_texts(spark, monkeypatch):
+    """The stretches at a passage's edges are all different and have one anchor; no task holds them all."""
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz "
+    noise = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    passage, other = noise(520), noise(230)
+    texts = [(k, noise(150 + k % 90) + passage + noise(150 + k % 70)) for k in range(6000)]
+    texts += [(6000, noise(300) + other + noise(40)), (6001, noise(90) + other + noise(300)), (6002, noise(900))]
+    monkeypatch.setattr(suffix_dedup, "GROUP", 400)
+    compare = suffix_dedup._compare
+
+    def bounded(frame):
+        assert len(frame) <= 1600
+        return compare(frame)
+
+    monkeypatch.setattr(suffix_dedup, "_compare", bounded)
+    width, seen = suffix_dedup.LENGTH, collections.Counter()
+    for _, t in texts:
+        seen.update({t[k:k + width] for k in range(len(t) - width + 1)})
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(8)
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup.remove_repeats(docs).collect()}
+    for k, t in texts:
+        gone = bytearray(len(t))
+        for a in range(len(t) - width + 1):
+            if seen[t[a:a + width]] > 1:
+                gone[a:a + width] = b"\1" * width
+        assert got[k] == "".join(x for x, g in zip(t, gone) if not g)
+    assert all(len(got[k]) <= len(t) - 520 for k, t in texts[:6000]) and got[6002] == texts[-1][1]
+
+
 def test_suffix_sort_agrees_with_plain_sorting():
     rng = random.Random(2)
     strings = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(1, 40))) for _ in range(300)]
