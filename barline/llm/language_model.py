@@ -9,7 +9,9 @@ used with the counts of all training documents.
 Documents are read in chunks. A chunk sends its distinct n-grams, as sorted hashes packed by bucket, to the
 buckets that sum them; a bucket sends the sums back to the chunks that asked; a chunk then holds the counts of all its
 tokens. Everything is keyed by 64-bit hashes, so neither a vocabulary nor a table of n-grams is ever gathered, and
-a frequent n-gram costs a bucket one entry a chunk. A text is never split: a task needs memory for its longest text.
+a frequent n-gram costs a bucket one entry a chunk. There is a bucket for every ``BUCKET_BYTES`` of text, and as many
+partitions, so that what a task holds does not follow the input. A text is never split: a task needs memory for its
+longest text.
 
 Rules: null text is empty and has one token, its end. A context is the word before, or the start, whose frequency is
 the number of training documents. Contexts never seen have weight 0. Extra columns are ignored; repeated rows count
@@ -33,6 +35,7 @@ from barline.session import settle
 
 FOLDS, HELD_FOLD, ADD = 10, 1, 0.1
 CHUNK_BYTES = 8 << 20
+BUCKET_BYTES = 8 << 20  # of text a bucket; its messages take some 1.7 times as much
 CLASSES, BINS, BIN_STEP = 48, 512, 0.25  # histogram bins are quarter powers of two
 _END, _PAIR = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xD6E8FEB86659FD93)
 _SMALL = np.arange(256, dtype=np.uint8)
@@ -204,14 +207,20 @@ def learn_weights(histogram: np.ndarray, total: int, kinds: int, rounds: int = 1
     return weights
 
 
+def bucket_count(source: DataFrame) -> int:
+    """Buckets for a table with a ``text``: one for every ``BUCKET_BYTES``."""
+    size = source.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return max(1, -(-size // BUCKET_BYTES))
+
+
 def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row."""
-    spark = docs.sparkSession
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = C.texts(docs).withColumn("fold", C.fold("doc_id", FOLDS))
+    buckets = buckets or bucket_count(source)
     asked = source.mapInArrow(_ask(buckets), _ROW)
-    answered = asked.groupBy("dest").applyInPandas(_answer, _ROW)
-    counted = settle(answered.groupBy("chunk").applyInPandas(_gather, _COUNTED), "token-counts")
+    # Twice as many partitions as buckets, for those that hash to the same one.
+    answered = asked.repartition(2 * buckets, "dest").groupBy("dest").applyInPandas(_answer, _ROW)
+    counted = settle(answered.repartition(2 * buckets, "chunk").groupBy("chunk").applyInPandas(_gather, _COUNTED), "token-counts")
     sums = counted.where("kind = 1").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = int(sums[0] or 0), int(sums[1] or 0)
     histogram = np.zeros(CLASSES * BINS, np.uint64)

@@ -277,6 +277,56 @@ def test_language_model_counts(docs, rows, none):
     assert language_model.score(none, 3).count() == 0
 
 
+def test_language_model_scores(spark, monkeypatch):
+    """Scores against dictionaries and expectation maximisation on unrounded ratios, with a bucket for every
+    50,000 bytes. Ratios rounded to quarter powers of two move a score by less than 0.002 a token."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").repartition(4)
+    rows = docs.collect()
+    low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+    fold = lambda k: 0 if k is None else zlib.crc32(str(k).encode()) % 10
+    ends = [(fold(r[0]), [None, *re.findall(rb"[^\x20\x09-\x0D]+", _bytes(r[1]).translate(low)), None]) for r in rows]
+    one, two, held_one, held_two = (collections.Counter() for _ in range(4))
+    for f, t in ends:
+        if f:
+            one.update(t[1:])
+            two.update(zip(t, t[1:]))
+        if f not in (0, 1):
+            held_one.update(t[1:])
+            held_two.update(zip(t, t[1:]))
+    floor = sum(one.values()) + 0.1 * (len(one) + 1)
+    group = lambda n: n.bit_length()
+    seen = collections.defaultdict(list)  # by class of context: estimate of the pair, of the word
+    for f, t in ends:
+        if f == 1:
+            for v, w in zip(t, t[1:]):
+                seen[group(held_one[v])].append((held_two[v, w] / max(1, held_one[v]), (held_one[w] + 0.1) / floor))
+    weights, last = {}, 0.5
+    for k in range(1, language_model.CLASSES):
+        if k in seen:
+            last = 0.5
+            pair, word = np.array(seen[k]).T
+            for _ in range(100):
+                last = min(max(np.mean(last * pair / (last * pair + (1 - last) * word)), 1e-6), 1 - 1e-6)
+        weights[k] = last
+    want = collections.defaultdict(list)
+    for (f, t), r in zip(ends, rows):
+        total = 0.0
+        for v, w in zip(t, t[1:]):
+            weight = weights[group(one[v])] if one[v] else 0.0
+            total += math.log10(weight * two[v, w] / max(1, one[v]) + (1 - weight) * (one[w] + 0.1) / floor)
+        want[r[0]].append((total, len(t) - 1))
+    assert language_model.bucket_count(docs) == 1
+    monkeypatch.setattr(language_model, "BUCKET_BYTES", 50_000)
+    assert language_model.bucket_count(docs) > 10
+    got = collections.defaultdict(list)
+    for r in language_model.score(docs).collect():
+        got[r.doc_id].append((r.score, r.n_tokens))
+    assert got.keys() == want.keys()
+    for k in want:
+        for (a, n), (b, m) in zip(sorted(want[k]), sorted(got[k])):
+            assert n == m and abs(a - b) <= 0.002 * n
+
+
 def test_mixture_weights_follow_the_counts():
     cells = np.zeros((language_model.CLASSES, language_model.BINS), np.uint64)
     cells[3, 0], cells[5, 40] = 100, 100
