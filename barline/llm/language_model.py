@@ -136,7 +136,7 @@ def _ask(buckets: int):
 def _answer(frame: pd.DataFrame) -> pd.DataFrame:
     """A bucket's sums for each chunk that asked, and its share of N and V. A chunk's own rows pass through."""
     if frame["kind"].iloc[0] == 0:
-        return frame
+        return frame.drop(columns="slot")
     asked = [_unpack(p) for p in frame["payload"]]
     sizes = [len(a[0]) for a in asked]
     keys = np.concatenate([np.cumsum(a[0], dtype=np.uint64) for a in asked])
@@ -218,8 +218,10 @@ def score(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     source = C.texts(docs).withColumn("fold", C.fold("doc_id", FOLDS))
     buckets = buckets or bucket_count(source)
     asked = source.mapInArrow(_ask(buckets), _ROW)
-    # Twice as many partitions as buckets, for those that hash to the same one.
-    answered = asked.repartition(2 * buckets, "dest").groupBy("dest").applyInPandas(_answer, _ROW)
+    # A partition for each bucket, so that no two meet by their hashes; as many for the chunks' own rows.
+    own = buckets + F.pmod(F.xxhash64("dest"), F.lit(buckets))
+    placed = asked.withColumn("slot", F.when(F.col("kind") == 1, F.col("dest")).otherwise(own).cast("int"))
+    answered = placed.repartitionById(2 * buckets, F.col("slot")).groupBy("slot", "dest").applyInPandas(_answer, _ROW)
     counted = settle(answered.repartition(2 * buckets, "chunk").groupBy("chunk").applyInPandas(_gather, _COUNTED), "token-counts")
     sums = counted.where("kind = 1").agg(F.sum("total"), F.sum("kinds")).first()
     total, kinds = int(sums[0] or 0), int(sums[1] or 0)
