@@ -12,12 +12,12 @@ still hold several classes, the nodes outside the largest class, the *minors*, a
 bucket that are in other classes, block by block; words and two-word runs that a pair shares, counted exactly, rule out
 most pairs without an alignment.
 
-A bucket with more than ``MINORS`` minors (a passage in many texts that are else unlike) is split first, as in an LSH
-forest: its nodes go on to the buckets of two further sketches each, until few minors are left. Similar pairs share
-about half of their sketches, so that two ways on keep as many meetings a level; texts that share a passage only share
-a few per cent, and part. Each node so meets a bounded number of others, however many texts hold the passage. What
-``DEPTH`` levels do not split is compared whole. ``minors=None`` splits nothing: then every pair that shares a sketch
-is compared, ruled out by a bound or connected already.
+A bucket with more than ``MINORS`` minors (a passage in many texts that are else unlike) is not compared whole: its nodes
+meet by their rarest words instead, which is exact as well. Similar texts share all but a fifth of the longer one's
+words, so in any one order of the words at least ``RARE`` shared ones (all, if they share fewer) are among each text's
+first fifth and ``RARE`` more; in the order from rare to frequent these are seldom words of the passage. Texts that
+share that many of them are aligned. ``minors=None`` compares every bucket whole. Either way each pair that shares a
+sketch is compared, ruled out by a bound or connected already.
 
 Rules: null text is empty; all empty texts are copies of each other. A text of fewer than five words has one run,
 all its words. Rows with the same id and different texts are documents of their own. A class is named by its
@@ -31,15 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.llm import common as C
 from barline.session import settle
 
 SKETCHES, PICKS, WORDS, SIMILARITY = 32, 3, 5, 0.8
-BLOCK, MINORS, DEPTH = 256, 256, 16  # nodes in a block of a bucket; minors of a bucket that is not split; levels
-ONWARD = (1, 7)  # the further sketches of a level, counted from the last one
+BLOCK, MINORS = 256, 1024  # nodes in a block of a bucket; minors of a bucket that is compared whole
+RARE, FEW = 8, 8  # shared words asked for among the rarest; edits that diagonals are tried for
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SEEDS = np.random.default_rng(11).integers(1, 1 << 63, SKETCHES, dtype=np.uint64) | np.uint64(1)
 
@@ -114,10 +114,28 @@ def sketches(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
+def distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two word sequences, by Myers's bit vectors: where a column of the table goes up or down."""
+    places: dict[int, int] = {}
+    for k, word in enumerate(a.tolist()):
+        places[word] = places.get(word, 0) | (1 << k)
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    up, down = full, 0
+    for word in b.tolist():
+        equal = places.get(word, 0)
+        flat = ((((equal & up) + up) ^ up) | equal | down) & full
+        right_up, right_down = down | (full ^ (flat | up)), up & flat
+        score += bool(right_up & last) - bool(right_down & last)
+        right_up = (right_up << 1 | 1) & full
+        up, down = ((right_down << 1) & full) | (full ^ (flat | right_up)), right_up & flat
+    return score
+
+
 def within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     """Edit distance of two word sequences if at most ``limit``, else ``limit`` + 1.
 
-    Diagonals within the limit hold how far they reach for a number of edits; equal words extend them.
+    Diagonals within the limit hold how far they reach for a number of edits; equal words extend them. Where that takes
+    many edits, bit vectors are faster.
     """
     if abs(len(a) - len(b)) > limit:
         return limit + 1
@@ -143,6 +161,8 @@ def within(a: np.ndarray, b: np.ndarray, limit: int) -> int:
     reach = np.full(width, -2, np.int64)  # along a, on the diagonal b - a = shift
     ends_a, ends_b = np.append(a, 0), np.append(b, 0)
     for edits in range(limit + 1):
+        if edits > FEW + len(b) // 64:
+            return min(distance(a, b), limit + 1)
         if edits == 0:
             low = high = middle
             now = np.array([0])
@@ -196,17 +216,16 @@ def _word_rows(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """``key``, ``node``, ``at`` (which sketch) for each sketch of each node."""
+    """``key``, ``node`` for each sketch of each node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             packed, node = batch.column(1).to_pylist(), np.asarray(batch.column(0))
             some = np.array([len(p) > 0 for p in packed], bool)
             keys = np.frombuffer(b"".join(packed), "<i8")
-            at = np.tile(np.arange(SKETCHES, dtype=np.int8), int(some.sum()))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(node[some], SKETCHES)), pa.array(at)], ["key", "node", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(node[some], SKETCHES))], ["key", "node"])
 
-    return nodes.select("node", "packed").mapInArrow(run, "key long, node long, at byte")
+    return nodes.select("node", "packed").mapInArrow(run, "key long, node long")
 
 
 def _candidates(rows: DataFrame) -> DataFrame:
@@ -289,23 +308,32 @@ def possible(texts: list[np.ndarray], left: np.ndarray, right: np.ndarray, least
     return fits
 
 
-def _onward(rows: DataFrame, nodes: DataFrame) -> DataFrame:
-    """``rows`` of buckets that are split, in the buckets of the next level."""
+def _by_rare_words(rows: DataFrame, words: DataFrame, least: float) -> DataFrame:
+    """Distinct pairs ``a`` < ``b`` of ``node``s in different classes that share ``RARE`` of their rarest words (or as many
+    as similar texts of their lengths must share); every similar pair does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            key, at = np.asarray(batch.column(0)).astype(np.uint64), np.asarray(batch.column(3)).astype(np.int64)
-            own = np.frombuffer(b"".join(batch.column(4).to_pylist()), "<u8").reshape(-1, SKETCHES)
-            for step in ONWARD:
-                then = (at + step) % SKETCHES
-                next_key = C.mix(key * np.uint64(0x9E3779B97F4A7C15) + own[np.arange(len(at)), then] + np.uint64(step))
-                yield pa.RecordBatch.from_arrays([pa.array(next_key.astype(np.int64)), batch.column(1), batch.column(2), pa.array(then.astype(np.int8))],
-                                                 ["key", "node", "label", "at"])
-
-    held = rows.select("key", "node", "label", "at").join(nodes.select("node", "packed"), "node").select("key", "node", "label", "at", "packed")
-    return held.mapInArrow(run, "key long, node long, label long, at byte")
+            for k, packed in enumerate(batch.column(2).to_pylist()):
+                text = np.frombuffer(packed, "<u4").astype(np.uint64)
+                word = numbered(C.mix(text), np.zeros(len(text), np.int64)).astype(np.int64)
+                node, label = (np.full(len(word), batch.column(c)[k].as_py(), np.int64) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (node, label, np.full(len(word), len(word), np.int64), word)],
+                                                 ["node", "label", "size", "word"])
+
+    limit = lambda size: F.floor(F.lit(1 - least) * size + F.lit(1e-9))
+    held = settle(rows.join(words, "node").select("node", "label", "packed").mapInArrow(run, "node long, label long, size long, word long"), "split-words")
+    often = held.groupBy("word").agg(F.count("*").alias("often"))
+    # Words of one text count among its rarest, but nobody meets there.
+    rare = (held.join(often, "word").withColumn("place", F.row_number().over(Window.partitionBy("node").orderBy("often", "word")))
+            .where((F.col("place") <= limit(F.col("size")) + RARE) & (F.col("often") > 1)))
+    rare = settle(rare.select("word", "node", "label", "size"), "rare-words")
+    ends = [rare.select("word", F.col("node").alias(k), F.col("label").alias(f"label_{k}"), F.col("size").alias(f"size_{k}")) for k in "ab"]
+    longest = F.greatest("size_a", "size_b")
+    met = ends[0].join(ends[1], "word").where((F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
+                                              & (longest - F.least("size_a", "size_b") <= limit(longest)))
+    return (met.groupBy("a", "b").agg(F.count("*").alias("n"), F.max(longest).alias("longest"))
+            .where(F.col("n") >= F.least(F.lit(RARE), F.col("longest") - limit(F.col("longest")))).select("a", "b"))
 
 
 def _mixed(rows: DataFrame) -> DataFrame:
@@ -315,7 +343,7 @@ def _mixed(rows: DataFrame) -> DataFrame:
             .where("n > most").select("key", "n", "top", (F.col("n") - F.col("most")).alias("minors")))
 
 
-def _rest(rows: DataFrame, nodes: DataFrame, words: DataFrame, labels: DataFrame, pairs: DataFrame, least: float,
+def _rest(rows: DataFrame, words: DataFrame, labels: DataFrame, pairs: DataFrame, least: float,
           minors: int | None = MINORS) -> DataFrame:
     """Distinct pairs ``a`` < ``b`` that meet in a bucket, are in different classes, were not compared in ``pairs`` and
     that no bound rules out."""
@@ -327,30 +355,25 @@ def _rest(rows: DataFrame, nodes: DataFrame, words: DataFrame, labels: DataFrame
         fits = possible(texts, left, right, least) & (label[left][:, None] != label[right][None])
         i, j = np.nonzero(fits)
         i, j = left[i], right[j]
-        # Of the buckets in which two nodes meet on a level, the one with the smallest key lists the pair.
+        # Of the buckets in which two nodes meet, the one with the smallest key lists the pair.
         key, keys = frame["key"].iat[0], [np.sort(k) for k in frame["keys"]]
         first = np.array([np.intersect1d(keys[x], keys[y], assume_unique=True)[0] == key for x, y in zip(i, j)], bool)
         a, b = node[i[first]], node[j[first]]
         return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
 
     known = words.select("node").join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    met, listed = settle(rows.join(known, "node").select("key", "node", "label", "at"), "labelled-buckets"), []
-    for level in range(DEPTH + 1):
-        held = settle(met.join(settle(_mixed(met), "mixed-buckets"), "key"), "mixed-rows")
-        whole = F.lit(minors is None or level == DEPTH) | (F.col("minors") <= (minors or 0))
-        dealt = (held.where(whole).withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("minor", F.col("label") != F.col("top"))
-                 .withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
-                 .withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("own"))))
-                 .select("key", "part", "node", "label", "minor", (F.col("part") == F.col("own")).alias("home")))
-        own_keys = held.where(whole).groupBy("node").agg(F.collect_set("key").alias("keys"))
-        listed.append(dealt.join(words.join(own_keys, "node"), "node").groupBy("key", "part").applyInPandas(meet, "a long, b long").distinct())
-        split = held.where(~whole)
-        if split.isEmpty():
-            break
-        met = settle(_onward(split, nodes), "split-buckets")
-    found = listed[0]
-    for more in listed[1:]:
-        found = found.unionByName(more)
+    met = settle(rows.join(known, "node").select("key", "node", "label"), "labelled-buckets")
+    held = settle(met.join(settle(_mixed(met), "mixed-buckets"), "key"), "mixed-rows")
+    whole = F.lit(minors is None) | (F.col("minors") <= (minors or 0))
+    dealt = (held.where(whole).withColumn("parts", F.ceil(F.col("n") / BLOCK)).withColumn("minor", F.col("label") != F.col("top"))
+             .withColumn("own", F.pmod(F.xxhash64("node"), "parts"))
+             .withColumn("part", F.explode(F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).otherwise(F.array("own"))))
+             .select("key", "part", "node", "label", "minor", (F.col("part") == F.col("own")).alias("home")))
+    own_keys = held.where(whole).groupBy("node").agg(F.collect_set("key").alias("keys"))
+    found = dealt.join(words.join(own_keys, "node"), "node").groupBy("key", "part").applyInPandas(meet, "a long, b long")
+    split = held.where(~whole).select("node", "label").distinct()
+    if not split.isEmpty():
+        found = found.unionByName(_by_rare_words(split, words, least))
     return settle(found.distinct().join(pairs, ["a", "b"], "left_anti"), "further-pairs")
 
 
@@ -400,7 +423,7 @@ def _graph(docs: DataFrame, least: float, minors: int | None) -> tuple[DataFrame
     words = _words(source, nodes, pairs)
     edges = _verified(words, pairs, least)
     labels = components(edges)
-    further = _verified(words, _rest(buckets, nodes, words, labels, pairs, least, minors), least)
+    further = _verified(words, _rest(buckets, words, labels, pairs, least, minors), least)
     named = nodes.select("digest", "doc_id", "copies", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if not further.isEmpty():
         named = named.join(_classes_joined(labels, further), "label", "left").withColumn("label", F.coalesce("into", "label"))

@@ -492,6 +492,40 @@ def test_work_follows_the_texts_that_share_a_passage(spark, monkeypatch):
     assert 0 < met[1] < 8 * met[0]
 
 
+def test_alignment_distance_of_many_edits():
+    """Bit vectors and diagonals agree with the plain table where edits are many."""
+    rng = random.Random(2)
+    for n in (1, 20, 70, 200):
+        for _ in range(4):
+            a = [rng.randrange(12) for _ in range(n)]
+            b = [rng.randrange(12) if rng.random() < 0.4 else x for x in a if rng.random() < 0.9] + [3]
+            row = list(range(len(b) + 1))
+            for k, x in enumerate(a, 1):
+                new = [k]
+                for j, y in enumerate(b, 1):
+                    new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+                row = new
+            x, y = np.array(a, "u4"), np.array(b, "u4")
+            assert near_dedup.distance(x, y) == row[-1]
+            assert [near_dedup.within(x, y, k) for k in (row[-1], max(0, row[-1] - 1), n + 1)] == [row[-1], row[-1], row[-1]]
+
+
+def test_split_buckets_lose_no_pair(spark):
+    """Texts that share a passage, and copies with an eighth of their words changed all over, which share few sketches:
+    what buckets compared whole join, buckets met by rare words join as well, and nothing that is not similar."""
+    rng = random.Random(12)
+    prose = lambda n: [f"w{rng.randrange(20000)}" for _ in range(n)]
+    passage, texts = prose(100), []
+    for _ in range(120):
+        own = prose(25) + passage + prose(25)
+        texts += [own, [w if k % 8 else f"c{rng.randrange(20000)}" for k, w in enumerate(own)]]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    whole, split = ({r.doc_id: r.class_id for r in near_dedup.classes(docs, minors=m).collect()} for m in (None, 4))
+    met = [k for k in range(0, 240, 2) if whole[k] == whole[k + 1]]
+    assert len(met) > 40 and all(split[k] == split[k + 1] for k in met)
+    assert all(label in (k, k - k % 2) for found in (whole, split) for k, label in found.items())
+
+
 def test_pipeline_stages(spark, docs, rows):
     import corpus_pipeline as P
 
