@@ -205,7 +205,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                                  "digest": first["digest"], "refers_to": None, "block": block})])
 
     parsed = files.mapInPandas(whole, _WHOLE + ", identifier string, kind string, digest string, segment int, total long, block binary")
-    done = settle(parsed, "records")
+    # Payloads are most of what is written here, and zstd takes less room for them than the default.
+    folder = work_dir(spark, "records")
+    parsed.write.option("compression", "zstd").parquet(folder)
+    done = spark.read.schema(parsed.schema).parquet(folder)
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload"]
     segments = done.where("segment > 0").select("identifier", "kind", "url", "digest", "segment", "total", "block")
     return done.where("segment = 0").select(*names).unionByName(

@@ -258,6 +258,14 @@ def test_archives_round_trip(spark, none):
         warc.unchunked(b"5\r\nab")
 
 
+def test_records_on_the_way_are_packed_tightly(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>" + "x y " * 999)], "page_id long, url string, html string")
+    path = work_dir(spark, "w")
+    warc.write(pages, path)
+    files = warc.read(spark, path).inputFiles()
+    assert files and all(".zstd." in name for name in files)
+
+
 def test_language_model_counts(docs, rows, none):
     low = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
     split = lambda t: re.findall(rb"[^\x20\x09-\x0D]+", _bytes(t).translate(low)) + [None]
